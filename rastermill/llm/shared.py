@@ -109,6 +109,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     """(bucket, places of its keys) for each bucket that has keys; keys keep their order."""
+    if not len(keys):
+        return
     bucket = (keys % U64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     found, starts = np.unique(bucket[order], return_index=True)

@@ -62,7 +62,7 @@ def fit(toxic: np.ndarray, words: list[list[str]], penalty: float = 0.001, kept:
     """Proximal gradient descent with momentum on the negative log-likelihood, toxic and other rows weighing the same in sum, plus penalty * |w|, w >= 0.
 
     Features take part that are in `least_rows` rows or more and whose odds of being in a toxic row are `least_odds` or
-    more; of those in the same rows the shortest, and of these the `kept` most frequent.
+    more; of beginnings in the same rows the shortest, and of these the `kept` most frequent.
     """
     n = len(toxic)
     hurt = toxic > 0
@@ -86,9 +86,9 @@ def fit(toxic: np.ndarray, words: list[list[str]], penalty: float = 0.001, kept:
     by_col = np.argsort(col, kind="stable")
     cuts = np.searchsorted(col[by_col], np.arange(len(number) + 1))
     support = {j: row[by_col[cuts[j] : cuts[j + 1]]].tobytes() for j in able.tolist()}
-    alike: dict[bytes, int] = {}  # of features in the same rows the shortest says most about other words
+    alike: dict[tuple[bytes, str], int] = {}  # of a word's beginnings in the same rows the shortest says most about other words
     for j in sorted(support, key=lambda j: (len(names[j]), names[j])):
-        alike.setdefault(support[j], j)
+        alike.setdefault((support[j], names[j][:3]), j)
     chosen = np.array(sorted(alike.values(), key=lambda j: (-inside[j], names[j]))[:kept], np.int64)
     if not len(chosen):
         return none
