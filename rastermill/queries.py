@@ -1,10 +1,542 @@
-"""The registered queries and their SQL, collected from the modules that define them."""
+"""The registered queries, one or more for each operator of SURVEY section 2, and their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from rastermill.functions import pixels as px
+from rastermill.operators import colours, lists, quantize, stencils
+from rastermill.sources import files
+from rastermill.sources.rasters import EVENTS_SQL, events_raster
+
+C = F.col
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Sixteen fixed colours for queries that need a palette.
+GREYS = [(17 * i, 17 * i, 17 * i) for i in range(16)]
+MIXED = [((i * 53) % 256, (i * 101) % 256, (i * 197) % 256) for i in range(16)]
+
+
+def query(sql: str | None = None):
+    """Registers a query by its function's name; sql may begin after the raster px."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql if sql.lstrip().upper().startswith("WITH") else f"WITH {EVENTS_SQL}{', ' if sql.lstrip().startswith('+') else ' '}{sql.lstrip().removeprefix('+')}"
+        return f
+
+    return add
+
+
+def scalar(sql: str):
+    """C("a") query that maps every pixel: the function gets no raster but returns columns."""
+
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return events_raster(spark, sf_dir).select("image_id", "x", "y", *[c.alias(n) for n, c in f().items()])
+
+        run.__name__ = f.__name__
+        return query(f"SELECT image_id, x, y, {sql} FROM px")(run)
+
+    return add
+
+
+PACK = "(r::BIGINT + g * 256 + b * 65536 + a::BIGINT * 16777216)"
+
+
+def _posterized(bits: int, c: str) -> str:
+    return f"(({c} & {255 - (2**bits - 1)}) | ({c} >> {8 - bits}))" if bits else c
+
+
+def _flat(c: str) -> str:
+    return f"(CASE WHEN a <> 255 THEN ({c} * a) >> 8 ELSE {c} END)"
+
+
+@scalar(f"{PACK} AS packed")
+def px2_pack():
+    return {"packed": px.pack(C("r"), C("g"), C("b"), C("a"))}
+
+
+@query(f"SELECT image_id, x, y, r, g, b, a FROM px")
+def px2_unpack(spark, sf_dir):
+    p = events_raster(spark, sf_dir).select("image_id", "x", "y", px.pack(C("r"), C("g"), C("b"), C("a")).alias("p"))
+    return p.select("image_id", "x", "y", *[px.unpack(C("p"), i).alias(c) for i, c in enumerate("rgba")])
+
+
+@scalar("r, g, b, 255 AS a")
+def px1_opaque():
+    return {"r": C("r"), "g": C("g"), "b": C("b"), "a": F.lit(255)}
+
+
+@query("+q AS (SELECT DISTINCT image_id, (image_id * 7 % 40 - 12)::INT AS px, (image_id * 11 % 40 - 12)::INT AS py FROM px) SELECT q.image_id, q.px, q.py, r, g, b, a FROM q JOIN px ON px.image_id = q.image_id AND x = least(greatest(q.px, 0), 15) AND y = least(greatest(q.py, 0), 15)")
+def px3_point_lookup(spark, sf_dir):
+    p = events_raster(spark, sf_dir)
+    places = p.select("image_id").distinct().select("image_id", (C("image_id") * 7 % 40 - 12).cast("int").alias("px"), (C("image_id") * 11 % 40 - 12).cast("int").alias("py"))
+    return stencils.lookup(p, places)
+
+
+@query("SELECT image_id, round(r / 255.0, 6)::DOUBLE AS r, round(g / 255.0, 6)::DOUBLE AS g, round(b / 255.0, 6)::DOUBLE AS b FROM px WHERE x = 5 AND y = 3")
+def px4_eyedropper(spark, sf_dir):
+    return events_raster(spark, sf_dir).where("x = floor(5.7D) AND y = floor(3.2D)").select("image_id", *[F.round(C(c) / 255.0, 6).cast("double").alias(c) for c in "rgb"])
+
+
+@scalar(f"{_flat('r')} AS r, {_flat('g')} AS g, {_flat('b')} AS b, 255 AS a")
+def px5_flatten_alpha():
+    return {c: px.flatten(C(c), C("a")) for c in "rgb"} | {"a": F.lit(255)}
+
+
+@scalar("(trunc(r / 300.0 * 255)::INT & 255) AS v")
+def px6_to_byte_truncated():
+    return {"v": px.to_byte_truncated(C("r") / 300.0)}
+
+
+@scalar("round(r / 255.0, 6)::DOUBLE AS r, round(a / 255.0, 6)::DOUBLE AS a")
+def px7_to_float():
+    return {"r": F.round(C("r") / 255.0, 6).cast("double"), "a": F.round(C("a") / 255.0, 6).cast("double")}
+
+
+@scalar(", ".join(f"{_posterized(b, 'g')} AS g{b}" for b in (0, 3, 4)))
+def px8_posterize():
+    return {f"g{b}": px.posterize(C("g"), b) for b in (0, 3, 4)}
+
+
+@scalar("CASE WHEN a = 0 THEN 0 ELSE " + f"({_posterized(4, 'r')}::BIGINT + {_posterized(4, 'g')} * 256 + {_posterized(4, 'b')} * 65536 + {_posterized(4, 'a')}::BIGINT * 16777216) END AS packed")
+def px9_posterize_pixel():
+    return {"packed": F.when(C("a") == 0, F.lit(0).cast("long")).otherwise(px.pack(*(px.posterize(C(c), 4) for c in "rgba")))}
+
+
+GAMMA = px.INTERNAL_GAMMA / px.DISPLAY_GAMMA
+
+
+@scalar(f"round(pow(r / 255.0, {GAMMA!r}), 5)::DOUBLE AS v")
+def px10_gamma():
+    return {"v": F.round(px.linear(C("r")), 5)}
+
+
+@scalar(", ".join(f"round(pow({c} / 255.0, {GAMMA!r}) * a / 255.0, 5)::DOUBLE AS {c}" for c in "rgb"))
+def px11_premultiply():
+    return {c: F.round(px.premultiplied(C(c), C("a")), 5) for c in "rgb"}
+
+
+@query("SELECT image_id, x, y, r, g, b FROM px WHERE a = 255")
+def px12_unpremultiply(spark, sf_dir):
+    p = events_raster(spark, sf_dir).where("a = 255")
+    return p.select("image_id", "x", "y", *[px.to_rgb(F.round(px.premultiplied(C(c), C("a")), 12), C("a") / 255.0).cast("int").alias(c) for c in "rgb"])
+
+
+def _dist_sql() -> str:
+    p = lambda c: f"(pow({c} / 255.0, {GAMMA!r}) * a / 255.0)"
+    t = "+".join(f"greatest(pow({p(c)} - 0.5, 2), pow({p(c)} - 0.5 + (1 - a / 255.0), 2))" for c in "rgb")
+    return f"round({t}, 5)::DOUBLE AS d"
+
+
+@scalar(_dist_sql())
+def px13_colour_distance():
+    own = [C("a") / 255.0, *(px.premultiplied(C(c), C("a")) for c in "rgb")]
+    return {"d": F.round(px.distance(own, [F.lit(1.0), F.lit(0.5), F.lit(0.5), F.lit(0.5)]), 5)}
+
+
+@query("WITH q AS (SELECT unnest(range(0, 101)) AS quality) SELECT quality, CASE WHEN quality = 0 THEN 1e20 WHEN quality = 100 THEN 0 ELSE round(greatest(0, 0.016 / (0.001 + quality) - 0.001) + 2.5 / pow(210.0 + quality, 1.2) * (100.1 - quality) / 100.0, 9) END::DOUBLE AS mse FROM q")
+def px15_quality_to_mse(spark, sf_dir):
+    return spark.range(101).select(C("id").alias("quality"), F.round(px.quality_to_mse(C("id")), 9).alias("mse"))
+
+
+@scalar("round(CASE WHEN r / 255.0 <= 0.04045 THEN r / 255.0 / 12.92 ELSE pow((r / 255.0 + 0.055) / 1.055, 2.4) END, 5)::DOUBLE AS v")
+def px16_srgb_to_linear():
+    return {"v": F.round(px.srgb_to_linear((C("r") / 255.0).cast("double")), 5)}
+
+
+@scalar("least(greatest(CASE WHEN r * 1.5 - 90 < 0 THEN -floor(-(r * 1.5 - 90) + 0.5) ELSE floor(r * 1.5 - 90 + 0.5) END, -20), 255)::INT AS v")
+def px17_round_clamp():
+    return {"v": px.round_half_up((C("r") * F.lit(1.5) - 90).cast("double"), -20, 255)}
+
+
+@scalar("""round(CASE WHEN greatest(r,g,b) = least(r,g,b) THEN 0 WHEN greatest(r,g,b) = r THEN (((g-b)::DOUBLE/(greatest(r,g,b)-least(r,g,b))) / 6 + 1) % 1
+ WHEN greatest(r,g,b) = g THEN (2 + (b-r)::DOUBLE/(greatest(r,g,b)-least(r,g,b))) / 6 ELSE (4 + (r-g)::DOUBLE/(greatest(r,g,b)-least(r,g,b))) / 6 END, 6)::DOUBLE AS h,
+ round(CASE WHEN greatest(r,g,b) = 0 THEN 0 ELSE (greatest(r,g,b)-least(r,g,b))::DOUBLE / greatest(r,g,b) END, 6)::DOUBLE AS s, round(greatest(r,g,b) / 255.0, 6)::DOUBLE AS v""")
+def px18_hsv():
+    return {n: F.round(c, 6).cast("double") for n, c in zip("hsv", px.hsv(C("r"), C("g"), C("b")), strict=True)}
+
+
+@scalar("floor(least(greatest(r / 200.0 - 0.1, 0), 1) * 255 + 0.5)::INT AS v")
+def px19_to_byte_rounded():
+    return {"v": px.to_byte_rounded((C("r") / 200.0 - 0.1).cast("double"))}
+
+
+@scalar("round((g - r) * (b / 255.0) + r, 6)::DOUBLE AS v")
+def px20_lerp():
+    return {"v": F.round(px.lerp(C("r"), C("g"), C("b") / 255.0), 6).cast("double")}
+
+
+@scalar("(((r >> 4) << 8) | ((g >> 4) << 4) | (b >> 4)) AS word")
+def px21_palette_word():
+    return {"word": px.palette_word(C("r"), C("g"), C("b"))}
+
+
+@query("SELECT image_id, count(DISTINCT " + PACK + ") AS colours FROM px GROUP BY image_id")
+def agg1_distinct_colours(spark, sf_dir):
+    return colours.distinct_colours(events_raster(spark, sf_dir))
+
+
+def _hist_sql(bits: int, image: bool = True) -> str:
+    keys = ", ".join(f"CASE WHEN a = 0 THEN 0 ELSE {_posterized(bits, c)} END AS {c}" for c in "rgba")
+    i = "image_id, " if image else ""
+    return f"hist AS (SELECT {i}r, g, b, a, sum(w)::BIGINT AS weight FROM (SELECT {i}{keys}, CASE WHEN a = 0 THEN 2000 ELSE 255 END AS w FROM px) GROUP BY {i}r, g, b, a)"
+
+
+@query(f"+{_hist_sql(4)} SELECT * FROM hist")
+def hist1_weighted(spark, sf_dir):
+    return colours.histogram(events_raster(spark, sf_dir), 4)
+
+
+@query(f"+{_hist_sql(3)}, p AS (SELECT image_id, r, g, b, a, least(weight / 128.0, 25.6)::DOUBLE AS perceptual FROM hist) SELECT *, round(sum(perceptual) OVER (PARTITION BY image_id), 6)::DOUBLE AS total FROM p")
+def hist2_normalised(spark, sf_dir):
+    p = events_raster(spark, sf_dir)
+    out = colours.normalised(colours.histogram(p, 3), p.groupBy("image_id").agg(F.count("*").alias("n")))
+    return out.withColumn("perceptual", C("perceptual").cast("double")).withColumn("total", F.round("total", 6).cast("double"))
+
+
+@query("+n AS (SELECT image_id, " + ", ".join(f"count(DISTINCT CASE WHEN a = 0 THEN 0 ELSE {_posterized(b, 'r')}::BIGINT + {_posterized(b, 'g')} * 256 + {_posterized(b, 'b')} * 65536 + {_posterized(b, 'a')}::BIGINT * 16777216 END) AS n{b}" for b in range(5)) + " FROM px GROUP BY image_id) SELECT image_id, CASE WHEN n0 <= 200 THEN 0 WHEN n1 <= 200 THEN 1 WHEN n2 <= 200 THEN 2 WHEN n3 <= 200 THEN 3 ELSE 4 END AS bits, n0, n1, n2, n3, n4 FROM n")
+def hist3_fitting_bits(spark, sf_dir):
+    return colours.fitting_bits(events_raster(spark, sf_dir), 200)
+
+
+@query(f"+{_hist_sql(4, False)} SELECT * FROM hist")
+def hist4_shared(spark, sf_dir):
+    return colours.histogram(events_raster(spark, sf_dir), 4, per_image=False)
+
+
+@query(f"+{_hist_sql(4)} SELECT image_id, " + ", ".join(f"round(sum({c} * weight)::DOUBLE / sum(weight), 5) AS mean_{c}" for c in "rgba") + " FROM hist GROUP BY image_id")
+def agg2_mean_colour(spark, sf_dir):
+    m = colours.mean_colour(colours.histogram(events_raster(spark, sf_dir), 4))
+    return m.select("image_id", *[F.round(f"mean_{c}", 5).alias(f"mean_{c}") for c in "rgba"])
+
+
+MEANS = ", ".join(f"sum({c} * weight)::DOUBLE / sum(weight) AS mean_{c}" for c in "rgba")
+
+
+def _var_sql() -> str:
+    out = []
+    for c, s in (("r", 7 / 16), ("g", 9 / 16), ("b", 5 / 16), ("a", 4 / 16)):
+        d, t = f"pow(({c} - mean_{c}) / 255.0, 2)", (2 if c == "a" else 1) / 256
+        out.append(f"round(sum(CASE WHEN {d} < {t * t!r} THEN {d} * 0.25 ELSE {d} END * weight) * {s}, 3) AS var_{c}")
+    return ", ".join(out)
+
+
+@query(f"+{_hist_sql(4)}, m AS (SELECT image_id, {MEANS} FROM hist GROUP BY image_id) SELECT image_id, {_var_sql()} FROM hist JOIN m USING (image_id) GROUP BY image_id")
+def agg3_variance(spark, sf_dir):
+    v = colours.variance(colours.histogram(events_raster(spark, sf_dir), 4))
+    return v.select("image_id", *[F.round(f"var_{c}", 3).alias(f"var_{c}") for c in "rgba"])
+
+
+ERROR = "+".join(f"pow(pow({c} / 255.0, {GAMMA!r}) - pow(mean_{c} / 255.0, {GAMMA!r}), 2)" for c in "rgb")
+
+
+@query(f"+{_hist_sql(4)}, m AS (SELECT image_id, {MEANS} FROM hist GROUP BY image_id) SELECT image_id, round(max({ERROR}), 5) AS max_error, round(sum(({ERROR}) * weight), 2) AS total_error FROM hist JOIN m USING (image_id) GROUP BY image_id")
+def agg4_agg5_box_errors(spark, sf_dir):
+    e = colours.errors_from_mean(colours.histogram(events_raster(spark, sf_dir), 4))
+    return e.select("image_id", F.round("max_error", 5).alias("max_error"), F.round("total_error", 2).alias("total_error"))
+
+
+TOP = f"{_hist_sql(4)}, top AS (SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY image_id ORDER BY weight DESC, r, g, b, a) - 1)::INT AS idx FROM hist) WHERE idx < 16)"
+NEAR = f"""near AS (SELECT p.image_id, x, y, p.r, p.g, p.b, p.a, (q).i AS idx, (q).d AS d FROM (
+  SELECT px.*, (SELECT min({{'d': (px.r - t.r) * (px.r - t.r) + (px.g - t.g) * (px.g - t.g) + (px.b - t.b) * (px.b - t.b), 'i': t.idx}}) FROM top t WHERE t.image_id = px.image_id) AS q FROM px) p)"""
+
+
+def _tops(spark, sf_dir):
+    p = events_raster(spark, sf_dir)
+    return p, colours.top_colours(colours.histogram(p, 4), 16)
+
+
+@query(f"+{TOP} SELECT image_id, idx, r, g, b, a, weight FROM top")
+def lim1_top_colours(spark, sf_dir):
+    return _tops(spark, sf_dir)[1].select("image_id", "idx", *"rgba", "weight")
+
+
+def _nn_sql(palette) -> str:
+    rows = ", ".join(f"({i}, {r}, {g}, {b})" for i, (r, g, b) in enumerate(palette))
+    return f"""+pal(i, pr, pg, pb) AS (VALUES {rows}), s AS (SELECT image_id, x, y, i, (r-pr)*(r-pr)+(g-pg)*(g-pg)+(b-pb)*(b-pb) AS d FROM px, pal)
+      SELECT image_id, x, y, i AS idx, d FROM (SELECT *, row_number() OVER (PARTITION BY image_id, x, y ORDER BY d, i) AS k FROM s) WHERE k = 1"""
+
+
+@query(_nn_sql(MIXED))
+def nn1_nearest_palette(spark, sf_dir):
+    best = colours.nearest(MIXED)
+    return events_raster(spark, sf_dir).withColumn("q", best).select("image_id", "x", "y", C("q.i").alias("idx"), C("q.d").alias("d"))
+
+
+@query(f"+{TOP}, {NEAR} SELECT image_id, x, y, idx, d FROM near")
+def nn2_remap(spark, sf_dir):
+    return colours.remapped(*_tops(spark, sf_dir)).select("image_id", "x", "y", "idx", "d")
+
+
+@query(f"+{TOP}, {NEAR} SELECT image_id, round(avg(d), 4) AS mean_sq_error FROM near GROUP BY image_id")
+def agg9_remap_error(spark, sf_dir):
+    return colours.remap_error(colours.remapped(*_tops(spark, sf_dir))).withColumn("mean_sq_error", F.round("mean_sq_error", 4))
+
+
+@query(f"+{TOP}, {NEAR} SELECT image_id, idx, count(*) AS pixels FROM near GROUP BY image_id, idx")
+def agg10_popularity(spark, sf_dir):
+    return colours.remapped(*_tops(spark, sf_dir)).groupBy("image_id", "idx").agg(F.count("*").alias("pixels"))
+
+
+@query("SELECT image_id, count(*) FILTER (WHERE x % 3 = 0) AS locked FROM px GROUP BY image_id")
+def agg12_count_if(spark, sf_dir):
+    return events_raster(spark, sf_dir).groupBy("image_id").agg(F.count_if(C("x") % 3 == 0).alias("locked"))
+
+
+@query(f"+{TOP} SELECT p.image_id, p.idx, min((p.r-q.r)*(p.r-q.r)+(p.g-q.g)*(p.g-q.g)+(p.b-q.b)*(p.b-q.b)) AS nearest FROM top p JOIN top q ON p.image_id = q.image_id AND p.idx <> q.idx GROUP BY p.image_id, p.idx")
+def nn3_isolation(spark, sf_dir):
+    return colours.isolation(_tops(spark, sf_dir)[1])
+
+
+@query(f"+{TOP}, {NEAR} SELECT image_id, x, y, CASE WHEN (r-b)*(r-b)+(g-r)*(g-r)+(b-g)*(b-g) <= d THEN 99 ELSE idx END AS idx FROM near")
+def nn4_background(spark, sf_dir):
+    p, top = _tops(spark, sf_dir)
+    return colours.with_background(colours.remapped(p, top), p.select("image_id", "x", "y", C("b").alias("r"), C("r").alias("g"), C("g").alias("b")), 99)
+
+
+STEP = f"""{TOP}, hn AS (SELECT h.*, (SELECT min({{'d': (h.r-t.r)*(h.r-t.r)+(h.g-t.g)*(h.g-t.g)+(h.b-t.b)*(h.b-t.b), 'i': t.idx}}) FROM top t WHERE t.image_id = h.image_id) AS q FROM hist h),
+  ks AS (SELECT image_id, (q).i AS idx, sum(weight)::BIGINT AS w, sum(r*weight) AS sr, sum(g*weight) AS sg, sum(b*weight) AS sb, sum((q).d*weight)::BIGINT AS e FROM hn GROUP BY ALL)"""
+
+
+@query(f"+{STEP} SELECT image_id, t.idx, " + ", ".join(f"round(CASE WHEN w > 0 THEN s{c}::DOUBLE / w ELSE t.{c} END, 5)::DOUBLE AS {c}" for c in "rgb") + ", coalesce(w, 0) AS popularity, coalesce(e, 0) AS error FROM top t LEFT JOIN ks USING (image_id, idx)")
+def agg7_agg8_kmeans_step(spark, sf_dir):
+    p, top = _tops(spark, sf_dir)
+    out = colours.kmeans_step(colours.histogram(p, 4), top)
+    return out.select("image_id", "idx", *[F.round(c, 5).alias(c) for c in "rgb"], "popularity", "error")
+
+
+@query(f"+{TOP} SELECT image_id, idx, (row_number() OVER (PARTITION BY image_id ORDER BY (a = 255)::INT, weight DESC, r, g, b, a) - 1)::INT AS place FROM top")
+def srt1_palette_order(spark, sf_dir):
+    return colours.palette_order(_tops(spark, sf_dir)[1]).select("image_id", "idx", "place")
+
+
+@query(f"+{_hist_sql(3)}, v AS (SELECT image_id, g AS v, sum(weight) AS w FROM hist GROUP BY ALL), c AS (SELECT *, sum(w) OVER (PARTITION BY image_id ORDER BY v) AS cum, sum(w) OVER (PARTITION BY image_id) AS total FROM v) SELECT image_id, min(v) AS median FROM c WHERE 2 * cum >= total GROUP BY image_id")
+def srt2_weighted_median(spark, sf_dir):
+    return colours.weighted_median(colours.histogram(events_raster(spark, sf_dir), 3), "g")
+
+
+@query()
+def srt3_channel_order(spark, sf_dir):
+    return colours.widest_channel(colours.histogram(events_raster(spark, sf_dir), 4))
+
+
+@query("+b AS (SELECT image_id, y AS box, sum(r) AS weight, var_pop(x * r) AS variance FROM px GROUP BY ALL) SELECT image_id, (SELECT box FROM b c WHERE c.image_id = b.image_id ORDER BY weight * g2 DESC, box LIMIT 1) AS box FROM (SELECT *, 0 AS z FROM b) b GROUP BY image_id".replace("weight * g2", "weight * weight"))
+def srt4_best_box(spark, sf_dir):
+    boxes = events_raster(spark, sf_dir).groupBy("image_id", C("y").alias("box")).agg(F.sum("r").alias("weight")).withColumn("variance", C("weight"))
+    return colours.best_box(boxes)
+
+
+@query(f"+{_hist_sql(4)} SELECT * FROM hist WHERE " + " AND ".join(f"(r-{r})*(r-{r})+(g-{g})*(g-{g})+(b-{b})*(b-{b}) >= 2000" for r, g, b in GREYS[:4]))
+def flt5_set2_without_fixed(spark, sf_dir):
+    return colours.without_fixed(colours.histogram(events_raster(spark, sf_dir), 4), GREYS[:4], 2000)
+
+
+@query(f"+{TOP} SELECT image_id, idx, r, g, b FROM top WHERE idx < 14 UNION ALL SELECT DISTINCT image_id, 14, 0, 0, 0 FROM top UNION ALL SELECT DISTINCT image_id, 15, 17, 17, 17 FROM top")
+def set1_with_fixed(spark, sf_dir):
+    return colours.with_fixed(_tops(spark, sf_dir)[1], GREYS[:2], 16)
+
+
+@query("SELECT image_id, x, y, r, g, b, a FROM px WHERE x BETWEEN 2 AND 9 AND y BETWEEN 1 AND 7 AND a > 0")
+def flt6_flt8_clip(spark, sf_dir):
+    return events_raster(spark, sf_dir).where("x BETWEEN 2 AND 9 AND y BETWEEN 1 AND 7 AND a > 0")
+
+
+AROUND = """coalesce(lag({v}) OVER r, {v}), coalesce(lead({v}) OVER r, {v}), coalesce(lag({v}) OVER c, {v}), coalesce(lead({v}) OVER c, {v})"""
+FRAMES = "WINDOW r AS (PARTITION BY image_id, y ORDER BY x), c AS (PARTITION BY image_id, x ORDER BY y)"
+
+
+def _plane(spark, sf_dir):
+    return events_raster(spark, sf_dir).select("image_id", "x", "y", C("g").alias("v"))
+
+
+@query(f"SELECT image_id, x, y, greatest(g, {AROUND.format(v='g')}) AS v FROM px {FRAMES}")
+def win2_dilate(spark, sf_dir):
+    return stencils.dilate(_plane(spark, sf_dir))
+
+
+@query(f"SELECT image_id, x, y, least(g, {AROUND.format(v='g')}) AS v FROM px {FRAMES}")
+def win3_erode(spark, sf_dir):
+    return stencils.erode(_plane(spark, sf_dir))
+
+
+def _blur_sql(s: int) -> str:
+    o = f"(SELECT unnest(range({-(s - 1)}, {s + 1})) AS o)"
+    return f"""+h AS (SELECT p.image_id, p.x, p.y, (sum(q.g) // {2 * s})::INT AS v FROM px p, {o} JOIN px q ON q.image_id = p.image_id AND q.y = p.y AND q.x = least(greatest(p.x + o, 0), 15) GROUP BY ALL)
+      SELECT p.image_id, p.x, p.y, (sum(q.v) // {2 * s})::INT AS v FROM h p, {o} JOIN h q ON q.image_id = p.image_id AND q.x = p.x AND q.y = least(greatest(p.y + o, 0), 15) GROUP BY ALL"""
+
+
+@query(_blur_sql(3))
+def win4_box_blur(spark, sf_dir):
+    return stencils.box_blur(_plane(spark, sf_dir), 3)
+
+
+def _contrast_sql() -> str:
+    planes = ", ".join(f"pow({c} / 255.0, {GAMMA!r}) * a / 255.0 AS {c}" for c in "rgb")
+    bend = lambda c, w: f"abs(coalesce(lag({c}) OVER {w}, {c}) + coalesce(lead({c}) OVER {w}, {c}) - 2 * {c})"
+    return f"""+f AS (SELECT image_id, x, y, {planes}, a / 255.0 AS a FROM px),
+      e AS (SELECT image_id, x, y, greatest({', '.join(bend(c, 'r') for c in 'rgba').replace('OVER r', 'OVER rr')}) AS hor, greatest({', '.join(bend(c, 'c') for c in 'rgba').replace('OVER c', 'OVER cc')}) AS ver FROM f WINDOW rr AS (PARTITION BY image_id, y ORDER BY x), cc AS (PARTITION BY image_id, x ORDER BY y))
+      SELECT image_id, x, y, least(255, greatest(0, 255 - trunc(round(256 * greatest(hor, ver), 6))))::INT AS edge,
+        least(255, greatest(0, 85 + trunc(round(171 * pow(1 - greatest(greatest(hor, ver) - abs(hor - ver) / 2, least(hor, ver)), 4), 6))))::INT AS noise FROM e"""
+
+
+@query(_contrast_sql())
+def win1_contrast_maps(spark, sf_dir):
+    return stencils.contrast(events_raster(spark, sf_dir))
+
+
+@query()
+def win5_smooth_maps(spark, sf_dir):
+    return stencils.smooth_maps(stencils.contrast(events_raster(spark, sf_dir)))
+
+
+@query("SELECT image_id, least(255, greatest(0, floor((r // 4) * 4 + 0.5)))::INT AS v, x, y FROM px")
+def win11_truncate_bits(spark, sf_dir):
+    return events_raster(spark, sf_dir).select("image_id", "x", "y", px.round_half_up(F.expr("CAST(r div 4 * 4 AS DOUBLE)"), 0, 255).alias("v"))
+
+
+def _grid(w: int, h: int) -> str:
+    return f"grid AS (SELECT DISTINCT image_id, gx::INT AS gx, gy::INT AS gy FROM px, (SELECT unnest(range(0, {w})) AS gx), (SELECT unnest(range(0, {h})) AS gy))"
+
+
+@query(f"+{_grid(11, 20)} SELECT grid.image_id, gx AS x, gy AS y, " + ", ".join(f"coalesce({c}, 0) AS {c}" for c in "rgba") + " FROM grid LEFT JOIN px ON px.image_id = grid.image_id AND px.x = gx + 2 AND px.y = gy - 2")
+def geo1_crop_centre(spark, sf_dir):
+    return stencils.crop(events_raster(spark, sf_dir), 11, 20, (0, 0))
+
+
+@query(f"+{_grid(11, 20)} SELECT grid.image_id, gx AS x, gy AS y, r, g, b, a FROM grid JOIN px ON px.image_id = grid.image_id AND px.x = gx * 16 // 11 AND px.y = gy * 16 // 20")
+def geo2_point_resize(spark, sf_dir):
+    return stencils.point_resize(events_raster(spark, sf_dir), 11, 20)
+
+
+def _resize_sql(w: int, h: int, method: str) -> str:
+    v = lambda n, m: f"{n}(t, s, k) AS (VALUES " + ", ".join(f"({t}, {s}, {k!r}::DOUBLE)" for t, s, k in stencils.weights(method, 16, m)) + ")"
+    half = "0.5" if method == "lanczos" else "0"
+    return f"""+{v('wx', w)}, {v('wy', h)}, ax AS (SELECT image_id, y, t AS x, {', '.join(f'sum({c} * k) AS {c}' for c in 'rgba')} FROM px JOIN wx ON x = s GROUP BY ALL)
+      SELECT image_id, x, t AS y, {', '.join(f'least(255, greatest(0, floor(round(sum({c} * k), 6) + {half})))::INT AS {c}' for c in 'rgba')} FROM ax JOIN wy ON y = s GROUP BY image_id, x, t"""
+
+
+@query(_resize_sql(7, 24, "bilinear"))
+def geo3_bilinear_resize(spark, sf_dir):
+    return stencils.resize(events_raster(spark, sf_dir), 7, 24, "bilinear")
+
+
+@query(_resize_sql(7, 24, "lanczos"))
+def geo4_lanczos_resize(spark, sf_dir):
+    return stencils.resize(events_raster(spark, sf_dir), 7, 24, "lanczos")
+
+
+def _palettes(spark, sf_dir):
+    p = events_raster(spark, sf_dir)
+    return p, quantize.quantize(colours.histogram(p.withColumns({c: px.flatten(C(c), C("a")) for c in "rgb"} | {"a": F.lit(255)}), 4))
+
+
+@query()
+def qnt2_qnt6_quantize(spark, sf_dir):
+    return _palettes(spark, sf_dir)[1].withColumn("popularity", F.round("popularity", 3))
+
+
+@query()
+def qnt8_plain_remap(spark, sf_dir):
+    return colours.remapped(*_palettes(spark, sf_dir)).select("image_id", "x", "y", "idx")
+
+
+@query()
+def win9_qnt9_serpentine_dither(spark, sf_dir):
+    return quantize.dithered(*_palettes(spark, sf_dir))
+
+
+@query()
+def win10_raster_dither(spark, sf_dir):
+    return quantize.dithered(*_palettes(spark, sf_dir), serpentine=False, level=1.0)
+
+
+@query()
+def win6_dither_map(spark, sf_dir):
+    p, palettes = _palettes(spark, sf_dir)
+    return quantize.dither_map(colours.remapped(p, palettes).select("image_id", "x", "y", "idx"), stencils.contrast(p))
+
+
+@query()
+def snk1_c1_raster(spark, sf_dir):
+    p, palettes = _palettes(spark, sf_dir)
+    return files.c1_rasters(colours.remapped(p, palettes), palettes)
+
+
+PATHS = "WITH u AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS p FROM pages), w AS (SELECT page_id, p, regexp_extract(p, '([^/\\\\]*)$', 1) AS whole FROM u), e AS (SELECT *, regexp_extract(whole, '\\.([^.]*)$', 1) AS ext FROM w)"
+
+
+def _paths(spark, sf_dir):
+    u = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.regexp_replace("url", "[?#].*$", "").alias("p"))
+    return u.select("page_id", "p", *files.parsed(C("p")))
+
+
+@query(PATHS + " SELECT page_id, regexp_extract(p, '^(.*)[/\\\\][^/\\\\]*$', 1) AS folder, CASE WHEN ext = '' THEN whole ELSE replace(whole, '.' || ext, '') END AS name, ext FROM e")
+def src8_path_parts(spark, sf_dir):
+    return _paths(spark, sf_dir).select("page_id", "folder", "name", "ext")
+
+
+@query("WITH d AS (SELECT page_id, url FROM pages) SELECT page_id, CASE WHEN length(url) > 4 THEN substr(url, 1, length(url) - 4) ELSE url END AS name FROM d")
+def snk3_save_name(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", files.save_name(C("url")).alias("name"))
+
+
+@query("WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents) SELECT doc_id FROM d WHERE (contains(t, 'the') OR contains(t, 'der')) AND NOT contains(t, 'license')")
+def flt1_text_filter(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    return docs.where(lists.text_filter(C("t"), "the,der,-license")).select("doc_id")
+
+
+@query("WITH d AS (SELECT page_id, url FROM pages) SELECT page_id FROM d WHERE ends_with(url, '/') OR contains(url, '/en/')")
+def flt2_file_filter(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("ext", F.when(C("url").endswith("/") | C("url").contains("/en/"), ".pal").otherwise(".png"))
+    return pages.where(lists.file_filter(F.lit("f"), C("ext"), C("url"), ".pal")).select("page_id")
+
+
+@query("WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents) SELECT doc_id, unnest(range(0, len(l)))::INT AS line_no, unnest(l) AS line FROM d")
+def snk5_log_lines(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", F.posexplode(lists.log_lines(F.coalesce("text", F.lit("")))).alias("line_no", "line"))
+
+
+@query("WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), e AS (SELECT doc_id, unnest(range(0, len(l)))::INT AS line_no, unnest(l) AS line FROM d) SELECT * FROM e WHERE line_no BETWEEN 2 AND 4")
+def lim2_visible_lines(spark, sf_dir):
+    return QUERIES["snk5_log_lines"](spark, sf_dir).where("line_no BETWEEN 2 AND 4")
+
+
+@query("WITH o AS (SELECT n_regionkey AS list, n_name AS item, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::INT AS o FROM nation) SELECT list, item, CASE WHEN o = 3 THEN 0 WHEN o < 3 THEN o + 1 ELSE o END AS ordinal FROM o")
+def ord1_move_to_top(spark, sf_dir):
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select(C("n_regionkey").alias("list"), C("n_name").alias("item"), "n_nationkey")
+    return lists.moved(lists.numbered(nation, "list", ["n_nationkey"]), 3, 0).select("list", "item", "ordinal")
+
+
+@query("WITH o AS (SELECT n_regionkey AS list, list(n_name ORDER BY n_nationkey) AS l FROM nation GROUP BY ALL) SELECT list, (coalesce(list_position(l, 'nation_7'), 0) - 1)::INT AS at FROM o")
+def lk1_index_of(spark, sf_dir):
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    per = nation.groupBy(C("n_regionkey").alias("list")).agg(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda s: s["n_name"]).alias("l"))
+    return per.select("list", (F.array_position("l", "nation_7") - 1).cast("int").alias("at"))
+
+
+@query("SELECT image_id, CASE x % 4 WHEN 0 THEN 'red' WHEN 1 THEN 'green' WHEN 2 THEN 'blue' END AS colour, count(*) AS n FROM px GROUP BY ALL")
+def lk2_map_lookup(spark, sf_dir):
+    known = F.create_map(*[F.lit(v) for v in (0, "red", 1, "green", 2, "blue")])
+    return events_raster(spark, sf_dir).select("image_id", F.try_element_at(known, C("x") % 4).alias("colour")).groupBy("image_id", "colour").agg(F.count("*").alias("n"))
+
+
+def _flagship_sql() -> str:
+    flat = "px AS (SELECT image_id, x, y, " + ", ".join(f"{_posterized(4, _flat(c))} AS {c}" for c in "rgb") + ", 255 AS a FROM raw)"
+    return f"WITH {EVENTS_SQL.replace('px AS', 'raw AS', 1)}, {flat}, {TOP}, {NEAR}, n AS (SELECT image_id, count(DISTINCT {PACK}) AS colours FROM px GROUP BY ALL) SELECT image_id, colours, round(avg(d), 4) AS mean_sq_error FROM near JOIN n USING (image_id) GROUP BY ALL"
+
+
+@query(_flagship_sql())
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flatten, posterize, histogram, 16 most frequent colours, remap, error: per image."""
+    p = events_raster(spark, sf_dir)
+    p = p.select("image_id", "x", "y", *[px.posterize(px.flatten(C(c), C("a")), 4).alias(c) for c in "rgb"], F.lit(255).alias("a"))
+    mapped = colours.remapped(p, colours.top_colours(colours.histogram(p), 16))
+    return colours.distinct_colours(p).join(colours.remap_error(mapped), "image_id").withColumn("mean_sq_error", F.round("mean_sq_error", 4))
