@@ -13,6 +13,8 @@ distinct n-word shingles (a text of fewer words: its whole sequence). Two rows l
    that remain can't reach the threshold. Only a spanning forest of the links leaves the task.
 4. Connected components over classes; copies join their class again.
 
+Joins that carry texts or sets are sort-merge joins at every size, so that their plan doesn't change with the input.
+
 Defined cases: null or white-space texts have the empty set, n_shingles 0, and link with nothing; repeated rows are
 rows of their own and link as copies; a null id takes part and never becomes a component's id unless all ids there are
 null; an empty table gives an empty result; other columns of the input are not looked at.
@@ -399,11 +401,11 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     heads = sent.where("bucket < 0").select("chunk", "k", "o", "x", "ids")
     judged = saved(heads.unionByName(replies, allowMissingColumns=True).groupBy("chunk").applyInArrow(_judge, _JUDGED), "judged")
 
-    sets = saved(base.join(judged.where("survives").select("rid"), "rid").select("rid", "id", "text").mapInArrow(_sets(n), "rid long, id long, class binary, tokens binary"), "sets")
+    sets = saved(base.join(judged.where("survives").select("rid").hint("merge"), "rid").select("rid", "id", "text").mapInArrow(_sets(n), "rid long, id long, class binary, tokens binary"), "sets")
     rank = F.struct(F.col("id").isNull(), F.col("id"), F.col("rid"))
     classes = saved(sets.groupBy("class").agg(F.min(F.struct(F.col("tokens").isNull(), F.col("rid")))["rid"].alias("rep"), F.min(rank).alias("best")), "classes")
     reps = saved(
-        sets.join(classes.select(F.col("rep").alias("rid")), "rid").select("rid", "tokens", (F.octet_length("tokens") / 8).cast("long").alias("n"), F.pmod(F.hash("rid"), F.lit(buckets)).alias("chunk")),
+        sets.join(classes.select(F.col("rep").alias("rid")).hint("merge"), "rid").select("rid", "tokens", (F.octet_length("tokens") / 8).cast("long").alias("n"), F.pmod(F.hash("rid"), F.lit(buckets)).alias("chunk")),
         "reps",
     )
     counts = reps.select("chunk", "tokens").groupBy("chunk").applyInArrow(_send_counts(buckets), "bucket int, chunk int, k binary, x binary")
@@ -411,7 +413,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     firsts = saved(reps.select("chunk", "rid", "tokens").groupBy("chunk").cogroup(frequent.groupBy("chunk")).applyInArrow(_first_elements(threshold), "key long, rid long"), "firsts")
     star = firsts.groupBy("key").agg(F.min("rid").alias("hub"))
     near = components(firsts.join(star, "key").where("rid <> hub").select("rid", "hub"), "rid", "hub")
-    members = near.withColumnsRenamed({"node": "rid", "root": "cluster"}).join(reps.select("rid", "n", "tokens"), "rid")
+    members = near.withColumnsRenamed({"node": "rid", "root": "cluster"}).join(reps.select("rid", "n", "tokens").hint("merge"), "rid")
     links = saved(_block_pairs(saved(members, "members"), threshold, block_bytes).mapInArrow(_join_blocks(threshold), "a long, b long"), "found")
 
     roots = components(links, "a", "b")
