@@ -35,6 +35,7 @@ from rastermill.llm.shared import U64, by_bucket, by_bytes, components, forest,
 ALONE = np.uint32(0xFFFFFFFF)
 STEP = U64(0x9E3779B97F4A7C15)
 BLOCK_BYTES = 128 << 10
+SALTS = 64
 
 
 def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
@@ -362,17 +363,34 @@ def _join_blocks(t: int):
     return run
 
 
+def _salted(bounds: DataFrame) -> DataFrame:
+    """Each row once for each salt, so that what joins with it is dealt to SALTS tasks; for tables with few, small rows."""
+    return bounds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _salt(*columns: str):
+    return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int").alias("salt")
+
+
 def _block_pairs(members: DataFrame, t: int, block_bytes: int) -> DataFrame:
-    """Rows (a, b) of blocks of clusters; b is null for a block with itself. members: cluster, rid, n, tokens."""
-    per_cluster = members.groupBy("cluster").agg(F.sum("n").alias("whole"))
-    band = F.when(F.col("whole") * 8 <= block_bytes, F.lit(0)).otherwise(F.floor(F.log(F.col("n")) / F.lit(float(np.log(100 / t)) if t < 100 else 1e-9)).cast("int"))
-    placed = members.join(per_cluster, "cluster").withColumn("band", band)
-    cut = saved(placed.groupBy("cluster", "band").agg(F.ceil(F.sum("n") * 8 / block_bytes).cast("int").alias("cuts")), "cuts")
-    placed = placed.join(cut, ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("cuts")).cast("int"))
+    """Rows (a, b) of blocks of clusters; b is null for a block with itself. members: cluster, rid, n, tokens.
+
+    A cluster within block_bytes is one block. Only the greater ones have rows in `cut`, by size band, so its copies by salt
+    take SALTS small rows for each band of a cluster of block_bytes or more; rows without a match are in one-block clusters.
+    """
+    band = F.floor(F.log(F.col("n")) / F.lit(float(np.log(100 / t)) if t < 100 else 1e-9)).cast("int")
+    banded = members.withColumn("band", band)
+    per_band = saved(banded.groupBy("cluster", "band").agg(F.sum("n").alias("n")), "bands")
+    large = per_band.groupBy("cluster").agg(F.sum("n").alias("whole")).where(F.col("whole") * 8 > block_bytes)
+    cut = saved(per_band.join(large, "cluster").select("cluster", "band", F.ceil(F.col("n") * 8 / block_bytes).cast("int").alias("cuts")), "cuts")
+    placed = banded.select("*", _salt("rid")).join(_salted(cut), ["cluster", "band", "salt"], "left")
+    placed = placed.withColumns({"band": F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(F.col("band")), "cuts": F.coalesce("cuts", F.lit(1))})
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("cuts")).cast("int"))
     blocks = saved(placed.groupBy("cluster", "band", "cuts", "block").agg(F.collect_list(F.struct("rid", "tokens")).alias("sets")), "blocks")
     alone = blocks.select(F.col("sets").alias("a"), F.lit(None).cast(blocks.schema["sets"].dataType).alias("b"))
-    up = cut.select("cluster", (F.col("band") - 1).alias("band"), F.col("cuts").alias("other"))
-    down = cut.select("cluster", (F.col("band") + 1).alias("band"), F.col("cuts").alias("other"))
+    up = _salted(cut.select("cluster", (F.col("band") - 1).alias("band"), F.col("cuts").alias("other")))
+    down = _salted(cut.select("cluster", (F.col("band") + 1).alias("band"), F.col("cuts").alias("other")))
+    spread, near = blocks.select("*", _salt("block")), ["cluster", "band", "salt"]
     key = ["cluster", "lo", "i", "hi", "j"]
 
     def side(df: DataFrame, name: str, lo, i, hi, j) -> DataFrame:
@@ -381,8 +399,8 @@ def _block_pairs(members: DataFrame, t: int, block_bytes: int) -> DataFrame:
     many = blocks.where("cuts > 1")
     same_a = side(many.where("block < cuts - 1").withColumn("p", F.explode(F.expr("sequence(block + 1, cuts - 1)"))), "a", F.col("band"), F.col("block"), F.col("band"), F.col("p"))
     same_b = side(many.where("block > 0").withColumn("p", F.explode(F.expr("sequence(0, block - 1)"))), "b", F.col("band"), F.col("p"), F.col("band"), F.col("block"))
-    next_a = side(blocks.join(up, ["cluster", "band"]).withColumn("p", F.explode(F.expr("sequence(0, other - 1)"))), "a", F.col("band"), F.col("block"), F.col("band") + 1, F.col("p"))
-    next_b = side(blocks.join(down, ["cluster", "band"]).withColumn("p", F.explode(F.expr("sequence(0, other - 1)"))), "b", F.col("band") - 1, F.col("p"), F.col("band"), F.col("block"))
+    next_a = side(spread.join(up, near).withColumn("p", F.explode(F.expr("sequence(0, other - 1)"))), "a", F.col("band"), F.col("block"), F.col("band") + 1, F.col("p"))
+    next_b = side(spread.join(down, near).withColumn("p", F.explode(F.expr("sequence(0, other - 1)"))), "b", F.col("band") - 1, F.col("p"), F.col("band"), F.col("block"))
     return alone.union(same_a.union(next_a).join(same_b.union(next_b), key).select("a", "b"))
 
 
