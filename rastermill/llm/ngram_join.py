@@ -435,9 +435,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = saved(_block_pairs(saved(members, "members"), threshold, block_bytes).mapInArrow(_join_blocks(threshold), "a long, b long"), "found")
 
     roots = components(links, "a", "b")
-    named = classes.join(roots, F.col("rep") == F.col("node"), "left").select("class", "best", F.coalesce("root", "rep").alias("root"))
-    best = named.groupBy("root").agg(F.min("best").alias("top"))
-    named = named.join(best, "root").select("class", "top")
+    named = saved(classes.join(roots, F.col("rep") == F.col("node"), "left").select("class", "best", F.coalesce("root", "rep").alias("root")), "named")
+    best = saved(named.groupBy("root").agg(F.min("best").alias("top")), "best")  # written, so that adaptive execution may split a hot root
+    named = named.join(best.hint("merge"), "root").select("class", "top")
     own = sets.select("rid", "class").join(named, "class").select("rid", F.col("top.id").alias("least"), (F.col("top.rid") == F.col("rid")).alias("kept"))
     return judged.select("rid", "id", "n_shingles").join(own, "rid", "left").select(
         F.col("rid").alias("row_id"), "id", "n_shingles", F.when(F.col("kept").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"), F.coalesce("kept", F.lit(True)).alias("kept")

@@ -166,7 +166,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
 
     Each round first shortens every partition's links to a star forest, then runs a large-star and a small-star
     step (Kiveris et al. 2014) as aggregates and joins. A node with very many links is aggregated map-side and joined
-    by a join that adaptive execution may split. Links are written to the shared folder each round.
+    by a join that adaptive execution may split: the smallest neighbours are written first, since a side that comes
+    straight from an aggregate can't be dealt anew. Links are written to the shared folder each round.
     """
     edges = saved(
         links.select(F.greatest(a, b).cast("long").alias("a"), F.least(a, b).cast("long").alias("b")).where("a <> b").mapInArrow(_forests, "a long, b long").distinct(),
@@ -179,7 +180,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
             break
         before = now
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).withColumnRenamed("a", "u")
+        least = saved(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).withColumnRenamed("a", "u"), "least")
         large = both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         large = large.mapInArrow(_forests, "a long, b long").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
