@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastermill.llm.shared import U64, by_bucket, by_bytes, components, forest, mix, partitions, saved, split_words, with_row_id
+from rastermill.llm.shared import U64, by_bucket, by_bytes, components, forest, mix, partitions, release, saved, split_words, with_row_id
 
 ALONE = np.uint32(0xFFFFFFFF)
 STEP = U64(0x9E3779B97F4A7C15)
@@ -121,6 +121,7 @@ def _send_prefixes(n: int, t: int, buckets: int):
             if held > 1 << 20 or len(rids) > 1 << 16:
                 yield from flush()
         yield from flush()
+        release()
 
     return run
 
@@ -179,6 +180,7 @@ def _sets(n: int):
             if len(seen) > 1 << 20:
                 seen.clear()
             yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("id"), pa.array(classes, pa.binary()), pa.array(blobs, pa.binary())], names=["rid", "id", "class", "tokens"])
+        release()
 
     return run
 

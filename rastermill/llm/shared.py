@@ -7,6 +7,7 @@ so that a key which a third of all rows share costs one entry per chunk and neve
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -64,6 +65,13 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def release() -> None:
+    """Gives freed memory back to the system, so that an idle Python worker doesn't keep its largest batch's."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about `most` bytes in `column` each, one row at least."""
     for batch in batches:
@@ -77,6 +85,7 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20
             to = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
             yield batch.slice(at, to - at)
             at = to
+        release()
 
 
 def split_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, list[bytes], np.ndarray]:
