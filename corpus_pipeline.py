@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rastermill.llm import pii
-from rastermill.llm.decontamination import contaminated
+from rastermill.llm.decontamination import without_contaminated
 from rastermill.llm.ngram_join import ngram_jaccard_join
 from rastermill.llm.packing import pack_sequences
 from rastermill.llm.shared import free_name, saved, with_row_id
@@ -35,10 +35,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold no benchmark item."""
-    row = free_name(docs, "row_id")
-    numbered = with_row_id(docs, row)
-    found = contaminated(numbered, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=row).select(F.col("id").alias(row)).distinct()
-    return numbered.join(found, row, "left_anti").drop(row)
+    return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
