@@ -298,6 +298,19 @@ def test_contaminated(spark, tmp_path):
     assert {(r["id"], r["item_id"]) for r in few.collect()} == expected
 
 
+def test_without_contaminated(spark):
+    item = "which river runs past the old mill in the valley of seven bridges near the northern border"
+    docs = spark.createDataFrame([(1, f"start {item.upper()} end", "a"), (2, "clean words only", None), (3, None, "b"), (4, "", "c"), (None, item, "d"), (2, "clean words only", None)], "doc_id long, text string, words string")
+    items = spark.createDataFrame([(1, item), (2, "another question entirely about copper kettles and lanterns"), (None, "clean words only")], "item_id long, text string")
+    for item_set in (1, 2048):
+        kept = decontamination.without_contaminated(docs, items, item_set=item_set)
+        assert kept.schema == docs.schema
+        assert sorted((r["doc_id"], r["text"], r["words"]) for r in kept.collect() if r["text"]) == [(2, "clean words only", None)] * 2
+        assert {r["doc_id"] for r in kept.collect()} == {2, 3, 4}
+    assert decontamination.without_contaminated(docs, items.limit(0)).count() == 6
+    assert decontamination.without_contaminated(docs.limit(0), items).count() == 0
+
+
 def test_lcs():
     assert decontamination.lcs([1, 2, 3, 4], np.array([-1, 1, 3, -1, 4, 2])) == 3
     assert decontamination.lcs([1], np.array([], int)) == 0
