@@ -298,6 +298,28 @@ def test_contaminated(spark, tmp_path):
     assert {(r["id"], r["item_id"]) for r in few.collect()} == expected
 
 
+def prose(seed=9, n=6000):
+    """Words with frequencies as in prose: the r-th word about 1/r as often as the first."""
+    r = random.Random(seed)
+    vocabulary = [f"{a}{b}{c}{d}" for a in "bcdfgklmpt" for b in "aeiou" for c in "nrstzlmpkd" for d in ("", *"aeiouy")][:n]
+    r.shuffle(vocabulary)
+    weights = [1 / (i + 5) for i in range(len(vocabulary))]
+    return lambda k: " ".join(r.choices(vocabulary, weights, k=k))
+
+
+def found_pairs(spark, tmp_path, rows, items, **options):
+    found = decontamination.contaminated(table(spark, tmp_path, rows), spark.createDataFrame(items, "item_id long, text string"), **options).collect()
+    assert len(found) == len({(r["id"], r["item_id"]) for r in found})
+    return {(r["id"], r["item_id"]) for r in found}
+
+
+def test_contaminated_with_more_items_than_directions(spark, tmp_path):
+    text = prose()
+    items = [(i, text(30)) for i in range(2100)]
+    rows = [(i, text(120)) for i in range(400)] + [(1000 + i, f"{text(60)} {items[i][1]} {text(60)}") for i in range(0, 2100, 21)]
+    assert found_pairs(spark, tmp_path, rows, items) == {(1000 + i, i) for i in range(0, 2100, 21)}
+
+
 def test_without_contaminated(spark):
     item = "which river runs past the old mill in the valley of seven bridges near the northern border"
     docs = spark.createDataFrame([(1, f"start {item.upper()} end", "a"), (2, "clean words only", None), (3, None, "b"), (4, "", "c"), (None, item, "d"), (2, "clean words only", None)], "doc_id long, text string, words string")
