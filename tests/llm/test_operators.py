@@ -320,6 +320,13 @@ def test_contaminated_with_more_items_than_directions(spark, tmp_path):
     assert found_pairs(spark, tmp_path, rows, items) == {(1000 + i, i) for i in range(0, 2100, 21)}
 
 
+def test_contaminated_by_an_item_in_a_third_of_the_rows(spark, tmp_path):
+    text = prose(10)
+    items = [(i, text(30)) for i in range(20)]
+    rows = [(i, f"{text(40)} {items[7][1]} {text(40)}" if i % 3 == 0 else text(100)) for i in range(4500)]
+    assert found_pairs(spark, tmp_path, rows, items) == {(i, 7) for i in range(0, 4500, 3)}
+
+
 def test_without_contaminated(spark):
     item = "which river runs past the old mill in the valley of seven bridges near the northern border"
     docs = spark.createDataFrame([(1, f"start {item.upper()} end", "a"), (2, "clean words only", None), (3, None, "b"), (4, "", "c"), (None, item, "d"), (2, "clean words only", None)], "doc_id long, text string, words string")
