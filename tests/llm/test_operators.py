@@ -327,6 +327,17 @@ def test_contaminated_by_an_item_in_a_third_of_the_rows(spark, tmp_path):
     assert found_pairs(spark, tmp_path, rows, items) == {(i, 7) for i in range(0, 4500, 3)}
 
 
+def test_contaminated_by_each_text_of_an_item(spark, tmp_path):
+    text = prose(11)
+    texts = [text(30) for _ in range(12)]
+    items = [(i // 3, t) for i, t in enumerate(texts)] + [(0, texts[0])]
+    rows = [(i, f"{text(40)} {t} {text(40)}") for i, t in enumerate(texts)] + [(50, f"{texts[0]} {text(40)} {texts[1]} {texts[2]}"), (60, text(90))]
+    expected = {(i, i // 3) for i in range(12)} | {(50, 0)}
+    assert found_pairs(spark, tmp_path, rows, items) == expected
+    assert found_pairs(spark, tmp_path, rows, items, item_set=2) == expected
+    assert decontamination.contaminated(spark.createDataFrame([(1, texts[1])] * 2, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).count() == 2
+
+
 def test_without_contaminated(spark):
     item = "which river runs past the old mill in the valley of seven bridges near the northern border"
     docs = spark.createDataFrame([(1, f"start {item.upper()} end", "a"), (2, "clean words only", None), (3, None, "b"), (4, "", "c"), (None, item, "d"), (2, "clean words only", None)], "doc_id long, text string, words string")
