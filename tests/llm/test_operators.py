@@ -338,6 +338,40 @@ def test_contaminated_by_each_text_of_an_item(spark, tmp_path):
     assert decontamination.contaminated(spark.createDataFrame([(1, texts[1])] * 2, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).count() == 2
 
 
+@pytest.mark.parametrize("size", [1, 5, 8, 12, 16, 40, 150, 600, 1000])
+def test_search_finds_verbatim_items_of_any_length(size):
+    r = np.random.default_rng(size)
+    shares = 1 / (np.arange(3000) + 5.0)
+    text = lambda n: r.choice(3000, n, p=shares / shares.sum())
+    items = [text(size).tolist() for _ in range(40)]
+    inside = np.zeros(3000, bool)
+    inside[np.concatenate(items)] = True
+    rows = []
+    for item in items:
+        before, after = (np.where(inside[w], w, decontamination.OTHER) for w in (text(r.integers(0, 90)), text(r.integers(0, 90))))
+        rows.append(np.r_[before, item, after])
+    idf = np.log(1 / (shares / shares.sum() * 20).clip(max=1)) + 0.05
+    own = np.zeros((40, 3000))
+    for k, item in enumerate(items):
+        np.add.at(own[k], item, idf[item])
+    own /= np.linalg.norm(own, axis=1, keepdims=True)
+    directions = np.linalg.qr(own.T)[0]
+    for outside in (1.0, 30.0):  # as in a small and a vast corpus
+        space = decontamination.Space(idf, outside, directions, list(enumerate(items)), own @ directions, 20, cosine=0.3, ratio=0.6, sure=0.75, answer=0.6)
+        best = decontamination.Searcher(space).matches(np.concatenate(rows).astype(np.int32), np.r_[0, np.cumsum([len(x) for x in rows])])
+        assert all(best[k, k][0] == 1 for k in range(40))
+        if size >= 16:
+            assert len(best) == 40
+
+
+def test_contaminated_by_short_and_long_items(spark, tmp_path):
+    text = prose(12)
+    sizes = [8] * 20 + [12] * 20 + [600] * 20 + [1000] * 20
+    items = [(i, text(n)) for i, n in enumerate(sizes)]
+    rows = [(i, f"{text(50)} {t} {text(50)}") for i, t in items]
+    assert found_pairs(spark, tmp_path, rows, items) == {(i, i) for i in range(80)}
+
+
 def test_without_contaminated(spark):
     item = "which river runs past the old mill in the valley of seven bridges near the northern border"
     docs = spark.createDataFrame([(1, f"start {item.upper()} end", "a"), (2, "clean words only", None), (3, None, "b"), (4, "", "c"), (None, item, "d"), (2, "clean words only", None)], "doc_id long, text string, words string")
