@@ -60,8 +60,9 @@ def refine(colours: np.ndarray, weight: np.ndarray, palette: np.ndarray, fixed:
 
 
 def quantize(hist: DataFrame, size: int = 16, rounds: int = 31, fixed: tuple[tuple[int, int, int], ...] = (), least_gain: float = 1e-6) -> DataFrame:
-    """QNT2 to QNT6, QNT10: a palette per image from its histogram (image_id, r, g, b, weight). Few colours are the palette themselves (QNT3).
+    """QNT2, QNT3, QNT5, QNT6, QNT10: a palette per image from its histogram (image_id, r, g, b, weight). Few colours are the palette themselves (QNT3).
 
+    One median cut, then k-means steps; the feedback search over several cuts (QNT4) is not built.
     Order (SRT1): falling popularity, fixed colours last.
     """
 
@@ -109,7 +110,7 @@ def diffuse(image: np.ndarray, palette: np.ndarray, shares: tuple[float, ...], s
 
 
 def dithered(pixels: DataFrame, palettes: DataFrame, serpentine: bool = True, level: float = 0.75, most_pixels: int = 64 << 20) -> DataFrame:
-    """WIN9 (serpentine) or WIN10 (raster order): image_id, x, y, idx."""
+    """WIN9 (serpentine) or WIN10 (raster order), without a dither map and on the palette as given (so not QNT9): image_id, x, y, idx."""
 
     def run(image: pd.DataFrame, palette: pd.DataFrame) -> pd.DataFrame:
         if not len(image) or not len(palette):

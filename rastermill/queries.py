@@ -1,4 +1,4 @@
-"""The registered queries, one or more for each operator of SURVEY section 2, and their SQL."""
+"""The registered queries for the operators of SURVEY section 2, and their SQL; README names the operators that have none."""
 
 from __future__ import annotations
 
