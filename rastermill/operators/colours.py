@@ -93,7 +93,10 @@ def nearest(palette: list[tuple[int, int, int]]) -> Column:
 
 
 def remapped(pixels: DataFrame, palettes: DataFrame) -> DataFrame:
-    """Each pixel's nearest colour in its image's palette (image_id, idx, r, g, b; at most 256 each): idx and squared distance."""
+    """Each pixel's nearest colour in its image's palette (image_id, idx, r, g, b; at most 256 each): idx and squared distance.
+
+    The metric is NN1's (plain RGB, alpha ignored), not NN2's (PX13).
+    """
     per = palettes.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct(C("idx"), C("r").alias("pr"), C("g").alias("pg"), C("b").alias("pb")))).alias("p"))
     best = F.array_min(F.transform("p", lambda e: F.struct(((C("r") - e["pr"]) * (C("r") - e["pr"]) + (C("g") - e["pg"]) * (C("g") - e["pg"]) + (C("b") - e["pb"]) * (C("b") - e["pb"])).alias("d"), e["idx"].alias("idx"))))
     return pixels.join(per, "image_id").withColumn("best", best).select("image_id", "x", "y", *"rgba", C("best.idx").alias("idx"), C("best.d").alias("d"))
