@@ -119,23 +119,71 @@ def test_packing(spark, tmp_path):
         assert end <= 4096
 
 
-def test_best_fit_is_classic_best_fit_decreasing():
+def supersteps(counts, capacity, ranges):
+    """The supersteps without Spark: placements, and how many sequences are open."""
+    bounds = packing.upper_bounds(capacity, ranges)
+    state = {i: [] for i in range(len(bounds))}
+    for x, n in counts.items():
+        state[next(i for i, b in enumerate(bounds) if x <= b)].append((packing.PIECE, x, 0, n, 0, 0))
+    state[len(bounds) - 1].append((packing.OPENED, 0, 0, 0, 0, 0))
+    placed = []
+    for step in range(packing.begins(len(bounds))):
+        out = [x for here, runs in state.items() for x in packing.sweep(here, runs, bounds, capacity, step)]
+        placed += [run for to, run in out if to == packing.NOWHERE]
+        state = {i: [run for to, run in out if to == i] for i in state}
+    left = [run for runs in state.values() for run in runs]
+    assert not any(run[0] == packing.PIECE for run in left)
+    return placed, next(run[3] for run in left if run[0] == packing.OPENED)
+
+
+def classic(lengths, capacity):
+    """Gaps after best-fit decreasing, piece by piece."""
+    gaps = []
+    for x in sorted(lengths, reverse=True):
+        fits = [g for g in gaps if g >= x]
+        if fits:
+            gaps.remove(min(fits))
+        gaps.append((min(fits) if fits else capacity) - x)
+    return gaps
+
+
+@pytest.mark.parametrize("ranges", [1, 2, 4])
+def test_supersteps_are_best_fit_decreasing(ranges):
     r = random.Random(4)
-    for _ in range(50):
-        lengths = [r.randint(1, 20) for _ in range(r.randint(1, 60))]
-        gaps = []
-        for x in sorted(lengths, reverse=True):
-            fits = [g for g in gaps if g >= x]
-            if fits:
-                gaps.remove(min(fits))
-                gaps.append(min(fits) - x)
-            else:
-                gaps.append(20 - x)
+    for _ in range(200):
+        capacity = r.choice([20, 64])
+        lengths = [r.randint(1, r.choice([capacity, capacity // 3])) for _ in range(r.randint(1, 90))]
         counts = {x: lengths.count(x) for x in set(lengths)}
-        runs = packing.best_fit(counts, 20)
-        assert sum(b - a for _, a, b, _, _ in runs) == len(lengths)
-        used = {s for _, a, b, shift, _ in runs for s in range(a + shift, b + shift)}
-        assert len(used) <= len(gaps) + 1
+        placed, opened = supersteps(counts, capacity, ranges)
+        taken, ranks = {}, {}
+        for _, size, first, n, sequence, offset in placed:
+            ranks.setdefault(size, []).extend(range(first, first + n))
+            for i in range(n):
+                taken.setdefault(sequence + i, []).append((offset, size))
+        assert {x: sorted(v) for x, v in ranks.items()} == {x: list(range(n)) for x, n in counts.items()}
+        assert sorted(taken) == list(range(opened))
+        for places in taken.values():
+            places.sort()
+            assert [p for p, _ in places] == list(np.cumsum([0, *(s for _, s in places)])[:-1]) and sum(s for _, s in places) <= capacity
+        gaps = classic(lengths, capacity)
+        if ranges == 1:
+            assert sorted(capacity - sum(s for _, s in p) for p in taken.values()) == sorted(gaps)
+        assert opened <= len(gaps) + (ranges > 1)
+
+
+def test_packing_reaches_the_lower_bound(spark, sf):
+    """As few sequences as there can be, on a real table; ranks within a length follow the scan."""
+    found = packing.pack_sequences(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), VOCABULARY).collect()
+    assert len({r["sequence_id"] for r in found}) == -(-sum(r["length"] for r in found) // 4096)
+
+
+def test_packing_of_copies(spark, tmp_path):
+    """A group of copies is a third of all rows; each is placed once, and a run of one length fills sequences in order of the scan."""
+    texts = ["one two three"] * 40 + [" ".join(f"w{i}" for i in range(k)) for k in range(80)]
+    found = packing.pack_sequences(table(spark, tmp_path, list(enumerate(texts))), VOCABULARY, capacity=16).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in found}) == len(found) == len({(r["row_id"], r["piece"]) for r in found})
+    fours = sorted((r["row_id"], r["sequence_id"]) for r in found if r["length"] == 4 and r["start"] == 0 and r["id"] < 40)
+    assert len(fours) == 40 and [s for _, s in fours] != [0] * 40
 
 
 def test_token_counts_are_greedy(spark, tmp_path):
