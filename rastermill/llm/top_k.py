@@ -1,7 +1,7 @@
 """Exact top-k search by inner product: exhaustive term-at-a-time accumulation.
 
 Vectors are quantised to integers. A block of candidates is turned into postings, one list of (row, weight) for each
-dimension; a query's non-zero components scatter their weighted postings into dense score arrays. Partition selection
+dimension, once for all queries; a query's non-zero components scatter their weighted postings into dense score arrays. Partition selection
 takes each block's best k for each query, and an aggregate merges them. Queries travel to the tasks in sets of bounded
 size; every set meets every candidate, block by block.
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rastermill.llm.shared import scratch
+from rastermill.llm.shared import saved, scratch
 
 QUERY_SET = 4096
 TILE = 512
@@ -46,21 +46,23 @@ def _matrix(lists: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def scores(queries: np.ndarray, block: np.ndarray) -> np.ndarray:
-    """Inner products, accumulated term at a time from postings."""
-    bound = float(np.abs(queries).max(initial=0)) * float(np.abs(block).max(initial=0)) * max(1, queries.shape[1])
-    kind = np.int32 if bound < 2**31 else np.int64
-    out = np.zeros((len(queries), len(block)), kind)
-    queries, block = queries.astype(kind), block.astype(kind)
-    for term in range(queries.shape[1]):
-        asked, rows = np.flatnonzero(queries[:, term]), np.flatnonzero(block[:, term])
-        if not len(asked) or not len(rows):
+def postings(block: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each term (dimension) the rows that have it, and their weights."""
+    return [(rows := np.flatnonzero(column), np.ascontiguousarray(column[rows])) for column in block.T]
+
+
+def scores(queries: np.ndarray, posted: list[tuple[np.ndarray, np.ndarray]], rows: int) -> np.ndarray:
+    """Inner products of queries and the posted rows: each term's weighted postings are added to its queries' score arrays."""
+    out = np.zeros((rows, len(queries)), queries.dtype)
+    for column, (at, weights) in zip(queries.T, posted, strict=True):
+        asked = np.flatnonzero(column)
+        if not len(asked) or not len(at):
             continue
-        if len(asked) == len(queries) and len(rows) > 0.8 * len(block):
-            out += queries[:, term, None] * block[None, :, term]
+        if len(asked) == len(queries):
+            out[at] += weights[:, None] * column
         else:
-            out[np.ix_(asked, rows)] += queries[asked, term, None] * block[None, rows, term]
-    return out
+            out[np.ix_(at, asked)] += weights[:, None] * column[asked]
+    return np.ascontiguousarray(out.T)
 
 
 def _best(query_ids: np.ndarray, queries: np.ndarray, k: int):
@@ -74,8 +76,11 @@ def _best(query_ids: np.ndarray, queries: np.ndarray, k: int):
             ids, block = ids[order], block[order]
             heads = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
             out: list[list[np.ndarray]] = [[], [], []]
+            bound = float(np.abs(queries).max(initial=0)) * float(np.abs(block).max(initial=0)) * max(1, queries.shape[1])
+            kind = np.int32 if bound < 2**31 else np.int64
+            posted = postings(block.astype(kind))
             for at in range(0, len(queries), TILE):
-                found = scores(queries[at : at + TILE], block).astype(np.int64)
+                found = scores(queries[at : at + TILE].astype(kind), posted, len(block)).astype(np.int64)
                 if len(heads) < len(ids):
                     found = np.maximum.reduceat(found, heads, axis=1)
                 mine = ids[heads]
@@ -104,7 +109,7 @@ def exact_top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, id_col: s
     Queries are taken in sets of `query_set`; one set at a time is on the driver and in the tasks.
     """
     spark = candidates.sparkSession
-    asked = quantised(queries, id_col, vec_col, scale).groupBy("id").agg(F.min("v").alias("v"))
+    asked = saved(quantised(queries, id_col, vec_col, scale).groupBy("id").agg(F.min("v").alias("v")), "queries")
     base = quantised(candidates, id_col, vec_col, scale)
     last, parts, path = None, 0, scratch(spark, "top")
     merged = None
