@@ -431,8 +431,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     counts = reps.select("chunk", "tokens").groupBy("chunk").applyInArrow(_send_counts(buckets), "bucket int, chunk int, k binary, x binary")
     frequent = counts.groupBy("bucket").applyInArrow(_sum_counts, "chunk int, k binary, x binary")
     firsts = saved(reps.select("chunk", "rid", "tokens").groupBy("chunk").cogroup(frequent.groupBy("chunk")).applyInArrow(_first_elements(threshold), "key long, rid long"), "firsts")
-    star = firsts.groupBy("key").agg(F.min("rid").alias("hub"))
-    near = components(firsts.join(star, "key").where("rid <> hub").select("rid", "hub"), "rid", "hub")
+    star = saved(firsts.groupBy("key").agg(F.min("rid").alias("hub")), "star")  # written, so that adaptive execution may split a hot key
+    near = components(firsts.join(star.hint("merge"), "key").where("rid <> hub").select("rid", "hub"), "rid", "hub")
     members = near.withColumnsRenamed({"node": "rid", "root": "cluster"}).join(reps.select("rid", "n", "tokens").hint("merge"), "rid")
     links = saved(_block_pairs(saved(members, "members"), threshold, block_bytes).mapInArrow(_join_blocks(threshold), "a long, b long"), "found")
 
