@@ -5,8 +5,9 @@ in the public "WARC/1.1 with Zstandard" layout. The reader loads the dictionary
 time, and validates version line, header fields, the record's length and its digest.
 
 Rows with equal payloads of `least` bytes or more: the one with the largest id is a response, the others are revisit
-records without payload that name it. The choice needs digests only: an aggregate per digest, joined again by a join that
-adaptive execution can split; payloads are shuffled once, spread by row. Archives are bounded in bytes and kept as rows
+records without payload that name it. The choice needs digests only: an aggregate per digest is written, then joined with
+row numbers and digests, so that adaptive execution can split the copies of a hot payload (a side straight from an aggregate
+can't be dealt anew). Payloads are shuffled once, by row number. Archives are bounded in bytes and kept as rows
 (name, content) of a table in the shared folder, so any store that Spark can write holds them.
 
 Defined cases: a null payload is empty; smaller payloads are all responses; repeated rows are records of their own, and
@@ -25,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastermill.llm.shared import by_bytes, saved
+from rastermill.llm.shared import by_bytes, saved, with_row_id
 
 SKIPPABLE = 0x184D2A5D
 FRAME = 0xFD2FB528
@@ -33,6 +34,9 @@ ARCHIVE_BYTES = 8 << 20
 DICTIONARY_BYTES = 16 << 10
 #: WARC/1.1 names of header fields, and this writer's own for the payload's size.
 TYPE, ID, REFERS, DIGEST, LENGTH, URI, SIZE = "WARC-Type", "WARC-Record-ID", "WARC-Refers-To", "WARC-Payload-Digest", "Content-Length", "WARC-Target-URI", "X-Payload-Length"
+DATE, PROFILE, SAME_PAYLOAD = "WARC-Date", "WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: The date of records whose pages say none.
+NO_DATE = "1970-01-01T00:00:00Z"
 VERSION = b"WARC/1.1"
 
 
@@ -40,10 +44,11 @@ class BadArchive(ValueError):
     """What is read is not an archive of this layout."""
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None, revisit: bool) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None, revisit: bool, date: str = NO_DATE) -> bytes:
     clean = "".join(c for c in url or "" if c not in "\r\n")
-    fields = [(TYPE, "revisit" if revisit else "response"), (ID, f"<urn:page:{'' if page_id is None else page_id}>"), (URI, clean), (DIGEST, f"sha1:{digest}"), (SIZE, str(size))]
+    fields = [(TYPE, "revisit" if revisit else "response"), (ID, f"<urn:page:{'' if page_id is None else page_id}>"), (DATE, date), (URI, clean), (DIGEST, f"sha1:{digest}"), (SIZE, str(size))]
     if revisit:
+        fields.append((PROFILE, SAME_PAYLOAD))
         fields.append((REFERS, f"<urn:page:{'' if refers_to is None else refers_to}>"))
     body = b"" if revisit else payload
     fields.append((LENGTH, str(len(body))))
@@ -101,10 +106,10 @@ def parse(text: bytes) -> dict:
         if not colon or name.decode() in fields:
             raise BadArchive(f"bad header line {line[:60]!r}")
         fields[name.decode()] = value.strip().decode()
-    for name in (TYPE, ID, DIGEST, LENGTH, SIZE):
+    for name in (TYPE, ID, DATE, DIGEST, LENGTH, SIZE):
         if name not in fields:
             raise BadArchive(f"{name} is missing")
-    if fields[TYPE] not in ("response", "revisit") or (fields[TYPE] == "revisit") != (REFERS in fields):
+    if fields[TYPE] not in ("response", "revisit") or (fields[TYPE] == "revisit") != (REFERS in fields) or (fields[TYPE] == "revisit") != (fields.get(PROFILE) == SAME_PAYLOAD):
         raise BadArchive("bad record type")
     if not fields[LENGTH].isdecimal() or not fields[SIZE].isdecimal() or len(body) != int(fields[LENGTH]) + 4 or body[-4:] != b"\r\n\r\n":
         raise BadArchive("the record's length is not what its header says")
@@ -122,12 +127,12 @@ def _page(urn: str) -> int | None:
     return int(inner) if inner else None
 
 
-def _write(archive_bytes: int):
+def _write(archive_bytes: int, date: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "payload", archive_bytes):
             rows = batch.to_pylist()
             dictionary = train([r["payload"] for r in rows if r["payload"]])
-            made = [record(r["id"], r["url"], r["payload"] or b"", r["size"], r["digest"], r["refers_to"], r["revisit"]) for r in rows]
+            made = [record(r["id"], r["url"], r["payload"] or b"", r["size"], r["digest"], r["refers_to"], r["revisit"], date) for r in rows]
             content = write_archive(made, dictionary)
             name = f"pages-{hashlib.sha1(content).hexdigest()}.warc.zst"
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([content], pa.binary()), pa.array([len(rows)], pa.int64())], names=["archive", "content", "records"])
@@ -135,15 +140,20 @@ def _write(archive_bytes: int):
     return run
 
 
-def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 1000, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Archives (archive, content, records) with a record for each row of pages."""
+def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 1000, archive_bytes: int = ARCHIVE_BYTES, date: str = NO_DATE) -> DataFrame:
+    """Archives (archive, content, records) with a record for each row of pages; `date` is every record's.
+
+    `pages` must give its rows in the same order whenever it is read (a table or files, not a shuffle).
+    """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.encode(F.col(payload_col).cast("string"), "UTF-8"), F.lit(b"")).alias("payload"))
-    rows = rows.withColumn("size", F.octet_length("payload").cast("long")).withColumn("digest", F.sha1("payload"))
+    rows = with_row_id(rows.withColumn("size", F.octet_length("payload").cast("long")).withColumn("digest", F.sha1("payload")), "rid")
     key = ["digest", "size"]
-    equal = rows.where(F.col("size") >= least).groupBy(*key).agg(F.max("id").alias("top"), F.count("*").alias("n")).where("n > 1").select(*key, "top")
-    other = F.col("top").isNotNull() & (F.col("id").isNull() | (F.col("id") < F.col("top")))
-    marked = rows.join(equal, key, "left").select("id", "url", "size", "digest", F.when(other, F.col("top")).alias("refers_to"), F.coalesce(other, F.lit(False)).alias("revisit"), F.when(~other, F.col("payload")).alias("payload"))
-    return marked.mapInArrow(_write(archive_bytes), "archive string, content binary, records long")
+    large = saved(rows.where(F.col("size") >= least).select("rid", "id", *key), "digests")
+    equal = saved(large.groupBy(*key).agg(F.max("id").alias("top"), F.count("*").alias("n")).where("n > 1").select(*key, "top"), "equal")
+    copies = large.join(equal.hint("merge"), key).where(F.col("id").isNull() | (F.col("id") < F.col("top"))).select("rid", F.col("top").alias("refers_to"), F.lit(True).alias("revisit"))
+    marked = rows.join(copies.hint("merge"), "rid", "left").withColumn("revisit", F.coalesce("revisit", F.lit(False)))
+    marked = marked.select("id", "url", "size", "digest", "refers_to", "revisit", F.when(~F.col("revisit"), F.col("payload")).alias("payload"))
+    return marked.mapInArrow(_write(archive_bytes, date), "archive string, content binary, records long")
 
 
 def _read(with_payload: bool):
