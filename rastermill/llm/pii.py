@@ -6,10 +6,13 @@ and a context labeler (cue words before the span). The corpus's votes are counte
 conditionally independent labelers estimates each one's reliability and the share of true spans per kind, and a logistic
 span classifier over kind, votes and length is trained on the posteriors. It decides on the looser candidates.
 
-Only counts by pattern reach the driver (kinds x 8 votes x 4 length classes); there is no shuffle of texts.
+Only counts by pattern reach the driver (kinds x 8 votes x 4 length classes); there is no shuffle of texts. Texts are scanned
+once: candidates are written, and both training and decision read them.
 
-Patterns are written so that no run of characters is scanned again from each of its places: a match begins where a run
-begins or the previous match ended (\G), which leaves the leftmost non-overlapping matches as they are.
+Time is linear in a text, however many matches it has. Patterns are written so that no run of characters is scanned again
+from each of its places: a match begins where a run begins or the previous match ended (\G), which leaves the leftmost
+non-overlapping matches as they are; card numbers are runs of 16 to 19 digits between which at most one space or dash
+stands, begun and ended where the base pattern's runs are. Cheaper tests come first, which every match passes.
 
 Defined cases: a null text is empty and has no spans; repeated rows are judged each; null ids are carried; an empty table
 gives an empty result; other columns are not looked at. Places count code points, ends are exclusive.
@@ -21,23 +24,26 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rastermill.llm.located import matches, quoted
+from rastermill.llm.located import apart, matches, quoted, replaced
+from rastermill.llm.shared import saved
 
 # The base kinds' patterns and checks, in the order in which spans are listed.
 BASE = {
-    "email": (r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "instr({t}, '@') > 0"),
-    "ip": (r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "true"),
-    "card": (r"[0-9](?:[ -]?[0-9])++", "true"),
-    "phone": (r"\+[0-9][ ().0-9-]+[0-9]", "instr({t}, '+') > 0"),
+    "email": (r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "instr(t, '@') > 0"),
+    "ip": (r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "digits"),
+    "card": (r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}+(?![ -]?[0-9])", "digits"),
+    "phone": (r"\+[0-9][ ().0-9-]+[0-9]", "instr(t, '+') > 0 AND digits"),
 }
+#: A part of every match of the kinds that look at `digits`: seven characters of these at least.
+DIGITS = r"[0-9][ ().0-9-]{5}"
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 #: Looser kinds: pattern, when to look, and the labelers' strict shape.
 LOOSE = {
-    "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "true", r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])", "true", r"^[A-Z]{2}[0-9]{2}[A-Z0-9]{4}[0-9]{7}[A-Z0-9]{0,16}$"),
-    "localphone": (r"(?<![0-9+().-])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9-])", "true", r"^\(?[2-9][0-9]{2}\)?[ .-]?[2-9][0-9]{2}[.-][0-9]{4}$"),
-    "person": (r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\.? [A-Z][a-z]+(?: [A-Z][a-z]+)?", "true", r"^(?:Mr|Mrs|Ms|Dr|Prof)\.? [A-Z][a-z]+ [A-Z][a-z]+$"),
-    "mac": (r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:])", "true", r"^(?:[0-9A-F]{2}:){5}[0-9A-F]{2}$|^(?:[0-9a-f]{2}:){5}[0-9a-f]{2}$"),
+    "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "digits", r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"),
+    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])", r"t RLIKE r'[A-Z]{2}[0-9]{2}[A-Z0-9]{11}'", r"^[A-Z]{2}[0-9]{2}[A-Z0-9]{4}[0-9]{7}[A-Z0-9]{0,16}$"),
+    "localphone": (r"(?<![0-9+().-])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9-])", "digits", r"^\(?[2-9][0-9]{2}\)?[ .-]?[2-9][0-9]{2}[.-][0-9]{4}$"),
+    "person": (r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\.? [A-Z][a-z]+(?: [A-Z][a-z]+)?", "instr(t, 'Mr') > 0 OR instr(t, 'Ms') > 0 OR instr(t, 'Dr') > 0 OR instr(t, 'Prof') > 0", r"^(?:Mr|Mrs|Ms|Dr|Prof)\.? [A-Z][a-z]+ [A-Z][a-z]+$"),
+    "mac": (r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:])", "instr(t, ':') > 0 AND t RLIKE '(?:[0-9A-Fa-f]{2}:){5}'", r"^(?:[0-9A-F]{2}:){5}[0-9A-F]{2}$|^(?:[0-9a-f]{2}:){5}[0-9a-f]{2}$"),
 }
 KINDS = [*BASE, *LOOSE]
 #: Gazetteer: known beginnings or endings of each kind.
@@ -63,7 +69,6 @@ CUES = {
     "person": "name|dear|by|from|author|patient|regards",
     "mac": "mac|device|adapter|ethernet|hardware",
 }
-REACH = 32
 LENGTHS = (12, 20, 30)
 
 
@@ -89,17 +94,19 @@ def _voted(kind: str) -> Column:
     return F.expr(
         f"""transform(c_{kind}, x -> named_struct('k', {KINDS.index(kind)}, 's', x.s, 'e', x.e, 'r', {strict},
             'g', CAST(x.m RLIKE {quoted(KNOWN[kind])} AS INT),
-            'c', CAST(substr(t, greatest(1, x.s - {REACH - 1}), least({REACH}, x.s)) RLIKE {quoted('(?i)(?:' + CUES[kind] + ')')} AS INT), 'l', {length}))"""
+            'c', CAST(x.c RLIKE {quoted('(?i)(?:' + CUES[kind] + ')')} AS INT), 'l', {length}))"""
     )
 
 
-def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, t (the text) and cands: all candidates with their votes, in the order of kinds, then places."""
+def candidates(docs: DataFrame, id_col: str, text_col: str, keep_text: bool = True) -> DataFrame:
+    """id, t (the text, if wished) and cands: all candidates with their votes, in the order of kinds, then places."""
+    kept = ["id", "t"] if keep_text else ["id"]
     df = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    df = df.withColumn("digits", F.expr(f"t RLIKE {quoted(DIGITS)}"))
     patterns = {k: v[:2] for k, v in BASE.items()} | {k: v[:2] for k, v in LOOSE.items()}
-    df = df.select("id", "t", *[matches("t", p, w.format(t="t")).alias(f"p_{k}") for k, (p, w) in patterns.items()])
-    df = df.select("id", "t", *[(_checked(k) if k in BASE else F.col(f"p_{k}")).alias(f"c_{k}") for k in KINDS])
-    return df.select("id", "t", F.concat(*[_voted(k) for k in KINDS]).alias("cands"))
+    df = df.select(*kept, *[matches("t", p, w).alias(f"p_{k}") for k, (p, w) in patterns.items()])
+    df = df.select(*kept, *[(_checked(k) if k in BASE else F.col(f"p_{k}")).alias(f"c_{k}") for k in KINDS])
+    return df.select(*kept, F.concat(*[_voted(k) for k in KINDS]).alias("cands"))
 
 
 def reliabilities(counts: dict[tuple[int, int, int, int, int], int], rounds: int = 100) -> tuple[np.ndarray, np.ndarray, dict]:
@@ -156,19 +163,24 @@ def train(cands: DataFrame) -> np.ndarray:
     return span_classifier(counts, posterior)
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: np.ndarray | None = None) -> DataFrame:
-    """id, t (the whole text) and spans: array of (k, s, e), base spans, and the looser ones that the classifier takes and
-    that touch no base span.
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: np.ndarray | None = None, keep_text: bool = True) -> DataFrame:
+    """id, t (the whole text, if wished) and spans: array of (k, s, e), base spans, and the looser ones that the classifier
+    takes and that touch no base span.
 
     k is the place in KINDS; spans are ordered by kind, then place. Trains on docs unless weights are given.
     """
-    cands = candidates(docs, id_col, text_col)
+    cands = candidates(docs, id_col, text_col, keep_text)
+    if weights is None:
+        cands = saved(cands, "candidates")
     w = train(cands) if weights is None else weights
     kinds = "array(" + ", ".join(f"{x!r}D" for x in w[: len(KINDS)].tolist()) + ")"
     lengths = "array(" + ", ".join(f"{x!r}D" for x in w[len(KINDS) + 3 :].tolist()) + ")"
     r, g, c = (f"{x!r}D" for x in w[len(KINDS) : len(KINDS) + 3].tolist())
-    taken = f"x -> x.k < {len(BASE)} OR element_at({kinds}, x.k + 1) + {r} * x.r + {g} * x.g + {c} * x.c + element_at({lengths}, x.l + 1) >= 0 AND NOT exists(cands, y -> y.k < {len(BASE)} AND y.s < x.e AND x.s < y.e)"
-    return cands.select("id", "t", F.expr(f"transform(filter(cands, {taken}), x -> named_struct('k', x.k, 's', x.s, 'e', x.e))").alias("spans"))
+    taken = f"x -> x.k >= {len(BASE)} AND element_at({kinds}, x.k + 1) + {r} * x.r + {g} * x.g + {c} * x.c + element_at({lengths}, x.l + 1) >= 0"
+    short = "x -> named_struct('k', x.k, 's', x.s, 'e', x.e)"
+    base = f"transform(filter(cands, x -> x.k < {len(BASE)}), {short})"
+    both = cands.withColumns({"base": F.expr(base), "more": F.expr(f"transform(filter(cands, {taken}), {short})")})
+    return both.select("id", *(["t"] if keep_text else []), F.expr(f"concat(base, {apart('more', 'base')})").alias("spans"))
 
 
 def listed(spans: str) -> str:
@@ -178,13 +190,8 @@ def listed(spans: str) -> str:
 
 
 def masked() -> Column:
-    """The text t with each of its spans replaced by its kind in brackets; overlapping spans become one mask."""
+    """The text t with each of its spans replaced by its kind in brackets; overlapping spans become one mask, by the kind of the
+    first, or of the longest of those that begin together."""
     names = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
-    return F.expr(
-        f"""CASE WHEN size(spans) = 0 THEN t ELSE aggregate(
-            array_sort(transform(spans, x -> named_struct('s', x.s, 'e', -x.e, 'k', x.k))),
-            named_struct('at', 0, 'out', CAST(array() AS array<string>)),
-            (a, x) -> CASE WHEN x.s < a.at THEN named_struct('at', greatest(a.at, -x.e), 'out', a.out) ELSE named_struct('at', -x.e,
-                'out', concat(a.out, array(substr(t, a.at + 1, x.s - a.at), concat('[', element_at({names}, x.k + 1), ']')))) END,
-            a -> concat(array_join(a.out, ''), substr(t, a.at + 1))) END"""
-    )
+    first = "transform(spans, x -> named_struct('s', x.s, 'm', -x.e, 'k', x.k, 'e', x.e))"
+    return F.expr(f"CASE WHEN size(spans) = 0 THEN t ELSE {replaced('t', first, f'concat({chr(39)}[{chr(39)}, element_at({names}, {{x}}.k + 1), {chr(39)}]{chr(39)})')} END")

@@ -42,7 +42,7 @@ def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    found = pii.personal_data(table(spark, sf_dir, "documents"), keep_text=False)
     base = f"filter(spans, x -> x.k < {len(pii.BASE)})"
     counts = [F.expr(f"CAST(size(filter(spans, x -> x.k = {i})) AS BIGINT)").alias(f"n_{k}") for i, k in enumerate(pii.BASE)]
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(F.expr(pii.listed(base)), 256).alias("base_sha256"), F.expr(pii.listed("spans")).alias("spans"))
