@@ -7,7 +7,8 @@ less like noise. Tokens of letters only, which are words, give its mean and spre
 a candidate's p-value is the chance of a word being as random. Each length class has its own cut
 (Benjamini-Hochberg at `rate`, from the counts of p-values), so long tokens are not judged with short ones.
 
-Only sums and counts by length class reach the driver; there is no shuffle of texts.
+Only sums and counts by length class reach the driver; there is no shuffle of texts. Texts are scanned once, in time linear in
+their length: base spans and tokens' statistics are written, and the cuts and the decision read them.
 
 Defined cases: a null text is empty and has no spans; repeated rows are judged each; null ids are carried; an empty table,
 or one without words as long as the candidates, adds nothing to the base spans. Places count code points, ends are exclusive.
@@ -16,22 +17,24 @@ or one without words as long as the candidates, adds nothing to the base spans.
 from __future__ import annotations
 
 import math
-import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastermill.llm.located import matches
+from rastermill.llm.located import apart, bound, matches, quoted
+from rastermill.llm.shared import saved
 
 # The base kinds' patterns, in the order in which spans that start together are listed.
 BASE = {
-    "assign": (r"(?i:password|passwd|secret|token|api_?key)[\x22\x27]?[ ]*[:=][ ]*[\x22\x27]?[A-Za-z0-9+/_.=-]+", "t RLIKE '(?i)(?:passw|secret|token|api_?key)'"),
+    "assign": (r"(?i:password|passwd|secret|token|api_?key)[\x22\x27]?[ ]*[:=][ ]*[\x22\x27]?[A-Za-z0-9+/_.=-]+", "(instr(t, ':') > 0 OR instr(t, '=') > 0) AND t RLIKE '(?i)(?:passw|secret|token|api_?key)'"),
     "access": (r"AKIA[A-Z0-9]{16,}+", "instr(t, 'AKIA') > 0"),
-    "hex": (r"[0-9a-f]{24,}+", "true"),
+    "hex": (r"[0-9a-f]{24,}+", "runs"),
 }
 KINDS = [*BASE, "random"]
 #: What follows the keyword and its sign in an assignment; the value must have 6 characters.
 VALUE = r"^(?i:password|passwd|secret|token|api_?key)[\x22\x27]?[ ]*[:=][ ]*[\x22\x27]?([A-Za-z0-9+/_.=-]+)$"
+#: A part of every token, and so of every match of `hex`.
+RUN = r"[A-Za-z0-9+/_=-]{20}"
 TOKEN = r"(?:\G|(?<![A-Za-z0-9+/_=-]))[A-Za-z0-9+/_=-]{20,}+"
 # The alphabets, in their own order.
 HEX, BASE32 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -41,49 +44,45 @@ LENGTHS = (24, 32, 48, 64, 128)
 STEPS = 120
 
 
-def _statistic() -> str:
-    """SQL: lambda body from v (numbers of letters from 0), k (size of the alphabet) and n to the sum of the tests."""
-    counts = "transform(array_distinct(v), y -> size(filter(v, z -> z = y)))"
-    chi = f"(aggregate({counts}, 0D, (a, y) -> a + y * y) * k / n - n - (k - 1)) / sqrt(2D * (k - 1) * (n - 1) / n)"
-    high = "size(filter(v, y -> 2 * y >= k))"
-    runs = "size(filter(sequence(2, n), i -> (2 * element_at(v, i) >= k) <> (2 * element_at(v, i - 1) >= k))) + 1"
-    mean = f"(2D * {high} * (n - {high}) / n + 1)"
-    spread = f"greatest(0.25D, ({mean} - 1) * ({mean} - 2) / (n - 1))"
-    run = f"abs(({runs} - {mean}) / sqrt({spread}))"
-    average = "(aggregate(v, 0D, (a, y) -> a + y) / n)"
-    around = f"transform(v, y -> y - {average})"
-    correlation = f"element_at(transform(array({around}), w -> aggregate(sequence(2, n), 0D, (a, i) -> a + element_at(w, i) * element_at(w, i - 1)) / greatest(1e-9D, aggregate(w, 0D, (a, y) -> a + y * y))), 1)"
-    return f"{chi} + {run} + abs({correlation} * sqrt(n))"
+def _statistic(v: str, k: str) -> str:
+    """SQL: the sum of the tests of v (numbers of letters from 0), k being the size of the alphabet."""
+    counts = "transform(array_distinct(q.v), y -> size(filter(q.v, z -> z = y)))"  # at most 64 letters
+    chi = f"(aggregate({counts}, 0D, (a, y) -> a + CAST(y AS DOUBLE) * y) * q.k / q.n - q.n - (q.k - 1)) / sqrt(2D * (q.k - 1) * (q.n - 1) / q.n)"
+    runs = "size(filter(sequence(2, q.n), i -> (2 * get(q.v, i - 1) >= q.k) <> (2 * get(q.v, i - 2) >= q.k))) + 1"
+    expected = "(2D * q.high * (q.n - q.high) / q.n + 1)"
+    spread = f"greatest(0.25D, ({expected} - 1) * ({expected} - 2) / (q.n - 1))"
+    run = f"abs(({runs} - {expected}) / sqrt({spread}))"
+    together = "aggregate(sequence(2, q.n), 0D, (a, i) -> a + (get(q.v, i - 1) - q.mean) * (get(q.v, i - 2) - q.mean))"
+    own = "aggregate(q.v, 0D, (a, y) -> a + (y - q.mean) * (y - q.mean))"
+    correlation = f"{together} / greatest(1e-9D, {own})"
+    facts = "named_struct('v', v, 'k', k, 'n', size(v), 'high', size(filter(v, y -> 2 * y >= k)), 'mean', aggregate(v, 0D, (a, y) -> a + y) / size(v))"
+    body = bound(facts, "q", f"{chi} + {run} + abs({correlation} * sqrt(q.n))")
+    return bound(v, "v", bound(k, "k", body))
 
 
 def _tested(tokens: str) -> str:
     """SQL: (s, e, stat, word, l) of each token; word: letters only."""
     body = "rtrim('=', x.m)"
     kind = f"CASE WHEN {body} RLIKE '^[0-9a-fA-F]+$' THEN 16 WHEN {body} RLIKE '^[A-Z2-7]+$' THEN 32 ELSE 64 END"
-    letters = f"CASE {kind} WHEN 16 THEN '{HEX}' WHEN 32 THEN '{BASE32}' ELSE '{BASE64}' END"
-    shaped = f"CASE {kind} WHEN 16 THEN lower({body}) WHEN 32 THEN {body} ELSE translate({body}, '-_', '+/') END"
+    letters = f"CASE k WHEN 16 THEN '{HEX}' WHEN 32 THEN '{BASE32}' ELSE '{BASE64}' END"
+    shaped = f"CASE k WHEN 16 THEN lower({body}) WHEN 32 THEN {body} ELSE translate({body}, '-_', '+/') END"
     length = "CASE " + " ".join(f"WHEN x.e - x.s <= {n} THEN {i}" for i, n in enumerate(LENGTHS)) + f" ELSE {len(LENGTHS)} END"
-    values = f"transform(filter(split({shaped}, ''), y -> y <> ''), y -> instr({letters}, y) - 1)"
-    return f"""transform({tokens}, x -> named_struct('s', x.s, 'e', x.e, 'm', x.m, 'word', x.m RLIKE '^[A-Za-z]+$', 'mixed', x.m RLIKE '[0-9]' AND x.m RLIKE '[A-Za-z]',
-        'l', {length}, 'k', {kind}, 'v', {values}))"""
+    values = bound(letters, "letters", f"transform(filter(split({shaped}, ''), y -> y <> ''), y -> instr(letters, y) - 1)")
+    found = f"""named_struct('s', x.s, 'e', x.e, 'word', x.m RLIKE '^[A-Za-z]+$', 'mixed', x.m RLIKE '[0-9]' AND x.m RLIKE '[A-Za-z]', 'l', {length}, 'k', k, 'v', {values})"""
+    return f"transform({tokens}, x -> {bound(kind, 'k', found)})"
 
 
 def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, base (s, k, e ordered) and tokens (s, e, stat, word, mixed, l)."""
     df = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    df = df.select("id", *[matches("t", p, w).alias(f"p_{k}") for k, (p, w) in BASE.items()], matches("t", TOKEN).alias("tokens"))
+    df = df.withColumn("runs", F.expr(f"t RLIKE {quoted(RUN)}"))
+    df = df.select("id", *[matches("t", p, w).alias(f"p_{k}") for k, (p, w) in BASE.items()], matches("t", TOKEN, "runs").alias("tokens"))
     kept = F.expr(f"filter(p_assign, x -> char_length(regexp_extract(x.m, r'{VALUE}', 1)) >= 6)")
     df = df.withColumn("p_assign", kept)
     base = "concat(" + ", ".join(f"transform(p_{k}, x -> named_struct('s', x.s, 'k', {i}, 'e', x.e))" for i, k in enumerate(BASE)) + ")"
     df = df.select("id", F.expr(f"array_sort({base})").alias("base"), F.expr(_tested("tokens")).alias("shaped"))
-    stat = f"element_at(transform(array(named_struct('v', x.v, 'k', x.k, 'n', size(x.v))), q -> {_with_q(_statistic())}), 1)"
     fine = "x -> size(x.v) >= 8 AND (x.word OR x.mixed)"
-    return df.select("id", "base", F.expr(f"transform(filter(shaped, {fine}), x -> named_struct('s', x.s, 'e', x.e, 'l', x.l, 'word', x.word, 'stat', {stat}))").alias("tokens"))
-
-
-def _with_q(body: str) -> str:
-    """The statistic's v, k and n as fields of q."""
-    return re.sub(r"\b([vkn])\b", r"q.\1", body)
+    return df.select("id", "base", F.expr(f"transform(filter(shaped, {fine}), x -> named_struct('s', x.s, 'e', x.e, 'l', x.l, 'word', x.word, 'stat', {_statistic('x.v', 'x.k')}))").alias("tokens"))
 
 
 def _p(stat: str, mean: str, spread: str) -> str:
@@ -129,11 +128,12 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rat
 
     spans holds the base spans and the tokens that pass their class's cut and touch no base span.
     """
-    found = scanned(docs, id_col, text_col)
+    found = saved(scanned(docs, id_col, text_col), "tokens")
     mean, spread, least = cuts(found, rate)
     p = _p("x.stat", f"element_at({_array(mean)}, x.l + 1)", f"element_at({_array(spread)}, x.l + 1)")
-    added = f"transform(filter(tokens, x -> NOT x.word AND floor({p} * 4) / 4 >= element_at({_array(least)}, x.l + 1) AND NOT exists(base, y -> y.s < x.e AND x.s < y.e)), x -> named_struct('s', x.s, 'k', {len(BASE)}, 'e', x.e))"
-    return found.select("id", "base", F.expr(f"array_sort(concat(base, {added}))").alias("spans"))
+    passed = f"transform(filter(tokens, x -> NOT x.word AND floor({p} * 4) / 4 >= element_at({_array(least)}, x.l + 1)), x -> named_struct('s', x.s, 'k', {len(BASE)}, 'e', x.e))"
+    both = found.select("id", "base", F.expr(passed).alias("more"))
+    return both.select("id", "base", F.expr(f"array_sort(concat(base, {apart('more', 'base')}))").alias("spans"))
 
 
 def listed(spans: str) -> str:
