@@ -1,6 +1,7 @@
 import hashlib
 import json
 import random
+import time
 import zlib
 
 import brute
@@ -251,6 +252,18 @@ def test_warc_round_trip_and_damage(spark):
             [warc.parse(f) for f in warc.frames(bad)]
 
 
+def test_warc_splits_a_hot_payload(spark, tmp_path):
+    """With half the pages sharing a payload, neither side of the join by digest comes straight from an aggregate, and clashing columns do no harm."""
+    rows = [(i, f"u{i}", "<p>" + "y" * 2000 if i % 2 else f"<p>{i}" + "z" * 1500, "d", 1, 2) for i in range(400)]
+    spark.createDataFrame(rows, "page_id long, url string, html string, digest string, size int, rid int").repartition(8).write.parquet(f"{tmp_path}/p")
+    pages = spark.read.parquet(f"{tmp_path}/p")
+    archives = warc.write_archives(pages)
+    plan = archives._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan
+    found = warc.read_archives(archives).collect()
+    assert {(r["page_id"], r["refers_to"]) for r in found} == {(i, 399 if i % 2 and i < 399 else None) for i in range(400)}
+
+
 PRIVATE = [
     "a@b.c@d.e x.y@z.w.q_r@s.t 1.2.3.4.5.6.7.8 256.1.1.1 0255.1.1.1 4111 1111 1111 1111 +1 (234) 567-8901. 😀 +49 30 1234567-",
     "ssn 123-45-6789, my social security number", "....@@..a@-.-.-", "+1+2+3 ((( 12345678", "1" * 5000, "a" * 5000 + "@", "1.1." * 50, "9 " * 40,
@@ -272,6 +285,31 @@ def test_pii_base_spans(spark, tmp_path):
     assert masked[len(ODD) + 1].startswith("ssn [ssn],")
 
 
+HEAVY = {
+    "numbers": " ".join(str(10 + i % 89) for i in range(60_000)), "emails": " ".join(f"u{i}@x{i}.com" for i in range(12_000)), "letters": "a" * 200_000, "digits": "1" * 200_000,
+    "token": "".join("abcdefghijkmnpqrstuvwxyzABC0123"[i * i % 31] for i in range(200_000)), "hex": "deadbeef" * 25_000, "assigned": "password=abcdef1 " * 12_000, "plus": "+1" * 100_000,
+    "mixed": "Mr. John Smith a@b.co 123-45-6789 " * 6_000, "spaces": "secret" + " " * 200_000, "dashes": "1-" * 100_000, "ips": "1.2.3.4 " * 25_000,
+}
+
+
+def test_time_is_linear_in_one_text(spark):
+    """200 KB of one thing takes seconds (in proportion to the square, it would take minutes)."""
+    for text in HEAVY.values():
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.time()
+        pii.personal_data(df).select(F.size("spans"), F.length(pii.masked().alias("m"))).first()
+        secrets.secrets(df).select(F.size("spans")).first()
+        assert time.time() - began < 40
+
+
+def test_base_spans_of_heavy_texts(spark):
+    texts = [text[:3000] for text in HEAVY.values()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for module, found, expected in ((pii, pii.personal_data(df), brute.pii), (secrets, secrets.secrets(df), brute.secrets)):
+        for row in found.select("id", F.expr(module.listed("spans")).alias("z")).collect():
+            assert [x for x in row["z"].split(",") if x.split(":")[0] in module.BASE] == expected(texts[row["id"]])
+
+
 def test_em_finds_the_better_labeler():
     counts = {}
     r = np.random.default_rng(6)
@@ -313,6 +351,18 @@ def test_toxicity_on_held_out_rows(spark, sf):
     assert (severity[toxic] >= 0.5).mean() >= 0.75 and (severity[~toxic] >= 0.5).mean() <= 0.02
 
 
+def test_toxicity_scores_as_the_model_does():
+    """The scorer by chunks against the model by words, long and repeated texts among them."""
+    r = random.Random(15)
+    words = [f"{a}{b}" for a in ("awful", "fine", "stupid", "river", "Été") for b in ("", "s", "ness", "ly")]
+    model = toxicity.OrdinalModel({f: r.random() * 2 for w in words[::2] for f in toxicity.features(w.lower())}, np.array([1.5, 3.0]))
+    texts = [None, "", "...", " ".join(r.choice(words) for _ in range(50_000)), "x" * 100_000] + [r.choice(" ,-").join(r.choice(words) for _ in range(r.randint(0, 12))) for _ in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["id", "text"])
+    found = [x for b in toxicity._score(model, 0.5)(iter([batch])) for x in b.column("expected_severity").to_pylist()]
+    expected = [model.at_least(np.array([model.score(set(toxicity.WORD.findall((t or "").lower())))])).sum() for t in texts]
+    assert np.allclose(found, expected)
+
+
 def test_toxicity_edge_cases(spark, tmp_path):
     words = [(i, "you awful person today" if i % 2 else "what fine weather today") for i in range(40)] + [(100, None), (101, ""), (102, "awful person you"), (102, "awful person you")]
     docs = table(spark, tmp_path, words)
@@ -420,6 +470,39 @@ def test_contaminated_by_short_and_long_items(spark, tmp_path):
     assert found_pairs(spark, tmp_path, rows, items) == {(i, i) for i in range(80)}
 
 
+def paraphrased(r, words, other):
+    """Words dropped, swapped with their neighbours and replaced."""
+    out = []
+    for w in words:
+        x = r.random()
+        if x < 0.08:
+            continue
+        out.append(other(1) if x < 0.14 else w)
+    for i in range(len(out) - 1):
+        if r.random() < 0.05:
+            out[i], out[i + 1] = out[i + 1], out[i]
+    return out
+
+
+def test_recall_of_paraphrases(spark, tmp_path):
+    """At least 0.9 of what a brute-force search by longest common subsequence over all windows finds, and little else."""
+    r, text = random.Random(14), prose(13)
+    items = [(i, text(r.randint(15, 120))) for i in range(300)]
+    rows = [(i, f"{text(r.randint(0, 150))} {' '.join(paraphrased(r, t.split(), text))} {text(r.randint(0, 150))}") for i, t in items] + [(1000 + i, text(200)) for i in range(300)]
+    expected = set()
+    for doc, body in rows:
+        words = body.split()
+        number = {w: k for k, w in enumerate(dict.fromkeys(words))}
+        coded = np.array([number[w] for w in words])
+        for i, t in items if doc >= 1000 else [items[doc]]:
+            own = [number.get(w, -2) for w in t.split()]
+            if sum(w >= 0 for w in own) >= 0.75 * len(own) and any(decontamination.lcs(own, coded[a : a + len(own) + 10]) >= 0.75 * len(own) for a in range(0, len(coded), 5)):
+                expected.add((doc, i))
+    found = found_pairs(spark, tmp_path, rows, items)
+    assert len(expected) > 250 and len(expected & found) >= 0.9 * len(expected)
+    assert sum(doc >= 1000 for doc, _ in found - expected) <= 3
+
+
 def test_without_contaminated(spark):
     item = "which river runs past the old mill in the valley of seven bridges near the northern border"
     docs = spark.createDataFrame([(1, f"start {item.upper()} end", "a"), (2, "clean words only", None), (3, None, "b"), (4, "", "c"), (None, item, "d"), (2, "clean words only", None)], "doc_id long, text string, words string")
