@@ -40,8 +40,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, each span of personal data replaced by its kind; n_chars, if there, is counted anew."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("words"))
-    found = pii.personal_data(rows, id_col="row", text_col="words").withColumn("masked", F.when(F.col("id")["text"].isNotNull(), pii.masked()))
+    null = free_name(docs, "no_text")
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*others, F.col("text").isNull().alias(null)).alias("row"), F.col("text").alias("words"))
+    found = pii.personal_data(rows, id_col="row", text_col="words").withColumn("masked", F.when(~F.col("id")[null], pii.masked()))
     new = {"text": F.col("masked"), "n_chars": F.coalesce(F.char_length("masked"), F.col("id")["n_chars"]).cast("long") if "n_chars" in docs.columns else None}
     return found.select(*[(new[c] if c in new else F.col("id")[c]).alias(c) for c in docs.columns])
 
