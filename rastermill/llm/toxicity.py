@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastermill.llm.shared import by_bytes, split_words
+from rastermill.llm.shared import by_bytes, release, split_words
 
 MAX_TRAIN = 5000
 WORD = regex.compile(r"\p{L}+")
@@ -58,7 +58,36 @@ class OrdinalModel:
         return sum(self.weights.get(f, 0.0) for f in {f for w in words for f in features(w)})
 
 
-def fit(toxic: np.ndarray, words: list[list[str]], penalty: float = 0.001, kept: int = 2048, rounds: int = 300, least_rows: int = 5, least_odds: float = 8.0) -> OrdinalModel:
+def _able(hurt: np.ndarray, words: pa.ListArray, least_rows: int, least_odds: float) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Names of the features that take part, their (row, feature) pairs, rows that are hurt by each, and odds.
+
+    Words and beginnings of each length are numbered and counted in turn, so that no more than one sort is held at a time.
+    """
+    rows = np.repeat(np.arange(len(words)), np.diff(words.offsets.to_numpy()))
+    coded = words.flatten().dictionary_encode()
+    codes, distinct = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+    names, row, col, inside, odds = [], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)], [np.empty(0)]
+    for head in (0, *HEADS):
+        own = pc.if_else(pc.greater_equal(pc.utf8_length(distinct), head), pc.utf8_slice_codeunits(distinct, 0, head), None) if head else distinct
+        numbered = own.dictionary_encode()
+        if not (size := len(numbered.dictionary)):
+            continue
+        feature = pc.fill_null(numbered.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)[codes]
+        r, f = np.divmod(np.unique(rows[feature >= 0] * size + feature[feature >= 0]), size)
+        hit = np.bincount(f, weights=hurt[r], minlength=size)
+        total = np.bincount(f, minlength=size)
+        ratio = (hit + 0.5) / (hurt.sum() + 1) / ((total - hit + 0.5) / ((~hurt).sum() + 1))
+        chosen = np.flatnonzero((total >= least_rows) & (ratio >= least_odds))
+        place = np.full(size, -1)
+        place[chosen] = np.arange(len(names), len(names) + len(chosen))
+        keep = place[f] >= 0
+        names += [x + "-" * bool(head) for x in numbered.dictionary.take(pa.array(chosen)).to_pylist()]
+        for held, new in ((row, r[keep]), (col, place[f[keep]]), (inside, hit[chosen]), (odds, ratio[chosen])):
+            held.append(new)
+    return names, *(np.concatenate(x) for x in (row, col, inside, odds))
+
+
+def fit(toxic: np.ndarray, words: pa.ListArray, penalty: float = 0.001, kept: int = 2048, rounds: int = 300, least_rows: int = 5, least_odds: float = 8.0) -> OrdinalModel:
     """Proximal gradient descent with momentum on the negative log-likelihood, toxic and other rows weighing the same in sum, plus penalty * |w|, w >= 0.
 
     Features take part that are in `least_rows` rows or more and whose odds of being in a toxic row are `least_odds` or
@@ -67,24 +96,13 @@ def fit(toxic: np.ndarray, words: list[list[str]], penalty: float = 0.001, kept:
     n = len(toxic)
     hurt = toxic > 0
     share = np.where(hurt, 0.5 / max(1, hurt.sum()), 0.5 / max(1, (~hurt).sum()))  # both sides weigh the same
-    number: dict[str, int] = {}
-    rows, cols = [], []
-    for i, ws in enumerate(words):
-        own = {number.setdefault(f, len(number)) for w in ws for f in features(w)}
-        rows.append(np.full(len(own), i))
-        cols.append(np.fromiter(own, np.int64, len(own)))
     none = OrdinalModel({}, np.full(GRADES - 1, 20.0))
-    if not number or hurt.all() or not hurt.any():
+    if not n or hurt.all() or not hurt.any():
         return none
-    row, col = np.concatenate(rows), np.concatenate(cols)
-
-    inside = np.bincount(col, weights=hurt[row], minlength=len(number))
-    outside = np.bincount(col, minlength=len(number)) - inside
-    odds = (inside + 0.5) / (hurt.sum() + 1) / ((outside + 0.5) / ((~hurt).sum() + 1))
-    names = list(number)
-    able = np.flatnonzero((inside + outside >= least_rows) & (odds >= least_odds))
+    names, row, col, inside, odds = _able(hurt, words, least_rows, least_odds)
+    able = np.arange(len(names))
     by_col = np.argsort(col, kind="stable")
-    cuts = np.searchsorted(col[by_col], np.arange(len(number) + 1))
+    cuts = np.searchsorted(col[by_col], np.arange(len(names) + 1))
     support = {j: row[by_col[cuts[j] : cuts[j + 1]]].tobytes() for j in able.tolist()}
     alike: dict[tuple[bytes, str], int] = {}  # of a word's beginnings in the same rows the shortest says most about other words
     for j in sorted(support, key=lambda j: (len(names[j]), names[j])):
@@ -92,7 +110,7 @@ def fit(toxic: np.ndarray, words: list[list[str]], penalty: float = 0.001, kept:
     chosen = np.array(sorted(alike.values(), key=lambda j: (-inside[j], names[j]))[:kept], np.int64)
     if not len(chosen):
         return none
-    place = np.full(len(number), -1)
+    place = np.full(len(names), -1)
     place[chosen] = np.arange(len(chosen))
     keep = place[col] >= 0
     row, col = row[keep], place[col[keep]]
@@ -135,7 +153,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_tr
     sample = sample.orderBy(F.xxhash64("id"), "id").limit(max_train)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = texts.join(F.broadcast(sample), "id").select("grade", "text").mapInArrow(_words, "grade int, words array<string>").toArrow()  # the sample's size is bounded
-    return fit(rows.column("grade").to_numpy().astype(np.int64), rows.column("words").to_pylist())
+    model = fit(rows.column("grade").to_numpy().astype(np.int64), pa.concat_arrays([pa.array([], pa.list_(pa.string())), *(c.cast(pa.list_(pa.string())) for c in rows.column("words").chunks)]))
+    del rows
+    release()
+    return model
 
 
 def _score(model: OrdinalModel, cut: float):
