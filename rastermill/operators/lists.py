@@ -52,3 +52,14 @@ def closed(items: DataFrame, ordinal: int) -> DataFrame:
 def numbered(df: DataFrame, group: str, order: list[str]) -> DataFrame:
     """An explicit ordinal per group."""
     return df.withColumn("ordinal", F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1)
+
+
+def known_extension(ext: Column, allowed: str) -> Column:
+    """FLT3: place of an extension in a list separated by NUL, -1 if it is not there."""
+    known = F.array(*[F.lit(x) for x in allowed.split("\0") if x])
+    return (F.array_position(known, ext) - 1).cast("int")
+
+
+def selected_paths(files: DataFrame, folder: str, name: str, key: str) -> DataFrame:
+    """LK3: full paths of selected files with their places by name (ties: key). A selection is a person's, so one task orders it."""
+    return files.withColumn("path", F.concat_ws("/", folder, name)).withColumn("place", F.row_number().over(Window.orderBy(name, key)) - 1)

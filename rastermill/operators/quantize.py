@@ -129,22 +129,27 @@ def dithered(pixels: DataFrame, palettes: DataFrame, serpentine: bool = True, le
 
 
 def dither_map(indexed: DataFrame, edges: DataFrame) -> DataFrame:
-    """WIN6: damps the edge map where runs of one index are long: by 1 - 20 / (20 + n), n 10 per pixel of the run and 15 per equal neighbour above and below."""
+    """WIN6: damps the edge map e where runs of one index are long: (e + 128) * 255/383 * (1 - 20 / (20 + n)), n 10 per pixel of
+    the run and 15 per equal neighbour above and below.
+
+    A run ends at a change of index or at the last column, and its factor is written up to and with the pixel where it ends, where the next
+    run begins one place later; so in the last columns of a row a pixel may be written by the run before it.
+    """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         w, h = int(group["x"].max()) + 1, int(group["y"].max()) + 1
-        idx, edge = np.zeros((h, w), int), np.zeros((h, w))
+        idx, edge = np.zeros((h, w), int), np.zeros((h, w), int)
         idx[group["y"], group["x"]] = group["idx"]
         edge[group["y"], group["x"]] = group["edge"]
         for y in range(h):
-            starts = np.flatnonzero(np.r_[True, idx[y, 1:] != idx[y, :-1]])
-            for a, b in zip(starts, np.r_[starts[1:], w], strict=True):
-                n = 10 * (b - a)
-                if y:
-                    n += 15 * int((idx[y - 1, a:b] == idx[y, a]).sum())
-                if y + 1 < h:
-                    n += 15 * int((idx[y + 1, a:b] == idx[y, a]).sum())
-                edge[y, a:b] *= 1 - 20 / (20 + n)
+            ends = np.flatnonzero(np.r_[False, idx[y, 1:] != idx[y, :-1]])
+            ends = ends if w < 2 or len(ends) and ends[-1] == w - 1 else np.r_[ends, w - 1]
+            at, last = 0, idx[y, 0]
+            for end in ends.tolist():
+                own = slice(at, max(at, end))
+                n = 10 * (end - at) + 15 * sum(int((idx[z, own] == last).sum()) for z in (y - 1, y + 1) if 0 <= z < h)
+                edge[y, at : end + 1] = ((edge[y, at : end + 1] + 128) * (255 / 383) * (1 - 20 / (20 + n))).astype(int)
+                at, last = end + 1, idx[y, end]
         return pd.DataFrame({"image_id": int(group["image_id"].iloc[0]), "x": group["x"], "y": group["y"], "dither": edge[group["y"], group["x"]].astype(int)})
 
     return indexed.join(edges.select("image_id", "x", "y", "edge"), ["image_id", "x", "y"]).groupBy("image_id").applyInPandas(run, "image_id long, x int, y int, dither int")

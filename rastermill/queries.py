@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rastermill.functions import pixels as px
-from rastermill.operators import colours, lists, quantize, stencils
+from rastermill.operators import colours, lists, palettes, quantize, stencils
 from rastermill.sources import files
 from rastermill.sources.rasters import EVENTS_SQL, events_raster
 
@@ -326,9 +326,9 @@ def srt3_channel_order(spark, sf_dir):
     return colours.widest_channel(colours.histogram(events_raster(spark, sf_dir), 4))
 
 
-@query("+b AS (SELECT image_id, y AS box, sum(r) AS weight, var_pop(x * r) AS variance FROM px GROUP BY ALL) SELECT image_id, (SELECT box FROM b c WHERE c.image_id = b.image_id ORDER BY weight * g2 DESC, box LIMIT 1) AS box FROM (SELECT *, 0 AS z FROM b) b GROUP BY image_id".replace("weight * g2", "weight * weight"))
+@query("+b AS (SELECT image_id, y AS box, sum(r)::BIGINT AS weight, (max(g) - min(g))::BIGINT AS variance FROM px GROUP BY ALL) SELECT image_id, first(box ORDER BY weight * variance DESC, box) AS box FROM b GROUP BY image_id")
 def srt4_best_box(spark, sf_dir):
-    boxes = events_raster(spark, sf_dir).groupBy("image_id", C("y").alias("box")).agg(F.sum("r").alias("weight")).withColumn("variance", C("weight"))
+    boxes = events_raster(spark, sf_dir).groupBy("image_id", C("y").alias("box")).agg(F.sum("r").alias("weight"), (F.max("g") - F.min("g")).alias("variance"))
     return colours.best_box(boxes)
 
 
@@ -528,6 +528,101 @@ def lk2_map_lookup(spark, sf_dir):
     return events_raster(spark, sf_dir).select("image_id", F.try_element_at(known, C("x") % 4).alias("colour")).groupBy("image_id", "colour").agg(F.count("*").alias("n"))
 
 
+@query("SELECT image_id, x, y, CASE WHEN a >= 128 THEN least(255, floor((al + (a / 255.0::DOUBLE - al) * (1 - al) / (o - al)) * 256)) ELSE a END::INT AS a FROM px, (SELECT 195 / 255.0::DOUBLE AS o, 195 / 255.0::DOUBLE * 169 / 256 AS al)")
+def px14_raised_alpha(spark, sf_dir):
+    return events_raster(spark, sf_dir).select("image_id", "x", "y", palettes.raised_alpha(C("a"), 195).alias("a"))
+
+
+@query("WITH w AS (SELECT unnest(range(1, 2001)) AS w) SELECT w, greatest(1, floor(w / 1.6::DOUBLE + 0.5))::INT AS h, greatest(1, w // 2) AS half, 2 * w AS twice FROM w")
+def px22_kept_aspect(spark, sf_dir):
+    w = C("id")
+    return spark.range(1, 2001).select(w.alias("w"), palettes.kept_aspect(w, 1.6).alias("h"), F.greatest(F.lit(1), F.expr("id div 2")).alias("half"), (2 * w).alias("twice"))
+
+
+@query("WITH s AS (SELECT o_orderkey, o_orderkey % 300000 * 97 - 5 AS w, o_custkey * 30000 AS h FROM orders) SELECT o_orderkey, w > 0 AND h > 0 AND w <= (2147483647 // 4) // greatest(h, 1) AND w <= 2147483647 // 16 // 16 AND h <= 2147483647 // 8 AS allowed FROM s")
+def src11_size_allowed(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return o.select("o_orderkey", palettes.size_allowed(C("o_orderkey") % 300000 * 97 - 5, C("o_custkey") * 30000).alias("allowed"))
+
+
+@query("+e AS (SELECT r % 8 AS r, g % 8 AS g, b % 8 AS b, CASE WHEN x = 3 THEN 0 ELSE a END AS a, count(*) AS n FROM px GROUP BY ALL) SELECT CASE WHEN a = 0 THEN 0 ELSE r END AS r, CASE WHEN a = 0 THEN 0 ELSE g END AS g, CASE WHEN a = 0 THEN 0 ELSE b END AS b, a, sum(n)::BIGINT AS weight FROM e GROUP BY ALL")
+def src10_external_histogram(spark, sf_dir):
+    p = events_raster(spark, sf_dir).select(*[(C(c) % 8).alias(c) for c in "rgb"], F.when(C("x") == 3, 0).otherwise(C("a")).alias("a"))
+    return palettes.from_entries(p.groupBy(*"rgba").agg(F.count("*").alias("count")))
+
+
+@query("WITH p AS (SELECT page_id, CASE WHEN page_id % 5 < 3 THEN (['.png', '.GIF', '.gif'])[page_id % 5 + 1] ELSE '' END AS ext FROM pages) SELECT page_id, ext, (CASE ext WHEN '.png' THEN 0 WHEN '.gif' THEN 1 ELSE -1 END)::INT AS at FROM p")
+def flt3_known_extension(spark, sf_dir):
+    ext = F.coalesce(F.get(F.array(F.lit(".png"), F.lit(".GIF"), F.lit(".gif")), (C("page_id") % 5).cast("int")), F.lit(""))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", ext.alias("ext")).withColumn("at", lists.known_extension(C("ext"), ".png\0.gif\0"))
+
+
+@query(f"+{TOP} SELECT image_id, idx, r, g, b FROM top WHERE idx % 3 = 0")
+def flt7_locked_colours(spark, sf_dir):
+    return palettes.locked_colours(_tops(spark, sf_dir)[1].withColumn("locked", C("idx") % 3 == 0)).select("image_id", "idx", *"rgb")
+
+
+@query("WITH p AS (SELECT page_id, 'folder' AS folder, url AS name FROM pages WHERE page_id % 3 = 0) SELECT page_id, folder || '/' || name AS path, (row_number() OVER (ORDER BY name, page_id) - 1)::INT AS place FROM p")
+def lk3_selected_paths(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").where("page_id % 3 = 0").withColumn("folder", F.lit("folder"))
+    return lists.selected_paths(p, "folder", "url", "page_id").select("page_id", "path", "place")
+
+
+@query(f"+{_hist_sql(4)}, b AS (SELECT image_id, r // 64 AS box, sum(weight) AS weight, sum(weight * pow((g - 128) / 256.0::DOUBLE, 2)) AS error FROM hist GROUP BY ALL) SELECT image_id, sum(error) <= 0.09 * sum(weight) AS enough FROM b GROUP BY image_id")
+def agg6_boxes_good_enough(spark, sf_dir):
+    h = colours.histogram(events_raster(spark, sf_dir), 4).withColumn("d", (C("g") - 128) / 256.0)
+    boxes = h.groupBy("image_id", F.expr("r div 64").alias("box")).agg(F.sum("weight").alias("weight"), F.sum(C("weight") * C("d") * C("d")).alias("error"))
+    return palettes.boxes_good_enough(boxes, 0.09)
+
+
+@query("""WITH e AS (SELECT i, i * i / 250000.0::DOUBLE AS mse FROM (SELECT unnest(range(0, 400)) AS i)),
+  q AS (SELECT q, CASE WHEN q = 100 THEN 0 ELSE greatest(0, 0.016 / (0.001 + q) - 0.001) + 2.5 / pow(210.0 + q, 1.2) * (100.1 - q) / 100.0 END::DOUBLE AS most FROM (SELECT unnest(range(1, 101)) AS q))
+  SELECT i, round(mse * 65536 / 6, 4) AS error, coalesce((SELECT max(q) FROM q WHERE mse <= most + 0.000001), 0)::INT AS quality FROM e""")
+def agg11_error_and_quality(spark, sf_dir):
+    mse = C("id") * C("id") / F.lit(250000.0)
+    return spark.range(400).select(C("id").alias("i"), F.round(palettes.standard_mse(mse), 4).alias("error"), palettes.mse_to_quality(mse).alias("quality"))
+
+
+ROUND = lambda c: f"(CASE WHEN a & 240 = 0 AND idx % 4 <> 0 THEN {palettes.CLEAR[c]} ELSE (({c} & 240) | ({c} >> 4)) END)"
+
+
+@query(f"+{TOP}, t AS (SELECT image_id, idx, r, g, b, CASE WHEN idx % 2 = 0 THEN 7 ELSE a END AS a FROM top) SELECT image_id, idx, " + ", ".join(f"{ROUND(c)} AS {c}" for c in "rgba") + " FROM t")
+def qnt7_rounded_palette(spark, sf_dir):
+    top = _tops(spark, sf_dir)[1].withColumns({"a": F.when(C("idx") % 2 == 0, 7).otherwise(C("a")), "fixed": C("idx") % 4 == 0})
+    return palettes.rounded_palette(top, 4).select("image_id", "idx", *"rgba")
+
+
+@query("+h AS (SELECT image_id, " + ", ".join(f"{_posterized(4, c)} AS {c}" for c in "rgba") + ", x * 16 + y AS w FROM px WHERE a > 0) SELECT image_id, r, g, b, a, sum(w)::BIGINT AS weight FROM h GROUP BY ALL UNION ALL SELECT image_id, 0, 0, 0, 0, 2000 * count(*) FROM px WHERE a = 0 GROUP BY ALL")
+def qnt12_importance_map(spark, sf_dir):
+    return colours.histogram(events_raster(spark, sf_dir).withColumn("importance", C("x") * 16 + C("y")), 4)
+
+
+@query(f"+{TOP}, s AS (SELECT image_id, idx AS slot, idx % 5 = 0 AS locked, (row_number() OVER (PARTITION BY image_id, idx % 5 = 0 ORDER BY idx) - 1)::INT AS k FROM top) SELECT s.image_id, slot, r, g, b FROM s LEFT JOIN top t ON t.image_id = s.image_id AND t.idx = CASE WHEN locked THEN 12 + k ELSE k END")
+def qnt14_refill_tray(spark, sf_dir):
+    top = _tops(spark, sf_dir)[1]
+    return quantize.refill(top.select("image_id", C("idx").alias("slot"), (C("idx") % 5 == 0).alias("locked")), top.select("image_id", "idx", *"rgb"), 4)
+
+
+@query(f"+{TOP} SELECT t.image_id, t.idx, " + ", ".join(f"CASE WHEN t.idx IN (2, 5) THEN coalesce(o.{c}, t.{c}) ELSE t.{c} END AS {c}" for c in "rgb") + " FROM top t LEFT JOIN top o ON o.image_id = t.image_id + 1 AND o.idx = t.idx")
+def qnt15_dropped_colours(spark, sf_dir):
+    top = _tops(spark, sf_dir)[1].select("image_id", "idx", *"rgb")
+    return palettes.dropped(top, top.withColumn("image_id", C("image_id") - 1), [2, 5])
+
+
+@query(f"+{TOP}, v AS (SELECT image_id, r AS vr, g AS vg, b AS vb FROM top WHERE idx = 0), d AS (SELECT image_id, idx, (r-vr)*(r-vr)+(g-vg)*(g-vg)+(b-vb)*(b-vb) AS d FROM top JOIN v USING (image_id)) SELECT *, (row_number() OVER (PARTITION BY image_id ORDER BY d, idx) - 1)::INT AS place FROM d")
+def srt5_vantage_order(spark, sf_dir):
+    return palettes.by_vantage_distance(_tops(spark, sf_dir)[1])
+
+
+@query("WITH o AS (SELECT n_regionkey AS list, n_name AS item, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::INT AS o FROM nation), m AS (SELECT list, 'down' AS move, item, CASE o WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE o END AS ordinal FROM o UNION ALL SELECT list, 'up', item, CASE o WHEN 3 THEN 2 WHEN 2 THEN 3 ELSE o END FROM o UNION ALL SELECT list, 'bottom', item, CASE WHEN o = 1 THEN 4 WHEN o > 1 THEN o - 1 ELSE o END FROM o UNION ALL SELECT list, 'close', item, CASE WHEN o > 2 THEN o - 1 ELSE o END FROM o WHERE o <> 2) SELECT * FROM m")
+def ord1_other_moves(spark, sf_dir):
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select(C("n_regionkey").alias("list"), C("n_name").alias("item"), "n_nationkey")
+    items = lists.numbered(nation, "list", ["n_nationkey"])
+    moves = {"down": lists.moved(items, 1, 2), "up": lists.moved(items, 3, 2), "bottom": lists.moved(items, 1, 4), "close": lists.closed(items, 2)}
+    parts = [df.select("list", F.lit(name).alias("move"), "item", "ordinal") for name, df in moves.items()]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
 def _flagship_sql() -> str:
     flat = "px AS (SELECT image_id, x, y, " + ", ".join(f"{_posterized(4, _flat(c))} AS {c}" for c in "rgb") + ", 255 AS a FROM raw)"
     return f"WITH {EVENTS_SQL.replace('px AS', 'raw AS', 1)}, {flat}, {TOP}, {NEAR}, n AS (SELECT image_id, count(DISTINCT {PACK}) AS colours FROM px GROUP BY ALL) SELECT image_id, colours, round(avg(d), 4) AS mean_sq_error FROM near JOIN n USING (image_id) GROUP BY ALL"

@@ -155,3 +155,11 @@ def test_entry_works_without_the_optional_part(tmp_path):
     shutil.copytree(root, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "tests"))
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); assert 'flagship' in q and 'pipeline' not in q; e.oracle_sql()"], cwd=tmp_path / "r", capture_output=True, text=True)
     assert out.returncode == 0, out.stderr
+
+
+def test_dither_map_writes_where_a_run_ends(spark):
+    """By hand: the first run ends at column 2, n = 20; the rest of the row has n = 0."""
+    rows = [(1, x, 0, i) for x, i in enumerate((0, 0, 1, 1))]
+    indexed = spark.createDataFrame(rows, "image_id long, x int, y int, idx int")
+    found = quantize.dither_map(indexed, indexed.selectExpr("image_id", "x", "y", "0 AS edge")).orderBy("x").collect()
+    assert [r["dither"] for r in found] == [42, 42, 42, 0]
