@@ -11,6 +11,8 @@ Texts are UTF-8 bytes; strings never cross texts; overlaps count; all is judged
    of L bytes or more give classes of equal windows; one 64-bit hash per class is counted over the corpus.
 3. Windows found twice mark their bytes; the rest is kept.
 
+A chunk is a run of rows whose texts are of one class of size, so that it holds at most 8 MB, or one longer text.
+
 Hashes have 64 bits; the chance that a window is taken for another is about n^2 / 2^65 for n hashed windows.
 
 Defined cases: a null text is empty; texts under L bytes lose nothing; repeated rows are texts of their own; null ids
@@ -25,13 +27,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rastermill.llm.shared import U64, by_bucket, by_bytes, isin_sorted, mix, partitions, saved, with_row_id
 
 GRAM = 64
+#: A chunk holds at most 2 ** 11 rows and 8 MB of text (or one longer text): see chunk_of.
 CHUNK_ROWS_LOG2 = 11
+_ROW_BYTES = 4096
+#: Places within a block have 32 bits; the same for every block, so that equal windows have equal anchors everywhere.
+_PLACE = U64((1 << 32) - 1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = mix(np.arange(1, 257, dtype=U64))
@@ -105,9 +111,7 @@ class Block:
         if not self.windows.any():
             return np.empty(0, np.int64)
         grams = self.rolling.grams(GRAM)
-        bits = max(1, int(len(self.data)).bit_length())
-        mask = U64((1 << bits) - 1)
-        ranked = (grams & ~mask) | (mask - np.arange(len(grams), dtype=U64))  # ties: the rightmost
+        ranked = (grams & ~_PLACE) | (_PLACE - np.arange(len(grams), dtype=U64))  # ties: the rightmost
         least = _sliding_least(ranked, self.length - GRAM + 1)
         keep = np.zeros(len(least) + 1, np.int32)
         has = self.windows > 0
@@ -115,7 +119,7 @@ class Block:
         np.add.at(keep, self.offsets[:-1][has] + self.windows[has], -1)
         least = least[np.cumsum(keep[:-1]) > 0]
         least = least[np.r_[True, least[1:] != least[:-1]]]
-        return np.sort((mask - (least & mask)).astype(np.int64))
+        return np.sort((_PLACE - (least & _PLACE)).astype(np.int64))
 
     def window_starts(self, chosen: np.ndarray) -> np.ndarray:
         """Places of the windows that the chosen anchors' contexts hold."""
@@ -222,43 +226,57 @@ def _emit(kind: int, chunk: int, keys: np.ndarray, extra: np.ndarray, buckets: i
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["bucket", "chunk", "kind", "k", "x"]) if rows else None
 
 
+def chunk_of(row: Column, text: Column) -> Column:
+    """A row's chunk: rows next to each other whose texts are of one class of size.
+
+    Each doubling of the size over 4 KB halves the rows of a chunk, down to one. The lowest four bits are the class.
+    """
+    size = F.coalesce(F.octet_length(text), F.lit(0))
+    found = F.shiftleft(F.shiftright(row, CHUNK_ROWS_LOG2), 4) + CHUNK_ROWS_LOG2
+    for doublings in range(1, CHUNK_ROWS_LOG2 + 1):
+        bits = CHUNK_ROWS_LOG2 - doublings
+        found = F.when(size > _ROW_BYTES << (doublings - 1), F.shiftleft(F.shiftright(row, bits), 4) + bits).otherwise(found)
+    return found
+
+
 def _send_anchors(length: int, buckets: int):
     """Per chunk its distinct anchors, each with its context (0: several, 1 bit of it: found once), and distinct contexts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        chunk = None
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if not held:
-                return
-            g, c = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-            held.clear()
-            order = np.lexsort((c, g))
-            g, c = g[order], c[order]
-            first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.empty(0, np.int64)
-            last = np.r_[first[1:], len(g)] - 1
-            once = first == last
-            summary = np.where(c[first] == c[last], c[first] | U64(1), U64(0)) if len(g) else c
-            if len(g):
-                summary = np.where(once, summary & ~U64(1), summary)  # the lowest bit: found several times
-                yield from filter(None, [_emit(0, chunk, g[first], summary, buckets)])
-                u, n = np.unique(c, return_counts=True)
-                yield from filter(None, [_emit(1, chunk, u, (n > 1).astype(np.uint8), buckets)])
+    def summaries(chunk: int, held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        g, c = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+        if not len(g):
+            return
+        order = np.lexsort((c, g))
+        g, c = g[order], c[order]
+        first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        last = np.r_[first[1:], len(g)] - 1
+        summary = np.where(c[first] == c[last], c[first] | U64(1), U64(0))
+        summary = np.where(first == last, summary & ~U64(1), summary)  # the lowest bit: found several times
+        yield from filter(None, [_emit(0, chunk, g[first], summary, buckets)])
+        u, n = np.unique(c, return_counts=True)
+        yield from filter(None, [_emit(1, chunk, u, (n > 1).astype(np.uint8), buckets)])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        span = None  # of row ids, with the chunks that it holds
         for batch in batches:
-            ids = batch.column("rid").to_numpy(zero_copy_only=False) >> CHUNK_ROWS_LOG2
-            cuts = np.r_[0, np.flatnonzero(np.diff(ids)) + 1, len(ids)]
+            spans = batch.column("rid").to_numpy(zero_copy_only=False) >> CHUNK_ROWS_LOG2
+            cuts = np.r_[0, np.flatnonzero(np.diff(spans)) + 1, len(spans)]
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if b == a:
                     continue
-                if ids[a] != chunk:
-                    yield from flush()
-                    chunk = int(ids[a])
-                for part in by_bytes([batch.slice(a, b - a)], "text", 2 << 20):
-                    block = Block(part.column("text"), length)
-                    held.append((block.gram, block.context))
-        yield from flush()
+                if spans[a] != span:
+                    for chunk, blocks in held.items():
+                        yield from summaries(chunk, blocks)
+                    held, span = {}, spans[a]
+                rows = batch.slice(a, b - a)
+                chunks = rows.column("chunk").to_numpy(zero_copy_only=False)
+                for chunk in np.unique(chunks).tolist():
+                    for part in by_bytes([rows.filter(pa.array(chunks == chunk))], "text", 2 << 20):
+                        block = Block(part.column("text"), length)
+                        held.setdefault(chunk, []).append((block.gram, block.context))
+        for chunk, blocks in held.items():
+            yield from summaries(chunk, blocks)
 
     return run
 
@@ -413,9 +431,9 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     buckets = partitions(spark)
     base = with_row_id(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), "rid")
-    sent = base.select("rid", "text").mapInArrow(_send_anchors(length, buckets), _KEYS)
+    chunked = base.withColumn("chunk", chunk_of(F.col("rid"), F.col("text")))
+    sent = chunked.select("rid", "chunk", "text").mapInArrow(_send_anchors(length, buckets), _KEYS)
     anchors = saved(sent.groupBy("bucket").applyInArrow(_count_anchors, _REPLIES), "anchors")
-    chunked = base.withColumn("chunk", F.shiftright("rid", CHUNK_ROWS_LOG2))
     windows = chunked.groupBy("chunk").cogroup(anchors.groupBy("chunk")).applyInArrow(_send_windows(length, buckets), _KEYS)
     again = windows.groupBy("bucket").applyInArrow(_count_windows, _REPLIES)
     removed = chunked.groupBy("chunk").cogroup(anchors.union(again).groupBy("chunk")).applyInArrow(_remove(length), _OUT)

@@ -100,6 +100,31 @@ def test_repeated_strings_are_brute_force(spark, tmp_path):
         assert found[i]["n_spans"] == len(found[i]["spans"]) // 2 == (np.diff(np.r_[0, gone.astype(int)]) == 1).sum()
 
 
+def test_repeated_strings_across_texts_of_all_sizes(spark, tmp_path):
+    r = random.Random(7)
+    shared = "".join(r.choice("abcdefé ") for _ in range(260))
+    texts = []
+    for size in (0, 50, 5_000, 9_000, 20_000, 70_000):
+        fresh = "".join(r.choice("abcdefghijkl ") for _ in range(size))
+        texts += [fresh[: size // 3] + shared[size % 7 :] + fresh[size // 3 :], None, fresh[:199]]
+    texts += [texts[6]] * 2
+    found = {r["id"]: r for r in suffix_dedup.repeated_strings(table(spark, tmp_path, list(enumerate(texts))), length=200).collect()}
+    for i, (text, gone) in enumerate(zip(texts, brute.removed(texts, 200), strict=True)):
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        assert (found[i]["n_bytes"], found[i]["n_removed"]) == (len(data), gone.sum()), i
+        assert found[i]["kept_sha256"] == hashlib.sha256(data[~gone].tobytes()).hexdigest()
+
+
+def test_chunks_are_bounded_in_bytes(spark):
+    sizes = F.when(F.col("id") % 7 == 0, 100_000).when(F.col("id") % 1501 == 1, 9_000_000).when(F.col("id") % 11 == 0, 4_097).otherwise(F.col("id") % 4_097)
+    rows = spark.range(0, 5000, numPartitions=2).withColumn("text", F.repeat(F.lit("x"), sizes.cast("int")))
+    rows = rows.withColumn("chunk", suffix_dedup.chunk_of(F.col("id"), F.col("text")))
+    found = rows.groupBy("chunk").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b"), F.min("id").alias("a"), F.max("id").alias("z")).collect()
+    assert all(g["n"] == 1 or g["b"] <= 8 << 20 for g in found)
+    assert all(g["a"] >> suffix_dedup.CHUNK_ROWS_LOG2 == g["z"] >> suffix_dedup.CHUNK_ROWS_LOG2 for g in found)
+    assert max(g["n"] for g in found) > 1000
+
+
 def test_packing(spark, tmp_path):
     texts = [*ODD, "A<|endoftext|>b don't \x1c x ½ ΑΣ ς"]
     found = packing.pack_sequences(table(spark, tmp_path, list(enumerate(texts))), VOCABULARY, keep_ids=True).collect()
