@@ -51,6 +51,11 @@ def premultiplied(c: Column, a: Column, gamma: float = DISPLAY_GAMMA) -> Column:
     return linear(c, gamma) * a / F.lit(255.0)
 
 
+def floats(r: Column, g: Column, b: Column, a: Column) -> list[Column]:
+    """PX11 for a whole pixel: alpha, red, green and blue, as PX13 takes them."""
+    return [a / F.lit(255.0), *(premultiplied(c, a) for c in (r, g, b))]
+
+
 def to_rgb(c: Column, a: Column, gamma: float = DISPLAY_GAMMA) -> Column:
     """PX12: from premultiplied float (c, a in 0..1) to a byte; almost transparent pixels are 0."""
     return F.when(a < 1 / 256, 0).otherwise(F.least(F.lit(255), F.floor(F.pow(F.greatest(c / a, F.lit(0.0)), F.lit(gamma / INTERNAL_GAMMA)) * 256)).cast("int"))
@@ -67,6 +72,11 @@ def distance(p: list[Column], q: list[Column]) -> Column:
     return total
 
 
+def ranked_distance(p: list[Column], q: list[Column]) -> Column:
+    """PX13 in units of 10^-12, so that sums in another order and other libraries' powers give the same ties."""
+    return F.floor(distance(p, q) * F.lit(1e12) + F.lit(0.5)).cast("long")
+
+
 def quality_to_mse(quality: Column) -> Column:
     """PX15: the error that a quality of 0 to 100 allows."""
     q = quality.cast("double")

@@ -53,33 +53,38 @@ def top_colours(hist: DataFrame, n: int) -> DataFrame:
     return hist.withColumn("idx", F.row_number().over(w) - 1).where(C("idx") < min(n, MOST_COLOURS))
 
 
+FLOATS = ("fa", "fr", "fg", "fb")
+
+
+def with_floats(rows: DataFrame) -> DataFrame:
+    """Adds the premultiplied gamma floats fa, fr, fg, fb (PX11); rows without a column `a` are opaque."""
+    a = C("a") if "a" in rows.columns else F.lit(255)
+    return rows.withColumns(dict(zip(FLOATS, px.floats(C("r"), C("g"), C("b"), a), strict=True)))
+
+
 def mean_colour(hist: DataFrame) -> DataFrame:
-    """AGG2: weighted mean of each channel."""
-    return hist.groupBy("image_id").agg(*[(F.sum(C(c) * C("weight")) / F.sum("weight")).alias(f"mean_{c}") for c in "rgba"])
+    """AGG2: weighted mean of each channel, of premultiplied gamma floats."""
+    return with_floats(hist).groupBy("image_id").agg(*[(F.sum(C(f"f{c}") * C("weight")) / F.sum("weight")).alias(f"mean_{c}") for c in "rgba"])
 
 
 def variance(hist: DataFrame) -> DataFrame:
-    """AGG3: weighted variance about the mean; differences under 1/256 (alpha: 2/256) count a quarter; channels weighted."""
+    """AGG3: weighted variance about the mean (AGG2); differences under 1/256 (alpha: 2/256) count a quarter; channels weighted."""
     # Sixteenths of the channels.
     share = {"r": 7 / 16, "g": 9 / 16, "b": 5 / 16, "a": 4 / 16}
-    rows = hist.join(mean_colour(hist), "image_id")
+    rows = with_floats(hist).join(mean_colour(hist), "image_id")
     out = []
     for c, s in share.items():
-        d = (C(c) - C(f"mean_{c}")) / 255.0
+        d = C(f"f{c}") - C(f"mean_{c}")
         small = 2 / 256 if c == "a" else 1 / 256
         damped = F.when(d * d < small * small, d * d * 0.25).otherwise(d * d)
         out.append((F.sum(damped * C("weight")) * s).alias(f"var_{c}"))
     return rows.groupBy("image_id").agg(*out)
 
 
-def _error() -> Column:
-    """Squared distance of opaque colours in the internal gamma to the image's mean (PX13 for a = 255)."""
-    return sum(((px.linear(C(c)) - px.linear(C(f"mean_{c}"))) ** 2 for c in "rgb"), F.lit(0.0))
-
-
 def errors_from_mean(hist: DataFrame) -> DataFrame:
-    """AGG4 and AGG5: greatest and total weighted error of one box that holds the whole image."""
-    rows = hist.join(mean_colour(hist), "image_id").withColumn("d", _error())
+    """AGG4 and AGG5: greatest and total weighted error (PX13) of one box that holds the whole image, about its mean (AGG2)."""
+    d = px.distance([C(f) for f in FLOATS], [C(f"mean_{c}") for c in "argb"])
+    rows = with_floats(hist).join(mean_colour(hist), "image_id").withColumn("d", d)
     return rows.groupBy("image_id").agg(F.max("d").alias("max_error"), F.sum(C("d") * C("weight")).alias("total_error"))
 
 
@@ -92,14 +97,24 @@ def nearest(palette: list[tuple[int, int, int]]) -> Column:
     return F.array_min(scored)
 
 
-def remapped(pixels: DataFrame, palettes: DataFrame) -> DataFrame:
-    """Each pixel's nearest colour in its image's palette (image_id, idx, r, g, b; at most 256 each): idx and squared distance.
+def matched(rows: DataFrame, palettes: DataFrame) -> DataFrame:
+    """NN2: rows with the index of the nearest colour (PX13, compared in units of 10^-12, lowest index on ties) in their image's
+    palette, its distance d, and the row's floats (PX11).
 
-    The metric is NN1's (plain RGB, alpha ignored), not NN2's (PX13).
+    palettes: image_id, idx, r, g, b and, if there, a; at most 256 entries each, which travel as one array. The search is exact,
+    so that a guess could only save time.
     """
-    per = palettes.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct(C("idx"), C("r").alias("pr"), C("g").alias("pg"), C("b").alias("pb")))).alias("p"))
-    best = F.array_min(F.transform("p", lambda e: F.struct(((C("r") - e["pr"]) * (C("r") - e["pr"]) + (C("g") - e["pg"]) * (C("g") - e["pg"]) + (C("b") - e["pb"]) * (C("b") - e["pb"])).alias("d"), e["idx"].alias("idx"))))
-    return pixels.join(per, "image_id").withColumn("best", best).select("image_id", "x", "y", *"rgba", C("best.idx").alias("idx"), C("best.d").alias("d"))
+    entry = F.struct(C("idx"), *FLOATS)
+    per = with_floats(palettes).groupBy("image_id").agg(F.sort_array(F.collect_list(entry)).alias("palette"))
+    own = [C(f) for f in FLOATS]
+    best = F.array_min(F.transform("palette", lambda e: F.struct(px.ranked_distance(own, [e[f] for f in FLOATS]).alias("d"), e["idx"].alias("idx"))))
+    found = with_floats(rows).join(per, "image_id").withColumn("best", best)
+    return found.withColumns({"idx": C("best.idx"), "d": C("best.d") / F.lit(1e12)}).drop("best", "palette")
+
+
+def remapped(pixels: DataFrame, palettes: DataFrame) -> DataFrame:
+    """NN2 for each pixel: its colour, idx and distance d."""
+    return matched(pixels.select("image_id", "x", "y", *"rgba"), palettes).select("image_id", "x", "y", *"rgba", "idx", "d")
 
 
 def remap_error(mapped: DataFrame) -> DataFrame:
@@ -108,25 +123,29 @@ def remap_error(mapped: DataFrame) -> DataFrame:
 
 
 def isolation(palettes: DataFrame) -> DataFrame:
-    """NN3: squared distance of each palette entry to its nearest other one."""
-    q = palettes.select("image_id", *[C(c).alias(f"q_{c}") for c in ("idx", "r", "g", "b")])
-    d = sum(((C(c) - C(f"q_{c}")) * (C(c) - C(f"q_{c}")) for c in "rgb"), F.lit(0))
-    return palettes.join(q, "image_id").where("idx <> q_idx").groupBy("image_id", "idx").agg(F.min(d).alias("nearest"))
+    """NN3: distance (PX13) of each palette entry to its nearest other one."""
+    p = with_floats(palettes).select("image_id", "idx", *FLOATS)
+    q = p.select("image_id", *[C(c).alias(f"q_{c}") for c in ("idx", *FLOATS)])
+    d = px.distance([C(f) for f in FLOATS], [C(f"q_{f}") for f in FLOATS])
+    return p.join(q, "image_id").where("idx <> q_idx").groupBy("image_id", "idx").agg(F.min(d).alias("nearest"))
 
 
 def with_background(mapped: DataFrame, background: DataFrame, clear: int) -> DataFrame:
-    """NN4: the transparent index where the background pixel is at least as close as the palette colour."""
-    bg = background.select("image_id", "x", "y", *[C(c).alias(f"b_{c}") for c in "rgb"])
-    d = sum(((C(c) - C(f"b_{c}")) * (C(c) - C(f"b_{c}")) for c in "rgb"), F.lit(0))
-    return mapped.join(bg, ["image_id", "x", "y"]).select("image_id", "x", "y", F.when(d <= C("d"), clear).otherwise(C("idx")).alias("idx"))
+    """NN4: the transparent index where the background pixel is at least as close (PX13) as the palette colour."""
+    bg = with_floats(background).select("image_id", "x", "y", *[C(f).alias(f"b_{f}") for f in FLOATS])
+    d = px.ranked_distance([C(f) for f in FLOATS], [C(f"b_{f}") for f in FLOATS]) / F.lit(1e12)
+    return with_floats(mapped).join(bg, ["image_id", "x", "y"]).select("image_id", "x", "y", F.when(d <= C("d"), clear).otherwise(C("idx")).alias("idx"))
 
 
 def kmeans_step(hist: DataFrame, palettes: DataFrame) -> DataFrame:
-    """AGG7 and AGG8: entries move to the weighted mean of the colours nearest to them; entries without colours stay."""
-    mapped = remapped(hist.withColumns({"x": F.lit(0), "y": F.lit(0)}), palettes).join(hist, ["image_id", *"rgba"])
-    sums = mapped.groupBy("image_id", "idx").agg(F.sum("weight").alias("w"), *[F.sum(C(c) * C("weight")).alias(f"s_{c}") for c in "rgb"], F.sum(C("d") * C("weight")).alias("e"))
-    moved = palettes.select("image_id", "idx", *"rgb").join(sums, ["image_id", "idx"], "left")
-    return moved.select("image_id", "idx", *[F.when(C("w") > 0, C(f"s_{c}") / C("w")).otherwise(C(c).cast("double")).alias(c) for c in "rgb"], F.coalesce("w", F.lit(0)).alias("popularity"), F.coalesce("e", F.lit(0)).alias("error"))
+    """AGG7 and AGG8: entries move to the weighted mean of the colours nearest to them (NN2), all in floats (PX11).
+
+    Entries without colours stay, as do those of a true `fixed`, if palettes have that column. error is the weighted sum of distances.
+    """
+    sums = matched(hist, palettes).groupBy("image_id", "idx").agg(F.sum("weight").alias("w"), *[F.sum(C(f) * C("weight")).alias(f"s_{f}") for f in FLOATS], F.sum(C("d") * C("weight")).alias("e"))
+    moves = (C("w") > 0) & ~F.coalesce("fixed", F.lit(False)) if "fixed" in palettes.columns else C("w") > 0
+    own = with_floats(palettes).join(sums, ["image_id", "idx"], "left")
+    return own.select("image_id", "idx", *[F.when(moves, C(f"s_{f}") / C("w")).otherwise(C(f)).alias(f) for f in FLOATS], F.coalesce("w", F.lit(0)).alias("popularity"), F.coalesce("e", F.lit(0.0)).alias("error"))
 
 
 def palette_order(palettes: DataFrame) -> DataFrame:
@@ -156,9 +175,21 @@ def best_box(boxes: DataFrame) -> DataFrame:
     return boxes.groupBy("image_id").agg((-F.max(score)["b"]).alias("box"))
 
 
-def without_fixed(hist: DataFrame, fixed: list[tuple[int, int, int]], least: int) -> DataFrame:
-    """FLT5 and SET2: colours within squared distance `least` of a fixed colour go; the fixed palette is a bounded literal."""
-    return hist.where(nearest(fixed)["d"] >= least)
+def float_colour(r: int, g: int, b: int) -> tuple[float, float, float, float]:
+    """PX11 of an opaque literal colour: alpha, red, green, blue."""
+    return 1.0, *((v / 255.0) ** (px.INTERNAL_GAMMA / px.DISPLAY_GAMMA) for v in (r, g, b))
+
+
+def without_fixed(hist: DataFrame, fixed: list[tuple[int, int, int]], target_mse: float = 0.0) -> DataFrame:
+    """FLT5 and SET2: colours closer (PX13) to a fixed colour than half of target_mse, or 2/65536 if that is more, go.
+
+    The fixed palette is a bounded literal; total weights are not lessened.
+    """
+    if not 0 < len(fixed) <= MOST_COLOURS:
+        raise ValueError("a palette has 1 to 256 colours")
+    entries = F.array(*[F.struct(*[F.lit(v).alias(f) for f, v in zip(FLOATS, float_colour(*c), strict=True)]) for c in fixed])
+    d = F.array_min(F.transform(entries, lambda e: px.distance([C(f) for f in FLOATS], [e[f] for f in FLOATS])))
+    return with_floats(hist).where(d >= max(target_mse / 2, 2 / 65536)).drop(*FLOATS)
 
 
 def with_fixed(palettes: DataFrame, fixed: list[tuple[int, int, int]], size: int) -> DataFrame:

@@ -210,41 +210,59 @@ def hist4_shared(spark, sf_dir):
     return colours.histogram(events_raster(spark, sf_dir), 4, per_image=False)
 
 
-@query(f"+{_hist_sql(4)} SELECT image_id, " + ", ".join(f"round(sum({c} * weight)::DOUBLE / sum(weight), 5) AS mean_{c}" for c in "rgba") + " FROM hist GROUP BY image_id")
+def _floats_sql(t: str) -> str:
+    """Table f<t>: t with the premultiplied gamma floats of its colours."""
+    return f"f{t} AS (SELECT *, a / 255.0 AS fa, " + ", ".join(f"pow({c} / 255.0, {GAMMA!r}) * a / 255.0 AS f{c}" for c in "rgb") + f" FROM {t})"
+
+
+def _distance_sql(p: str, q: str) -> str:
+    """PX13 of two rows with floats, by their column prefixes."""
+    def black(c: str) -> str:
+        return f"({p}f{c} - {q}f{c})"
+
+    def white(c: str) -> str:
+        return f"({black(c)} + ({q}fa - {p}fa))"
+
+    return "(" + " + ".join(f"greatest({black(c)} * {black(c)}, {white(c)} * {white(c)})" for c in "rgb") + ")"
+
+
+def _ranked_sql(p: str, q: str) -> str:
+    return f"floor({_distance_sql(p, q)} * 1e12::DOUBLE + 0.5)::BIGINT"
+
+
+FHIST = f"{_hist_sql(4)}, {_floats_sql('hist')}"
+FMEAN = f"{FHIST}, m AS (SELECT image_id, " + ", ".join(f"sum(f{c} * weight)::DOUBLE / sum(weight) AS mean_f{c}" for c in "rgba") + " FROM fhist GROUP BY image_id)"
+
+
+@query(f"+{FMEAN} SELECT image_id, " + ", ".join(f"round(mean_f{c}, 5) AS mean_{c}" for c in "rgba") + " FROM m")
 def agg2_mean_colour(spark, sf_dir):
     m = colours.mean_colour(colours.histogram(events_raster(spark, sf_dir), 4))
     return m.select("image_id", *[F.round(f"mean_{c}", 5).alias(f"mean_{c}") for c in "rgba"])
 
 
-MEANS = ", ".join(f"sum({c} * weight)::DOUBLE / sum(weight) AS mean_{c}" for c in "rgba")
-
-
-def _var_sql() -> str:
+def _var_sql(digits: int = 3) -> str:
     out = []
     for c, s in (("r", 7 / 16), ("g", 9 / 16), ("b", 5 / 16), ("a", 4 / 16)):
-        d, t = f"pow(({c} - mean_{c}) / 255.0, 2)", (2 if c == "a" else 1) / 256
-        out.append(f"round(sum(CASE WHEN {d} < {t * t!r} THEN {d} * 0.25 ELSE {d} END * weight) * {s}, 3) AS var_{c}")
+        d, t = f"pow(f{c} - mean_f{c}, 2)", (2 if c == "a" else 1) / 256
+        out.append(f"round(sum(CASE WHEN {d} < {t * t!r} THEN {d} * 0.25 ELSE {d} END * weight) * {s}, {digits}) AS var_{c}")
     return ", ".join(out)
 
 
-@query(f"+{_hist_sql(4)}, m AS (SELECT image_id, {MEANS} FROM hist GROUP BY image_id) SELECT image_id, {_var_sql()} FROM hist JOIN m USING (image_id) GROUP BY image_id")
+@query(f"+{FMEAN} SELECT image_id, {_var_sql()} FROM fhist JOIN m USING (image_id) GROUP BY image_id")
 def agg3_variance(spark, sf_dir):
     v = colours.variance(colours.histogram(events_raster(spark, sf_dir), 4))
     return v.select("image_id", *[F.round(f"var_{c}", 3).alias(f"var_{c}") for c in "rgba"])
 
 
-ERROR = "+".join(f"pow(pow({c} / 255.0, {GAMMA!r}) - pow(mean_{c} / 255.0, {GAMMA!r}), 2)" for c in "rgb")
-
-
-@query(f"+{_hist_sql(4)}, m AS (SELECT image_id, {MEANS} FROM hist GROUP BY image_id) SELECT image_id, round(max({ERROR}), 5) AS max_error, round(sum(({ERROR}) * weight), 2) AS total_error FROM hist JOIN m USING (image_id) GROUP BY image_id")
+@query(f"+{FMEAN} SELECT image_id, round(max({_distance_sql('', 'mean_')}), 5) AS max_error, round(sum({_distance_sql('', 'mean_')} * weight), 2) AS total_error FROM fhist JOIN m USING (image_id) GROUP BY image_id")
 def agg4_agg5_box_errors(spark, sf_dir):
     e = colours.errors_from_mean(colours.histogram(events_raster(spark, sf_dir), 4))
     return e.select("image_id", F.round("max_error", 5).alias("max_error"), F.round("total_error", 2).alias("total_error"))
 
 
 TOP = f"{_hist_sql(4)}, top AS (SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY image_id ORDER BY weight DESC, r, g, b, a) - 1)::INT AS idx FROM hist) WHERE idx < 16)"
-NEAR = f"""near AS (SELECT p.image_id, x, y, p.r, p.g, p.b, p.a, (q).i AS idx, (q).d AS d FROM (
-  SELECT px.*, (SELECT min({{'d': (px.r - t.r) * (px.r - t.r) + (px.g - t.g) * (px.g - t.g) + (px.b - t.b) * (px.b - t.b), 'i': t.idx}}) FROM top t WHERE t.image_id = px.image_id) AS q FROM px) p)"""
+NEAR = f"""{_floats_sql("px")}, {_floats_sql("top")}, near AS (SELECT * EXCLUDE (q), (q).i AS idx, (q).d / 1e12::DOUBLE AS d FROM (
+  SELECT p.*, (SELECT min({{'d': {_ranked_sql("p.", "t.")}, 'i': t.idx}}) FROM ftop t WHERE t.image_id = p.image_id) AS q FROM fpx p))"""
 
 
 def _tops(spark, sf_dir):
@@ -269,14 +287,14 @@ def nn1_nearest_palette(spark, sf_dir):
     return events_raster(spark, sf_dir).withColumn("q", best).select("image_id", "x", "y", C("q.i").alias("idx"), C("q.d").alias("d"))
 
 
-@query(f"+{TOP}, {NEAR} SELECT image_id, x, y, idx, d FROM near")
+@query(f"+{TOP}, {NEAR} SELECT image_id, x, y, idx, round(d, 5) AS d FROM near")
 def nn2_remap(spark, sf_dir):
-    return colours.remapped(*_tops(spark, sf_dir)).select("image_id", "x", "y", "idx", "d")
+    return colours.remapped(*_tops(spark, sf_dir)).select("image_id", "x", "y", "idx", F.round("d", 5).alias("d"))
 
 
-@query(f"+{TOP}, {NEAR} SELECT image_id, round(avg(d), 4) AS mean_sq_error FROM near GROUP BY image_id")
+@query(f"+{TOP}, {NEAR} SELECT image_id, round(avg(d), 6) AS mean_sq_error FROM near GROUP BY image_id")
 def agg9_remap_error(spark, sf_dir):
-    return colours.remap_error(colours.remapped(*_tops(spark, sf_dir))).withColumn("mean_sq_error", F.round("mean_sq_error", 4))
+    return colours.remap_error(colours.remapped(*_tops(spark, sf_dir))).withColumn("mean_sq_error", F.round("mean_sq_error", 6))
 
 
 @query(f"+{TOP}, {NEAR} SELECT image_id, idx, count(*) AS pixels FROM near GROUP BY image_id, idx")
@@ -289,26 +307,29 @@ def agg12_count_if(spark, sf_dir):
     return events_raster(spark, sf_dir).groupBy("image_id").agg(F.count_if(C("x") % 3 == 0).alias("locked"))
 
 
-@query(f"+{TOP} SELECT p.image_id, p.idx, min((p.r-q.r)*(p.r-q.r)+(p.g-q.g)*(p.g-q.g)+(p.b-q.b)*(p.b-q.b)) AS nearest FROM top p JOIN top q ON p.image_id = q.image_id AND p.idx <> q.idx GROUP BY p.image_id, p.idx")
+@query(f"+{TOP}, {_floats_sql('top')} SELECT p.image_id, p.idx, round(min({_distance_sql('p.', 'q.')}), 5) AS nearest FROM ftop p JOIN ftop q ON p.image_id = q.image_id AND p.idx <> q.idx GROUP BY p.image_id, p.idx")
 def nn3_isolation(spark, sf_dir):
-    return colours.isolation(_tops(spark, sf_dir)[1])
+    return colours.isolation(_tops(spark, sf_dir)[1]).withColumn("nearest", F.round("nearest", 5))
+
 
+BACK = "bg AS (SELECT image_id, x, y, b AS r, r AS g, g AS b, 255 AS a FROM px)"
 
-@query(f"+{TOP}, {NEAR} SELECT image_id, x, y, CASE WHEN (r-b)*(r-b)+(g-r)*(g-r)+(b-g)*(b-g) <= d THEN 99 ELSE idx END AS idx FROM near")
+
+@query(f"+{TOP}, {NEAR}, {BACK}, {_floats_sql('bg')} SELECT n.image_id, n.x, n.y, CASE WHEN {_ranked_sql('n.', 'k.')} / 1e12::DOUBLE <= d THEN 99 ELSE idx END AS idx FROM near n JOIN fbg k USING (image_id, x, y)")
 def nn4_background(spark, sf_dir):
     p, top = _tops(spark, sf_dir)
     return colours.with_background(colours.remapped(p, top), p.select("image_id", "x", "y", C("b").alias("r"), C("r").alias("g"), C("g").alias("b")), 99)
 
 
-STEP = f"""{TOP}, hn AS (SELECT h.*, (SELECT min({{'d': (h.r-t.r)*(h.r-t.r)+(h.g-t.g)*(h.g-t.g)+(h.b-t.b)*(h.b-t.b), 'i': t.idx}}) FROM top t WHERE t.image_id = h.image_id) AS q FROM hist h),
-  ks AS (SELECT image_id, (q).i AS idx, sum(weight)::BIGINT AS w, sum(r*weight) AS sr, sum(g*weight) AS sg, sum(b*weight) AS sb, sum((q).d*weight)::BIGINT AS e FROM hn GROUP BY ALL)"""
+STEP = f"""{TOP}, {_floats_sql("hist")}, {_floats_sql("top")}, hn AS (SELECT h.*, (SELECT min({{'d': {_ranked_sql("h.", "t.")}, 'i': t.idx}}) FROM ftop t WHERE t.image_id = h.image_id) AS q FROM fhist h),
+  ks AS (SELECT image_id, (q).i AS idx, sum(weight)::BIGINT AS w, sum(fa*weight) AS sa, sum(fr*weight) AS sr, sum(fg*weight) AS sg, sum(fb*weight) AS sb, sum((q).d / 1e12::DOUBLE * weight) AS e FROM hn GROUP BY ALL)"""
 
 
-@query(f"+{STEP} SELECT image_id, t.idx, " + ", ".join(f"round(CASE WHEN w > 0 THEN s{c}::DOUBLE / w ELSE t.{c} END, 5)::DOUBLE AS {c}" for c in "rgb") + ", coalesce(w, 0) AS popularity, coalesce(e, 0) AS error FROM top t LEFT JOIN ks USING (image_id, idx)")
+@query(f"+{STEP} SELECT image_id, t.idx, " + ", ".join(f"round(CASE WHEN w > 0 THEN s{c} / w ELSE t.f{c} END, 5)::DOUBLE AS f{c}" for c in "argb") + ", coalesce(w, 0) AS popularity, round(coalesce(e, 0), 4) AS error FROM ftop t LEFT JOIN ks USING (image_id, idx)")
 def agg7_agg8_kmeans_step(spark, sf_dir):
     p, top = _tops(spark, sf_dir)
     out = colours.kmeans_step(colours.histogram(p, 4), top)
-    return out.select("image_id", "idx", *[F.round(c, 5).alias(c) for c in "rgb"], "popularity", "error")
+    return out.select("image_id", "idx", *[F.round(c, 5).alias(c) for c in colours.FLOATS], "popularity", F.round("error", 4).alias("error"))
 
 
 @query(f"+{TOP} SELECT image_id, idx, (row_number() OVER (PARTITION BY image_id ORDER BY (a = 255)::INT, weight DESC, r, g, b, a) - 1)::INT AS place FROM top")
@@ -321,7 +342,7 @@ def srt2_weighted_median(spark, sf_dir):
     return colours.weighted_median(colours.histogram(events_raster(spark, sf_dir), 3), "g")
 
 
-@query()
+@query(f"+{FMEAN}, v AS (SELECT image_id, {_var_sql(6)} FROM fhist JOIN m USING (image_id) GROUP BY image_id), c AS (" + " UNION ALL ".join(f"SELECT image_id, var_{c} AS v, '{c}' AS c FROM v" for c in "abgr") + ") SELECT image_id, string_agg(c, '' ORDER BY v DESC, c) AS channels FROM c GROUP BY image_id")
 def srt3_channel_order(spark, sf_dir):
     return colours.widest_channel(colours.histogram(events_raster(spark, sf_dir), 4))
 
@@ -332,9 +353,9 @@ def srt4_best_box(spark, sf_dir):
     return colours.best_box(boxes)
 
 
-@query(f"+{_hist_sql(4)} SELECT * FROM hist WHERE " + " AND ".join(f"(r-{r})*(r-{r})+(g-{g})*(g-{g})+(b-{b})*(b-{b}) >= 2000" for r, g, b in GREYS[:4]))
+@query(f"+{FHIST}, fixed(fa, fr, fg, fb) AS (VALUES " + ", ".join("(" + ", ".join(f"{v!r}::DOUBLE" for v in colours.float_colour(*c)) + ")" for c in GREYS[:4]) + f") SELECT h.* EXCLUDE (fa, fr, fg, fb) FROM fhist h WHERE (SELECT min({_distance_sql('h.', 'k.')}) FROM fixed k) >= 0.01")
 def flt5_set2_without_fixed(spark, sf_dir):
-    return colours.without_fixed(colours.histogram(events_raster(spark, sf_dir), 4), GREYS[:4], 2000)
+    return colours.without_fixed(colours.histogram(events_raster(spark, sf_dir), 4), GREYS[:4], target_mse=0.02)
 
 
 @query(f"+{TOP} SELECT image_id, idx, r, g, b FROM top WHERE idx < 14 UNION ALL SELECT DISTINCT image_id, 14, 0, 0, 0 FROM top UNION ALL SELECT DISTINCT image_id, 15, 17, 17, 17 FROM top")
@@ -625,7 +646,7 @@ def ord1_other_moves(spark, sf_dir):
 
 def _flagship_sql() -> str:
     flat = "px AS (SELECT image_id, x, y, " + ", ".join(f"{_posterized(4, _flat(c))} AS {c}" for c in "rgb") + ", 255 AS a FROM raw)"
-    return f"WITH {EVENTS_SQL.replace('px AS', 'raw AS', 1)}, {flat}, {TOP}, {NEAR}, n AS (SELECT image_id, count(DISTINCT {PACK}) AS colours FROM px GROUP BY ALL) SELECT image_id, colours, round(avg(d), 4) AS mean_sq_error FROM near JOIN n USING (image_id) GROUP BY ALL"
+    return f"WITH {EVENTS_SQL.replace('px AS', 'raw AS', 1)}, {flat}, {TOP}, {NEAR}, n AS (SELECT image_id, count(DISTINCT {PACK}) AS colours FROM px GROUP BY ALL) SELECT image_id, colours, round(avg(d), 6) AS mean_sq_error FROM near JOIN n USING (image_id) GROUP BY ALL"
 
 
 @query(_flagship_sql())
@@ -634,4 +655,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = events_raster(spark, sf_dir)
     p = p.select("image_id", "x", "y", *[px.posterize(px.flatten(C(c), C("a")), 4).alias(c) for c in "rgb"], F.lit(255).alias("a"))
     mapped = colours.remapped(p, colours.top_colours(colours.histogram(p), 16))
-    return colours.distinct_colours(p).join(colours.remap_error(mapped), "image_id").withColumn("mean_sq_error", F.round("mean_sq_error", 4))
+    return colours.distinct_colours(p).join(colours.remap_error(mapped), "image_id").withColumn("mean_sq_error", F.round("mean_sq_error", 6))
