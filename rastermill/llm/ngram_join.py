@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastermill.llm.shared import U64, by_bucket, by_bytes, components, forest, mix, partitions, release, saved, split_words, with_row_id
+from rastermill.llm.shared import U64, by_bucket, by_bytes, components, forest, mix, partitions, release, saved, split_words, stable_rows
 
 ALONE = np.uint32(0xFFFFFFFF)
 STEP = U64(0x9E3779B97F4A7C15)
@@ -406,16 +406,17 @@ def _block_pairs(members: DataFrame, t: int, block_bytes: int) -> DataFrame:
     return alone.union(same_a.union(next_a).join(same_b.union(next_b), key).select("a", "b"))
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: int = 80, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: int = 80, block_bytes: int = BLOCK_BYTES, row_col: str | None = None) -> DataFrame:
     """Links rows of `docs` and gives each its component.
 
-    Returns row_id (the scan's row number, see with_row_id), id, n_shingles, component_id (smallest id that links reach,
+    Returns row_id (that of `row_col`, unique longs that stable_rows made, else new ones), id, n_shingles, component_id (smallest id that links reach,
     its own included) and kept (true for one row of each component: smallest id, then row_id). threshold is a percentage
-    from 1 to 100. `docs` must give its rows in the same order whenever it is read (a table or files, not a shuffle).
+    from 1 to 100.
     """
     spark = docs.sparkSession
     buckets = partitions(spark)
-    base = with_row_id(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), "rid")
+    columns = [F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")]
+    base = docs.select(*columns, F.col(row_col).alias("rid")) if row_col else stable_rows(docs.select(*columns), "rid")
     sent = saved(base.mapInArrow(_send_prefixes(n, threshold, buckets), _SENT), "prefixes")
     replies = sent.where("bucket >= 0").select("bucket", "chunk", "k", "o").groupBy("bucket").applyInArrow(_shared_elsewhere, _REPLY)
     heads = sent.where("bucket < 0").select("chunk", "k", "o", "x", "ids")

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,10 +55,47 @@ def partitions(spark: SparkSession) -> int:
 
 
 def with_row_id(df: DataFrame, name: str) -> DataFrame:
-    """A row number that a scan gives again whenever it is repeated: scan partition, then place in it."""
+    """A row number for use within one job, written with its rows: another job may deal the scan's rows out anew, see stable_rows."""
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+#: Bits of a row's place in its file; more where a file has more rows.
+PLACE_BITS = 20
+
+
+def _plain_scan(df: DataFrame) -> bool:
+    """Whether df is a scan of files with deterministic filters and projections only, so that a row of a file is one of df."""
+    node = df._jdf.queryExecution().analyzed()
+    if not node.deterministic():
+        return False
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    return node.nodeName() == "LogicalRelation"
+
+
+def stable_rows(df: DataFrame, name: str) -> DataFrame:
+    """df with a unique row number (long, not negative) that every job sees alike, however the rows are dealt out to tasks.
+
+    For a scan of Parquet files it is the file (hashed; no two of df's files share a hash, which is checked) and the row's place in
+    it. Any other df is written once to the shared folder, together with its numbers, and read from there.
+    """
+    if _plain_scan(df):
+        try:
+            at = df.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+        except AnalysisException:  # no Parquet
+            at = None
+        if at is not None:
+            bits, hashed = PLACE_BITS, lambda b: F.pmod(F.xxhash64(F.col("_metadata.file_path")), F.lit(1 << (62 - b)))
+            of_file = lambda b: F.pmod(F.xxhash64("file"), F.lit(1 << (62 - b)))
+            seen = at.agg(F.max("place").alias("last"), F.count_distinct("file").alias("files"), F.count_distinct(of_file(bits)).alias("hashes")).first()
+            if seen["last"] is not None and seen["last"] >> bits:
+                bits = seen["last"].bit_length()
+                seen = at.agg(F.count_distinct("file").alias("files"), F.count_distinct(of_file(bits)).alias("hashes")).first()
+            if seen["files"] == seen["hashes"]:
+                return df.withColumn(name, F.shiftleft(hashed(bits), bits) + F.col("_metadata.row_index"))
+    return saved(with_row_id(df, name), "rows")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """`name`, lengthened until no column of df has it, in any case."""
     while name.lower() in {c.lower() for c in df.columns}:

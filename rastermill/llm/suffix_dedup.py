@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rastermill.llm.shared import U64, by_bucket, by_bytes, isin_sorted, mix, partitions, saved, with_row_id
+from rastermill.llm.shared import U64, by_bucket, by_bytes, isin_sorted, mix, partitions, saved, stable_rows
 
 GRAM = 64
 #: A chunk holds at most 2 ** 11 rows and 8 MB of text (or one longer text): see chunk_of.
@@ -423,14 +423,13 @@ def _put(cols: list[list], rid: int, doc: int | None, data: np.ndarray, gone: np
 def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
     """What to remove from each row: row_id, id, n_bytes, n_removed, n_spans, kept_sha256, spans.
 
-    spans holds start and end of each removed run of bytes in turn. `length` is over GRAM. `docs` must give its rows in
-    the same order whenever it is read (a table or files, not a shuffle).
+    spans holds start and end of each removed run of bytes in turn. `length` is over GRAM.
     """
     if length <= GRAM:
         raise ValueError(f"length must be over {GRAM}")
     spark = docs.sparkSession
     buckets = partitions(spark)
-    base = with_row_id(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), "rid")
+    base = stable_rows(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), "rid")
     chunked = base.withColumn("chunk", chunk_of(F.col("rid"), F.col("text")))
     sent = chunked.select("rid", "chunk", "text").mapInArrow(_send_anchors(length, buckets), _KEYS)
     anchors = saved(sent.groupBy("bucket").applyInArrow(_count_anchors, _REPLIES), "anchors")

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastermill.llm.shared import by_bytes, saved, with_row_id
+from rastermill.llm.shared import by_bytes, saved, stable_rows
 
 SKIPPABLE = 0x184D2A5D
 FRAME = 0xFD2FB528
@@ -141,12 +141,9 @@ def _write(archive_bytes: int, date: str):
 
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 1000, archive_bytes: int = ARCHIVE_BYTES, date: str = NO_DATE) -> DataFrame:
-    """Archives (archive, content, records) with a record for each row of pages; `date` is every record's.
-
-    `pages` must give its rows in the same order whenever it is read (a table or files, not a shuffle).
-    """
+    """Archives (archive, content, records) with a record for each row of pages; `date` is every record's."""
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.encode(F.col(payload_col).cast("string"), "UTF-8"), F.lit(b"")).alias("payload"))
-    rows = with_row_id(rows.withColumn("size", F.octet_length("payload").cast("long")).withColumn("digest", F.sha1("payload")), "rid")
+    rows = stable_rows(rows, "rid").withColumn("size", F.octet_length("payload").cast("long")).withColumn("digest", F.sha1("payload"))
     key = ["digest", "size"]
     large = saved(rows.where(F.col("size") >= least).select("rid", "id", *key), "digests")
     equal = saved(large.groupBy(*key).agg(F.max("id").alias("top"), F.count("*").alias("n")).where("n > 1").select(*key, "top"), "equal")
