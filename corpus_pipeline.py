@@ -17,7 +17,7 @@ from rastermill.llm import pii
 from rastermill.llm.decontamination import without_contaminated
 from rastermill.llm.ngram_join import ngram_jaccard_join
 from rastermill.llm.packing import pack_sequences
-from rastermill.llm.shared import free_name, saved, with_row_id
+from rastermill.llm.shared import free_name, saved, stable_rows
 from rastermill.llm.toxicity import without_toxic
 
 
@@ -29,8 +29,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group that links by 0.8 or more on five-word shingles: the smallest doc_id."""
     row = free_name(docs, "row_id")
-    kept = ngram_jaccard_join(docs, n=5, threshold=80).where("kept").select(F.col("row_id").alias(row))
-    return with_row_id(docs, row).join(kept, row, "left_semi").drop(row)
+    rows = stable_rows(docs, row)
+    kept = ngram_jaccard_join(rows, n=5, threshold=80, row_col=row).where("kept").select(F.col("row_id").alias(row))
+    return rows.join(kept, row, "left_semi").drop(row)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
