@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from rastermill.llm import pii, secrets
+from rastermill.llm.clustering import delta_lloyd
 from rastermill.llm.decontamination import contaminated
+from rastermill.llm.negatives import hard_negatives
 from rastermill.llm.ngram_join import ngram_jaccard_join
 from rastermill.llm.packing import pack_sequences
+from rastermill.llm.sharding import sharded
 from rastermill.llm.suffix_dedup import repeated_strings
 from rastermill.llm.token_counts import token_counts
 from rastermill.llm.top_k import exact_top_k
@@ -94,6 +97,27 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@query
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = delta_lloyd(table(spark, sf_dir, "embeddings"), k=8, rounds=10, width=64, scale=1024)
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return found.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label)
+
+
+@query
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    return sharded(table(spark, sf_dir, "documents"), shards=16).select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 ORACLES["op1_exact_top_k"] = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
@@ -127,3 +151,41 @@ t AS (SELECT *, CASE WHEN b >= 1000 THEN max(page_id) OVER (PARTITION BY d) ELSE
 SELECT page_id, b AS payload_bytes, d AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> top THEN top END AS refers_to FROM t
 """
+
+
+def _lloyd_sql(k: int, rounds: int, width: int, scale: int) -> str:
+    steps = [f"""v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, embedding AS raw, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT r, unnest(range({width})) AS dim, unnest(e) AS c FROM v),
+f AS (SELECT *, row_number() OVER (ORDER BY sha256('3:' || vec_id), vec_id, raw) - 1 AS cluster FROM v WHERE vec_id IS NOT NULL QUALIFY cluster < {k}),
+c0 AS MATERIALIZED (SELECT cluster, unnest(range({width})) AS dim, unnest(e) AS c FROM f)"""]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+  SELECT r, min(d).d AS distance, min(d).k AS cluster FROM (SELECT r, {{'d': sum((x.c - c.c) * (x.c - c.c))::BIGINT, 'k': cluster}} AS d FROM x JOIN c{i} c USING (dim) GROUP BY r, cluster) GROUP BY r)""")
+        if i < rounds:  # whole division downwards: s - mod, mod not negative
+            steps.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT o.cluster, o.dim, CASE WHEN n > 0 THEN (s - ((s % n) + n) % n) // n ELSE o.c END AS c FROM c{i} o
+  LEFT JOIN (SELECT cluster, dim, sum(c)::BIGINT AS s, count(*) AS n FROM a{i} JOIN x USING (r) GROUP BY ALL) USING (cluster, dim))""")
+    steps.append(f"h AS (SELECT cluster, sha256(string_agg(c::VARCHAR, ',' ORDER BY dim)) AS centroid_sha256 FROM c{rounds} GROUP BY cluster)")
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, cluster::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a{rounds} JOIN v USING (r) JOIN h USING (cluster)
+"""
+
+
+ORACLES["op11_centroid_clustering"] = _lloyd_sql(8, 10, 64, 1024)
+
+ORACLES["op12_hard_negatives"] = """
+WITH v AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.id AS anchor, b.id, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score
+  FROM v a JOIN v b ON a.id % 100 = 0 AND a.id <> b.id),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5),
+n AS (
+  SELECT p.anchor, p.id AS positive, p.score AS positive_score, s.id, s.score, row_number() OVER (PARTITION BY p.anchor, p.id ORDER BY s.score DESC, s.id) AS rank
+  FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
+SELECT anchor AS anchor_id, positive AS positive_id, rank::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score FROM n WHERE rank <= 5
+"""

@@ -1,5 +1,7 @@
 """Plain versions of the operators, for comparison."""
 
+import hashlib
+import math
 import re
 from collections import Counter
 
@@ -80,3 +82,32 @@ def pii(text):
 def secrets(text):
     found = sorted((m.start(), i, m.end()) for i, (_, p, ok) in enumerate(SECRETS) for m in re.finditer(p, text or "") if ok(m))
     return [f"{SECRETS[i][0]}:{s}:{e}" for s, i, e in found]
+
+
+def lloyd(rows, k, rounds, scale=1024, salt="3:"):
+    """Plain rounds in Python integers over (id, components): per row (id, cluster, distance), and the centroids."""
+    rows = [(i, [math.floor(x * scale) for x in v]) for i, v in rows]
+    named = sorted((hashlib.sha256(f"{salt}{i}".encode()).hexdigest(), i, v) for i, v in rows if i is not None)
+    centroids = [v for *_, v in named[:k]]
+    for step in range(rounds + 1):
+        near = [min((sum((x - y) ** 2 for x, y in zip(v, c, strict=True)), n) for n, c in enumerate(centroids)) for _, v in rows]
+        if step < rounds:
+            for n in range(len(centroids)):
+                own = [v for (_, v), (_, m) in zip(rows, near, strict=True) if m == n]
+                if own:
+                    centroids[n] = [sum(x) // len(own) for x in zip(*own, strict=True)]
+    return [(i, n, d) for (i, _), (d, n) in zip(rows, near, strict=True)], centroids
+
+
+def negatives(rows, is_anchor, positives=5, most=5, low=80, high=100, scale=256):
+    """All pairs in Python integers over (id, label, components), ids distinct."""
+    rows = [(i, label, [math.floor(x * scale) for x in v]) for i, label, v in rows]
+    out = []
+    for a, own, v in rows:
+        if not is_anchor(a):
+            continue
+        scored = sorted((-sum(x * y for x, y in zip(v, w, strict=False)), i, label == own) for i, label, w in rows if i != a)
+        for p, i, _ in [x for x in scored if x[2]][:positives]:
+            window = [x for x in scored if not x[2] and low * -p <= 100 * -x[0] <= high * -p][:most]
+            out += [(a, i, r, n, -p, -s) for r, (s, n, _) in enumerate(window, 1)]
+    return sorted(out)
