@@ -85,6 +85,13 @@ def quality_to_mse(quality: Column) -> Column:
     return F.when(q == 0, 1e20).when(q == 100, 0.0).otherwise(scaled)
 
 
+def quality_limit(quality: int) -> float:
+    """PX15 of a number."""
+    if quality in (0, 100):
+        return 0.0 if quality else 1e20
+    return max(0.0, 0.016 / (0.001 + quality) - 0.001) + 2.5 / (210.0 + quality) ** 1.2 * (100.1 - quality) / 100.0
+
+
 def srgb_to_linear(v: Column) -> Column:
     """PX16, by the published transfer curve."""
     return F.when(v <= 0.04045, v / 12.92).otherwise(F.pow((v + 0.055) / 1.055, F.lit(2.4)))

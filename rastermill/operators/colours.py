@@ -101,11 +101,12 @@ def matched(rows: DataFrame, palettes: DataFrame) -> DataFrame:
     """NN2: rows with the index of the nearest colour (PX13, compared in units of 10^-12, lowest index on ties) in their image's
     palette, its distance d, and the row's floats (PX11).
 
-    palettes: image_id, idx, r, g, b and, if there, a; at most 256 entries each, which travel as one array. The search is exact,
+    palettes: image_id, idx, and the floats or r, g, b and, if there, a; at most 256 entries each, which travel as one array. The search is exact,
     so that a guess could only save time.
     """
     entry = F.struct(C("idx"), *FLOATS)
-    per = with_floats(palettes).groupBy("image_id").agg(F.sort_array(F.collect_list(entry)).alias("palette"))
+    own = palettes if set(FLOATS) <= set(palettes.columns) else with_floats(palettes)
+    per = own.groupBy("image_id").agg(F.sort_array(F.collect_list(entry)).alias("palette"))
     own = [C(f) for f in FLOATS]
     best = F.array_min(F.transform("palette", lambda e: F.struct(px.ranked_distance(own, [e[f] for f in FLOATS]).alias("d"), e["idx"].alias("idx"))))
     found = with_floats(rows).join(per, "image_id").withColumn("best", best)

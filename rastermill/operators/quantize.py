@@ -1,7 +1,6 @@
-"""Palette search and error diffusion: sequential within an image, parallel across images (applyInPandas).
+"""Error diffusion to a palette by plain RGB, one image's pixels in a task, and the palette tray.
 
-A group is one image's histogram (its distinct colours after posterizing, so at most 4,096 at four bits a channel) or one
-image's pixels; `most_pixels` refuses images that a task could not hold.
+`most_pixels` refuses images that a task could not hold; operators.dither has the diffusion of the quantizer, by bands.
 """
 
 from __future__ import annotations
@@ -11,79 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PALETTE = "image_id long, idx int, r int, g int, b int, popularity double"
 INDEXED = "image_id long, x int, y int, idx int"
 
 
-def median_cut(colours: np.ndarray, weight: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """QNT5: splits the box of greatest weight x variance at its weighted median until there are `size` boxes.
-
-    Algorithmic parity only: boxes are sorted along their widest channel, with the colour as tie-break.
-    """
-    boxes = [np.arange(len(colours))]
-
-    def spread(box: np.ndarray) -> np.ndarray:
-        w = weight[box]
-        mean = w @ colours[box] / w.sum()
-        return w @ (colours[box] - mean) ** 2
-
-    while len(boxes) < size:
-        scores = [spread(b).sum() if len(b) > 1 else -1.0 for b in boxes]
-        at = int(np.argmax(scores))
-        if scores[at] <= 0:
-            break
-        box = boxes.pop(at)
-        channel = int(np.argmax(spread(box)))
-        order = box[np.lexsort((*colours[box].T, colours[box][:, channel]))]
-        run = np.cumsum(weight[order])
-        cut = int(np.clip(np.searchsorted(run, run[-1] / 2) + 1, 1, len(order) - 1))
-        boxes[at:at] = [order[:cut], order[cut:]]
-    means = np.array([weight[b] @ colours[b] / weight[b].sum() for b in boxes])
-    return means, np.array([weight[b].sum() for b in boxes])
-
-
-def refine(colours: np.ndarray, weight: np.ndarray, palette: np.ndarray, fixed: int, rounds: int, least_gain: float) -> tuple[np.ndarray, np.ndarray, list[float]]:
-    """QNT6: k-means rounds; the last `fixed` entries and entries without colours stay; errors never rise."""
-    errors: list[float] = []
-    popularity = np.zeros(len(palette))
-    for _ in range(rounds):
-        d = ((colours[:, None, :] - palette[None]) ** 2).sum(axis=2)
-        near = d.argmin(axis=1)
-        errors.append(float(weight @ d[np.arange(len(colours)), near] / weight.sum()))
-        popularity = np.bincount(near, weights=weight, minlength=len(palette))
-        if len(errors) > 1 and errors[-2] - errors[-1] < least_gain:
-            break
-        for i in range(len(palette) - fixed):
-            if popularity[i]:
-                palette[i] = weight[near == i] @ colours[near == i] / popularity[i]
-    return palette, popularity, errors
-
-
-def quantize(hist: DataFrame, size: int = 16, rounds: int = 31, fixed: tuple[tuple[int, int, int], ...] = (), least_gain: float = 1e-6) -> DataFrame:
-    """QNT2, QNT3, QNT5, QNT6, QNT10: a palette per image from its histogram (image_id, r, g, b, weight). Few colours are the palette themselves (QNT3).
-
-    One median cut, then k-means steps; the feedback search over several cuts (QNT4) is not built.
-    Order (SRT1): falling popularity, fixed colours last.
-    """
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        colours, weight = group[["r", "g", "b"]].to_numpy(float), group["weight"].to_numpy(float)
-        order = np.lexsort(colours.T[::-1])
-        colours, weight = colours[order], weight[order]
-        own = np.array(fixed, float).reshape(-1, 3)
-        if len(colours) + len(own) <= size:
-            palette, popularity = np.concatenate([colours, own]), np.r_[weight, np.zeros(len(own))]
-        else:
-            means, _ = median_cut(colours, weight, size - len(own))
-            palette, popularity, _ = refine(colours, weight, np.concatenate([means, own]), len(own), rounds, least_gain)
-        free = len(palette) - len(own)
-        rank = [*np.argsort(-popularity[:free], kind="stable"), *range(free, len(palette))]
-        final = np.clip(np.floor(palette[rank] + 0.5), 0, 255).astype(int)
-        return pd.DataFrame({"image_id": int(group["image_id"].iloc[0]), "idx": range(len(rank)), "r": final[:, 0], "g": final[:, 1], "b": final[:, 2], "popularity": popularity[rank]})
-
-    return hist.select("image_id", "r", "g", "b", "weight").groupBy("image_id").applyInPandas(run, PALETTE)
-
-
 # Shares of the error that go right, down-left, down, down-right.
 SERPENTINE = (7 / 16, 3 / 16, 5 / 16, 1 / 16)
 RASTER = (0.364842, 0.207305, 0.364842, 0.063011)
@@ -128,33 +57,6 @@ def dithered(pixels: DataFrame, palettes: DataFrame, serpentine: bool = True, le
     return pixels.select("image_id", "x", "y", "r", "g", "b").groupBy("image_id").cogroup(palettes.select("image_id", "idx", "r", "g", "b").groupBy("image_id")).applyInPandas(run, INDEXED)
 
 
-def dither_map(indexed: DataFrame, edges: DataFrame) -> DataFrame:
-    """WIN6: damps the edge map e where runs of one index are long: (e + 128) * 255/383 * (1 - 20 / (20 + n)), n 10 per pixel of
-    the run and 15 per equal neighbour above and below.
-
-    A run ends at a change of index or at the last column, and its factor is written up to and with the pixel where it ends, where the next
-    run begins one place later; so in the last columns of a row a pixel may be written by the run before it.
-    """
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        w, h = int(group["x"].max()) + 1, int(group["y"].max()) + 1
-        idx, edge = np.zeros((h, w), int), np.zeros((h, w), int)
-        idx[group["y"], group["x"]] = group["idx"]
-        edge[group["y"], group["x"]] = group["edge"]
-        for y in range(h):
-            ends = np.flatnonzero(np.r_[False, idx[y, 1:] != idx[y, :-1]])
-            ends = ends if w < 2 or len(ends) and ends[-1] == w - 1 else np.r_[ends, w - 1]
-            at, last = 0, idx[y, 0]
-            for end in ends.tolist():
-                own = slice(at, max(at, end))
-                n = 10 * (end - at) + 15 * sum(int((idx[z, own] == last).sum()) for z in (y - 1, y + 1) if 0 <= z < h)
-                edge[y, at : end + 1] = ((edge[y, at : end + 1] + 128) * (255 / 383) * (1 - 20 / (20 + n))).astype(int)
-                at, last = end + 1, idx[y, end]
-        return pd.DataFrame({"image_id": int(group["image_id"].iloc[0]), "x": group["x"], "y": group["y"], "dither": edge[group["y"], group["x"]].astype(int)})
-
-    return indexed.join(edges.select("image_id", "x", "y", "edge"), ["image_id", "x", "y"]).groupBy("image_id").applyInPandas(run, "image_id long, x int, y int, dither int")
-
-
 def refill(tray: DataFrame, palette: DataFrame, locked: int) -> DataFrame:
     """QNT14: unlocked tray slots take palette entries in order, locked ones its tail from 16 - locked.
 

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rastermill.functions import pixels as px
-from rastermill.operators import colours, lists, palettes, quantize, stencils
+from rastermill.operators import colours, dither, lists, palettes, quantize, search, stencils
 from rastermill.sources import files
 from rastermill.sources.rasters import EVENTS_SQL, events_raster
+from rastermill.sources.scratch import written
 
 C = F.col
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -411,7 +412,30 @@ def win1_contrast_maps(spark, sf_dir):
     return stencils.contrast(events_raster(spark, sf_dir))
 
 
-@query()
+def _smooth_sql() -> str:
+    """WIN5 as steps of windows over the planes of WIN1."""
+    steps = [f"w1 AS MATERIALIZED ({_contrast_sql().partition('SELECT image_id, x, y, least')[1]}{_contrast_sql().partition('SELECT image_id, x, y, least')[2]})"]
+
+    def step(name: str, of: str, column: str, kind: str) -> str:
+        steps.append(f"{name} AS MATERIALIZED (SELECT image_id, x, y, {kind}({column}, {AROUND.format(v=column)}) AS v FROM {of} {FRAMES})")
+        return name
+
+    def blur(name: str, of: str, size: int) -> str:
+        o = f"(SELECT unnest(range({1 - size}, {size + 1})) AS o)"
+        steps.append(f"{name}_h AS MATERIALIZED (SELECT p.image_id, p.x, p.y, (sum(q.v) // {2 * size})::INT AS v FROM {of} p, {o} JOIN {of} q ON q.image_id = p.image_id AND q.y = p.y AND q.x = least(greatest(p.x + o, 0), 15) GROUP BY ALL)")
+        steps.append(f"{name} AS MATERIALIZED (SELECT p.image_id, p.x, p.y, (sum(q.v) // {2 * size})::INT AS v FROM {name}_h p, {o} JOIN {name}_h q ON q.image_id = p.image_id AND q.x = p.x AND q.y = least(greatest(p.y + o, 0), 15) GROUP BY ALL)")
+        return name
+
+    at = step("n2", step("n1", "w1", "noise", "greatest"), "v", "greatest")
+    at = step("n4", blur("n3", at, 3), "v", "greatest")
+    for name in ("n5", "n6", "n7"):
+        at = step(name, at, "v", "least")
+    step("e2", step("e1", "w1", "edge", "least"), "v", "greatest")
+    steps.append("w5 AS MATERIALIZED (SELECT image_id, x, y, n7.v AS noise, least(n7.v, e2.v) AS edge FROM n7 JOIN e2 USING (image_id, x, y))")
+    return _contrast_sql().partition("SELECT image_id, x, y, least")[0].rstrip() + ", " + ", ".join(steps)
+
+
+@query(_smooth_sql() + " SELECT * FROM w5")
 def win5_smooth_maps(spark, sf_dir):
     return stencils.smooth_maps(stencils.contrast(events_raster(spark, sf_dir)))
 
@@ -452,24 +476,112 @@ def geo4_lanczos_resize(spark, sf_dir):
     return stencils.resize(events_raster(spark, sf_dir), 7, 24, "lanczos")
 
 
+def _flattened(spark, sf_dir):
+    return events_raster(spark, sf_dir).withColumns({c: px.flatten(C(c), C("a")) for c in "rgb"} | {"a": F.lit(255)})
+
+
+def _perceptual(pixels, bits=4):
+    """HIST1 and HIST2: the histogram that a search takes, pixels weighed by the noise map."""
+    noise = stencils.smooth_maps(stencils.contrast(pixels)).select("image_id", "x", "y", C("noise").alias("importance"))
+    return colours.normalised(colours.histogram(pixels.join(noise, ["image_id", "x", "y"]), bits), pixels.groupBy("image_id").agg(F.count("*").alias("n")))
+
+
+def _searched(spark, sf_dir):
+    """Flattened pixels and the palettes that the search finds for them."""
+    p = _flattened(spark, sf_dir)
+    return p, written(search.palettes(_perceptual(p)), "palettes")
+
+
 def _palettes(spark, sf_dir):
-    p = events_raster(spark, sf_dir)
-    return p, quantize.quantize(colours.histogram(p.withColumns({c: px.flatten(C(c), C("a")) for c in "rgb"} | {"a": F.lit(255)}), 4))
+    p, found = _searched(spark, sf_dir)
+    return p, dither.rounded(found, 4)
 
 
 @query()
 def qnt2_qnt6_quantize(spark, sf_dir):
-    return _palettes(spark, sf_dir)[1].withColumn("popularity", F.round("popularity", 3))
+    return _palettes(spark, sf_dir)[1].select("image_id", "idx", *"rgb", F.round("popularity", 3).alias("popularity"))
+
+
+@query()
+def qnt4_feedback_search(spark, sf_dir):
+    """Errors of the first cut, of the best trial (never greater) and after the last k-means steps."""
+    found = _searched(spark, sf_dir)[1]
+    return found.groupBy("image_id").agg(F.count("*").alias("colours"), *[F.round(F.first(e), 8).alias(e) for e in ("cut_error", "search_error", "error")])
+
+
+def _cut_sql(size: int, target: float, limit: float) -> str:
+    """A median cut of all images at once, one round of boxes after the other."""
+    steps = [f"""{FHIST}, n AS (SELECT image_id, count(*) AS n FROM px GROUP BY image_id),
+  b1 AS MATERIALIZED (SELECT h.image_id, r, g, b, a, fa, fr, fg, fb, least(weight / 128.0::DOUBLE, n * 0.1::DOUBLE) AS p, 0 AS box FROM fhist h JOIN n USING (image_id))"""]
+    shares, small = {"a": 4 / 16, "r": 7 / 16, "g": 9 / 16, "b": 5 / 16}, {"a": 2 / 256, "r": 1 / 256, "g": 1 / 256, "b": 1 / 256}
+
+    def boxes(i: int) -> str:
+        spread = ", ".join(f"{s!r}::DOUBLE * sum(p * CASE WHEN pow(f{c} - m_f{c}, 2) < {small[c] ** 2!r}::DOUBLE THEN pow(f{c} - m_f{c}, 2) / 4 ELSE pow(f{c} - m_f{c}, 2) END) AS v{c}" for c, s in shares.items())
+        return f"""m{i} AS MATERIALIZED (SELECT image_id, box, sum(p) AS w, count(*) AS n, {", ".join(f"sum(p * f{c}) / sum(p) AS m_f{c}" for c in shares)} FROM b{i} GROUP BY ALL),
+  v{i} AS MATERIALIZED (SELECT image_id, box, w, n, max({_distance_sql("m_", "")}) AS worst, sum(p * {_distance_sql("m_", "")}) AS error, {", ".join(f"any_value(m_f{c}) AS m_f{c}" for c in shares)}, {spread}
+    FROM b{i} JOIN m{i} USING (image_id, box) GROUP BY ALL)"""
+
+    for i in range(1, size):
+        steps.append(boxes(i))
+        now = limit * (1 + 16 * i / size)
+        goal = f"HAVING sum(error) > {target!r}::DOUBLE * sum(w)" if i > 1 else ""
+        steps.append(f"""s{i} AS MATERIALIZED (SELECT image_id, box, n, list_transform(list_sort([{", ".join(f"{{'v': -v{c}, 'k': {k}}}" for k, c in enumerate(shares, 1))}]), lambda x: x.k) AS ch
+    FROM v{i} JOIN (SELECT image_id FROM v{i} GROUP BY image_id {goal}) USING (image_id)
+    WHERE n > 1 AND greatest(va, vr, vg, vb) > 0 QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY w * greatest(va, vr, vg, vb) * greatest(1, worst / {now!r}::DOUBLE) DESC, box) = 1)""")
+        steps.append(f"""k{i} AS (SELECT b.*, s.n, (floor([fa, fr, fg, fb][ch[1]] * 65535)::BIGINT << 16) | floor(([fa, fr, fg, fb][ch[3]] + [fa, fr, fg, fb][ch[2]] / 2 + [fa, fr, fg, fb][ch[4]] / 4) * 65535)::BIGINT AS key
+    FROM b{i} b JOIN s{i} s USING (image_id, box)),
+  o{i} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY key DESC, a, b, g, r) AS rn FROM k{i}),
+  d{i} AS (SELECT image_id, {", ".join(f"sum(p * f{c}) / sum(p) AS q_f{c}" for c in shares)} FROM o{i} WHERE rn BETWEEN (n - 1) // 2 + 1 AND n // 2 + 1 GROUP BY image_id),
+  u{i} AS (SELECT image_id, rn, n, r, g, b, a, box, floor(sqrt({_distance_sql("q_", "")}) * (sqrt(1 + p) - 1) * 1e9::DOUBLE + 0.5)::BIGINT AS x FROM o{i} JOIN d{i} USING (image_id)),
+  t{i} AS (SELECT *, sum(x) OVER (PARTITION BY image_id ORDER BY rn) AS run, sum(x) OVER (PARTITION BY image_id) AS total FROM u{i}),
+  c{i} AS MATERIALIZED (SELECT *, least(n - 1, (count(*) FILTER (WHERE 2 * run <= total) OVER (PARTITION BY image_id)) + 1) AS cut FROM t{i}),
+  b{i + 1} AS MATERIALIZED (SELECT b.* EXCLUDE (box), CASE WHEN c.rn > c.cut THEN {i} ELSE b.box END AS box FROM b{i} b LEFT JOIN c{i} c USING (image_id, box, r, g, b, a))""")
+    steps.append(boxes(size))
+    return f"+{', '.join(steps)} SELECT image_id, box::INT AS box, n AS colours, round(w, 6) AS popularity, " + ", ".join(f"round(m_f{c}, 6) AS f{c}" for c in shares) + f", round(error, 5) AS error FROM v{size}"
+
+
+CUT = {"size": 16, "target": 0.04, "limit": 45 / 65536 * 1.2}
+
+
+@query(_cut_sql(**CUT))
+def qnt5_agg10_median_cut(spark, sf_dir):
+    p = events_raster(spark, sf_dir)
+    hist = colours.normalised(colours.histogram(p, 4), p.groupBy("image_id").agg(F.count("*").alias("n")))
+    found = search.cut_boxes(hist, **CUT)
+    return found.withColumns({"popularity": F.round("popularity", 6), "error": F.round("error", 5)} | {c: F.round(c, 6) for c in colours.FLOATS})
 
 
 @query()
 def qnt8_plain_remap(spark, sf_dir):
-    return colours.remapped(*_palettes(spark, sf_dir)).select("image_id", "x", "y", "idx")
+    p, found = _searched(spark, sf_dir)
+    return dither.plain_remap(p, found, 4)[0].select("image_id", "x", "y", "idx")
+
+
+def _rounded_sql() -> str:
+    """QNT7 and QNT8: entries of a k-means step, rounded, folded back, and moved by the pixels that map to them."""
+    back = lambda c: f"(CASE WHEN fa < 1 / 256.0::DOUBLE THEN 0 ELSE least(255, floor(pow(greatest(f{c} / fa, 0), {px.DISPLAY_GAMMA / px.INTERNAL_GAMMA!r}::DOUBLE) * 256))::INT END)"
+    alpha = "(CASE WHEN fa < 1 / 256.0::DOUBLE THEN 0 ELSE least(255, floor(fa * 256))::INT END)"
+    means = ", ".join(f"CASE WHEN w > 0 THEN s{c} / w ELSE t.f{c} END::DOUBLE AS f{c}" for c in "argb")
+    return f"""+{STEP}, km AS (SELECT image_id, t.idx, {means} FROM ftop t LEFT JOIN ks USING (image_id, idx)),
+  kb AS (SELECT image_id, idx, {", ".join(f"{_posterized(4, back(c))} AS {c}" for c in "rgb")}, {_posterized(4, alpha)} AS a FROM km), {_floats_sql("kb")}, {_floats_sql("px")},
+  kn AS MATERIALIZED (SELECT p.*, (SELECT min({{'d': {_ranked_sql("p.", "t.")}, 'i': t.idx}}) FROM fkb t WHERE t.image_id = p.image_id) AS q FROM fpx p),
+  ku AS (SELECT image_id, (q).i AS idx, count(*) AS pixels, {", ".join(f"avg(f{c}) AS u{c}" for c in "argb")} FROM kn GROUP BY ALL)
+  SELECT image_id, idx, {", ".join(f"CASE WHEN a = 0 THEN {palettes.CLEAR[c]} ELSE {c} END AS {c}" for c in "rgba")}, coalesce(pixels, 0) AS pixels, {", ".join(f"round(coalesce(u{c}, f{c}), 5)::DOUBLE AS f{c}" for c in "argb")} FROM fkb LEFT JOIN ku USING (image_id, idx)"""
+
+
+@query(_rounded_sql())
+def qnt7_qnt8_rounded_and_moved(spark, sf_dir):
+    p, top = _tops(spark, sf_dir)
+    entries = colours.kmeans_step(colours.histogram(p, 4), top).select("image_id", "idx", *colours.FLOATS, F.lit(0.0).alias("popularity"), F.lit(False).alias("fixed"))
+    indices, shown, after = dither.plain_remap(p, entries, 4)
+    pixels = indices.groupBy("image_id", "idx").agg(F.count("*").alias("pixels"))
+    both = shown.select("image_id", "idx", *"rgba").join(pixels, ["image_id", "idx"], "left").join(after.select("image_id", "idx", *colours.FLOATS), ["image_id", "idx"])
+    return both.select("image_id", "idx", *"rgba", F.coalesce("pixels", F.lit(0)).alias("pixels"), *[F.round(c, 5).alias(c) for c in colours.FLOATS])
 
 
 @query()
 def win9_qnt9_serpentine_dither(spark, sf_dir):
-    return quantize.dithered(*_palettes(spark, sf_dir))
+    return dither.dithered_remap(*_searched(spark, sf_dir), level=0.75, bits=4)[0]
 
 
 @query()
@@ -477,10 +589,22 @@ def win10_raster_dither(spark, sf_dir):
     return quantize.dithered(*_palettes(spark, sf_dir), serpentine=False, level=1.0)
 
 
-@query()
+def _dither_map_sql() -> str:
+    edges = _contrast_sql().removeprefix("+")
+    head, mark, tail = edges.partition("SELECT image_id, x, y, least")
+    return f"""+{TOP}, {NEAR}, {head.rstrip()}, ed AS ({mark}{tail}),
+  j AS MATERIALIZED (SELECT n.image_id, n.x, n.y, idx, edge, lag(idx) OVER c AS above, lead(idx) OVER c AS below, lag(idx) OVER r AS lft FROM near n JOIN ed USING (image_id, x, y)
+    WINDOW r AS (PARTITION BY image_id, n.y ORDER BY n.x), c AS (PARTITION BY image_id, n.x ORDER BY n.y)),
+  s AS MATERIALIZED (SELECT *, coalesce(sum(CASE WHEN x > 0 AND (x = 15 OR lft <> idx) THEN 1 ELSE 0 END) OVER (PARTITION BY image_id, y ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM j),
+  g AS (SELECT image_id, y, run, max(x) AS stop, arg_min(coalesce(lft, idx), x) AS colour FROM s GROUP BY ALL),
+  w AS (SELECT image_id, y, run, sum(10 + CASE WHEN above = colour THEN 15 ELSE 0 END + CASE WHEN below = colour THEN 15 ELSE 0 END) AS n FROM s JOIN g USING (image_id, y, run) WHERE x < stop GROUP BY ALL)
+  SELECT image_id, x, y, floor((edge + 128) * (255 / 383.0::DOUBLE) * (1 - 20.0::DOUBLE / (coalesce(n, 0) + 20)))::INT AS dither FROM s LEFT JOIN w USING (image_id, y, run)"""
+
+
+@query(_dither_map_sql())
 def win6_dither_map(spark, sf_dir):
-    p, palettes = _palettes(spark, sf_dir)
-    return quantize.dither_map(colours.remapped(p, palettes).select("image_id", "x", "y", "idx"), stencils.contrast(p))
+    p, top = _tops(spark, sf_dir)
+    return dither.dither_map(colours.remapped(p, top).select("image_id", "x", "y", "idx"), stencils.contrast(p))
 
 
 @query()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rastermill import queries
 from rastermill.functions import pixels as px
-from rastermill.operators import colours, quantize, stencils
+from rastermill.operators import colours, dither, quantize, stencils
 from rastermill.sources import files
 
 
@@ -80,17 +80,6 @@ def test_bilinear_of_equal_size_blurs():
     assert len({s for t, s, _ in stencils.weights("bilinear", 9, 9) if t == 4}) == 3
 
 
-def test_kmeans_error_never_rises_and_few_colours_are_the_palette(spark):
-    r = np.random.default_rng(0)
-    c, w = r.integers(0, 256, (300, 3)).astype(float), r.random(300) + 0.1
-    means, _ = quantize.median_cut(c, w, 16)
-    assert len(means) == 16
-    palette, popularity, errors = quantize.refine(c, w, means, 0, 20, 0)
-    assert all(b <= a + 1e-9 for a, b in zip(errors, errors[1:])) and abs(popularity.sum() - w.sum()) < 1e-6
-    hist = spark.createDataFrame([(1, 10, 20, 30, 5), (1, 40, 50, 60, 9)], "image_id long, r int, g int, b int, weight long")
-    assert [(x["r"], x["g"], x["b"]) for x in quantize.quantize(hist).orderBy("idx").collect()] == [(40, 50, 60), (10, 20, 30)]
-
-
 def test_diffusion_shares_and_exact_images():
     assert abs(sum(quantize.SERPENTINE) - 1) < 1e-9 and abs(sum(quantize.RASTER) - 1) < 1e-5
     palette = np.array([[0, 0, 0], [255, 255, 255.0]])
@@ -161,5 +150,5 @@ def test_dither_map_writes_where_a_run_ends(spark):
     """By hand: the first run ends at column 2, n = 20; the rest of the row has n = 0."""
     rows = [(1, x, 0, i) for x, i in enumerate((0, 0, 1, 1))]
     indexed = spark.createDataFrame(rows, "image_id long, x int, y int, idx int")
-    found = quantize.dither_map(indexed, indexed.selectExpr("image_id", "x", "y", "0 AS edge")).orderBy("x").collect()
+    found = dither.dither_map(indexed, indexed.selectExpr("image_id", "x", "y", "0 AS edge")).orderBy("x").collect()
     assert [r["dither"] for r in found] == [42, 42, 42, 0]
