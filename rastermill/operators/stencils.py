@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -114,9 +115,14 @@ def _samples(size: int, wanted: int) -> list[list[tuple[int, float]]]:
     return out
 
 
+def placing(size: int, wanted: int) -> tuple[float, float]:
+    """Step and offset of target places in the source: (S-1)/(D-1) when enlarging, S/D with centred offset when reducing."""
+    return ((size - 1) / (wanted - 1), 0.0) if wanted > size else (size / wanted, (size / wanted - 1) / 2)
+
+
 def _lanczos(size: int, wanted: int, lobes: float = 3.0) -> list[list[tuple[int, float]]]:
     """GEO4's weights: step (S-1)/(D-1) when enlarging, S/D with centred offset when reducing; edges repeat; sums are 1."""
-    k, offset = ((size - 1) / (wanted - 1), 0.0) if wanted > size else (size / wanted, (size / wanted - 1) / 2)
+    k, offset = placing(size, wanted)
     wide = max(k, 1.0)
     reach = int(np.ceil(lobes * wide))
     out = []
@@ -141,24 +147,28 @@ def weights(method: str, size: int, wanted: int) -> tuple[tuple[int, int, float]
     return tuple((i, p, w) for i, row in enumerate(rows) for p, w in row)
 
 
-def _axis(spark: SparkSession, sizes: list[int], wanted: int, method: str, a: str) -> DataFrame:
-    rows = [(s, *r) for s in sizes for r in weights(method, s, wanted)]
+def _axis(spark: SparkSession, sizes: list[int], wanted: int, weights_of: Callable, a: str) -> DataFrame:
+    rows = [(s, *r) for s in sizes for r in weights_of(s, wanted)]
     return F.broadcast(spark.createDataFrame(rows, f"size_{a} int, to_{a} int, {a} int, weight_{a} double"))  # bounded: sizes x wanted x taps
 
 
-def resize(pixels: DataFrame, width: int, height: int, method: str = "lanczos", most_sizes: int = 256) -> DataFrame:
-    """GEO3 (bilinear) and GEO4 (lanczos): two sparse matrix products, across then down, as joins with weights and sums."""
+def resize(pixels: DataFrame, width: int, height: int, method: str = "lanczos", most_sizes: int = 256, weights_of: Callable | None = None) -> DataFrame:
+    """GEO3 (bilinear) and GEO4 (lanczos): two sparse matrix products, across then down, as joins with weights and sums.
+
+    weights_of: (size, wanted) -> (target, source, weight) of other methods.
+    """
     spark = pixels.sparkSession
+    weights_of = weights_of or (lambda size, wanted: weights(method, size, wanted))
     sizes = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("size_x"), (F.max("y") + 1).alias("size_y"))
     found = {a: [r[0] for r in sizes.select(f"size_{a}").distinct().limit(most_sizes + 1).collect()] for a in "xy"}
     if max(map(len, found.values())) > most_sizes:
         raise ValueError(f"more than {most_sizes} image sizes; resize them in groups")
     rows = pixels.join(sizes, "image_id")
-    across = rows.join(_axis(spark, found["x"], width, method, "x"), ["size_x", "x"])
+    across = rows.join(_axis(spark, found["x"], width, weights_of, "x"), ["size_x", "x"])
     across = across.groupBy("image_id", "size_y", "y", "to_x").agg(*[F.sum(C(c) * C("weight_x")).alias(c) for c in "rgba"])
-    down = across.join(_axis(spark, found["y"], height, method, "y"), ["size_y", "y"])
+    down = across.join(_axis(spark, found["y"], height, weights_of, "y"), ["size_y", "y"])
     down = down.groupBy("image_id", "to_x", "to_y").agg(*[F.sum(C(c) * C("weight_y")).alias(c) for c in "rgba"])
-    half = 0.5 if method == "lanczos" else 0.0
+    half = 0.0 if method == "bilinear" else 0.5
     out = [F.least(F.lit(255), F.greatest(F.lit(0), F.floor(F.round(C(c), 6) + half))).cast("int").alias(c) for c in "rgba"]
     return down.select("image_id", C("to_x").alias("x"), C("to_y").alias("y"), *out)
 

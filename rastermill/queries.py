@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rastermill.functions import pixels as px
-from rastermill.operators import colours, dither, lists, palettes, quantize, search, stencils
+from rastermill.operators import colours, dither, lists, palettes, quantize, resample, search, stencils
 from rastermill.sources import files
 from rastermill.sources.rasters import EVENTS_SQL, events_raster
 from rastermill.sources.scratch import written
@@ -141,9 +142,10 @@ def px13_colour_distance():
     return {"d": F.round(px.distance(own, [F.lit(1.0), F.lit(0.5), F.lit(0.5), F.lit(0.5)]), 5)}
 
 
-@query("WITH q AS (SELECT unnest(range(0, 101)) AS quality) SELECT quality, CASE WHEN quality = 0 THEN 1e20 WHEN quality = 100 THEN 0 ELSE round(greatest(0, 0.016 / (0.001 + quality) - 0.001) + 2.5 / pow(210.0 + quality, 1.2) * (100.1 - quality) / 100.0, 9) END::DOUBLE AS mse FROM q")
+@query("WITH q AS (SELECT p_partkey, p_partkey % 101 AS quality FROM part) SELECT p_partkey, quality, CASE WHEN quality = 0 THEN 1e20 WHEN quality = 100 THEN 0 ELSE round(greatest(0, 0.016 / (0.001 + quality) - 0.001) + 2.5 / pow(210.0 + quality, 1.2) * (100.1 - quality) / 100.0, 9) END::DOUBLE AS mse FROM q")
 def px15_quality_to_mse(spark, sf_dir):
-    return spark.range(101).select(C("id").alias("quality"), F.round(px.quality_to_mse(C("id")), 9).alias("mse"))
+    quality = C("p_partkey") % 101
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", quality.alias("quality"), F.round(px.quality_to_mse(quality), 9).alias("mse"))
 
 
 @scalar("round(CASE WHEN r / 255.0 <= 0.04045 THEN r / 255.0 / 12.92 ELSE pow((r / 255.0 + 0.055) / 1.055, 2.4) END, 5)::DOUBLE AS v")
@@ -459,23 +461,129 @@ def geo2_point_resize(spark, sf_dir):
     return stencils.point_resize(events_raster(spark, sf_dir), 11, 20)
 
 
-def _resize_sql(w: int, h: int, method: str) -> str:
-    v = lambda n, m: f"{n}(t, s, k) AS (VALUES " + ", ".join(f"({t}, {s}, {k!r}::DOUBLE)" for t, s, k in stencils.weights(method, 16, m)) + ")"
-    half = "0.5" if method == "lanczos" else "0"
-    return f"""+{v('wx', w)}, {v('wy', h)}, ax AS (SELECT image_id, y, t AS x, {', '.join(f'sum({c} * k) AS {c}' for c in 'rgba')} FROM px JOIN wx ON x = s GROUP BY ALL)
-      SELECT image_id, x, t AS y, {', '.join(f'least(255, greatest(0, floor(round(sum({c} * k), 6) + {half})))::INT AS {c}' for c in 'rgba')} FROM ax JOIN wy ON y = s GROUP BY image_id, x, t"""
-
-
-@query(_resize_sql(7, 24, "bilinear"))
+def _placing_sql(size: int, wanted: int) -> tuple[str, str]:
+    """Step and offset of target places."""
+    k = f"({size - 1}::DOUBLE / {wanted - 1}::DOUBLE)" if wanted > size else f"({size}::DOUBLE / {wanted}::DOUBLE)"
+    return k, "0::DOUBLE" if wanted > size else f"(({k} - 1) * 0.5::DOUBLE)"
+
+
+def _bilinear_sql(n: str, size: int, wanted: int) -> str:
+    """Weights n(t, s, k): the mean of bilinear samples about each place."""
+    ratio = f"({size}::DOUBLE / {wanted}::DOUBLE)"
+    steps = 1 if size < wanted else int(2 * size / wanted) + 1
+    pos = f"t * {ratio} + (i / {max(1, steps - 1)}::DOUBLE - 0.5::DOUBLE) * {ratio}" if steps > 1 else f"t * {ratio}"
+    return f"""{n}_p AS (SELECT t, {pos} AS pos FROM (SELECT unnest(range({wanted})) AS t), (SELECT unnest(range({steps})) AS i)),
+  {n} AS MATERIALIZED (SELECT t, least(greatest(trunc(pos)::INT + o, 0), {size - 1}) AS s, sum(CASE WHEN o = 0 THEN 1 - (pos - trunc(pos)) ELSE pos - trunc(pos) END / {steps}::DOUBLE) AS k FROM {n}_p, (VALUES (0), (1)) v(o) GROUP BY ALL)"""
+
+
+def _lanczos_sql(n: str, size: int, wanted: int) -> str:
+    """Weights n(t, s, k): a sinc windowed by its third, of unit sum."""
+    k, offset = _placing_sql(size, wanted)
+    sinc = lambda x: f"CASE WHEN {x} = 0 THEN 1 ELSE sin(pi() * ({x})) / (pi() * ({x})) END"
+    return f"""{n}_p AS (SELECT t, p, (p - ({offset} + t * {k})) / greatest({k}, 1) AS d FROM (SELECT unnest(range({wanted})) AS t), (SELECT unnest(range({-4 * size - 20}, {6 * size + 20})) AS p)),
+  {n}_w AS (SELECT t, p, ({sinc("d")}) * ({sinc("(d / 3)")}) AS w FROM {n}_p WHERE abs(d) < 3),
+  {n} AS MATERIALIZED (SELECT t, least(greatest(p, 0), {size - 1})::INT AS s, sum(w / whole) AS k FROM {n}_w JOIN (SELECT t, sum(w) AS whole FROM {n}_w GROUP BY t) USING (t) GROUP BY ALL)"""
+
+
+def _avir_sql(n: str, size: int, wanted: int, preset: str = "default") -> str:
+    """Weights n(t, s, k) of the designed filters, from their formulas; for sizes that need no half-band filter."""
+    p, phases = resample.PRESETS[preset], resample.PHASES
+    k, offset = _placing_sql(size, wanted)
+    first, f = wanted >= size, 2 if size < 2 * wanted else 1
+    cutoff = "1::DOUBLE" if first else f"(1 / {k})"
+    wide = cutoff if f == 2 else f"(2 * {cutoff})"
+    window = lambda t, half, alpha: f"cos(pi() / 2 * {t} / {half}) * (1 - pow({t} / {half}, {alpha!r}::DOUBLE))"
+
+    def sinc(name: str, half: str, freq: str, alpha: float, gain: str) -> str:
+        return f"""{name}_r AS (SELECT e, CASE WHEN e = 0 THEN {freq} / pi() ELSE sin({freq} * e) / (pi() * e) * {window("abs(e)", half, alpha)} END AS w
+    FROM (SELECT unnest(range(1 - ceil({half})::INT, ceil({half})::INT)) AS e)), {name} AS MATERIALIZED (SELECT e, w / (SELECT sum(w) FROM {name}_r) * {gain} AS w FROM {name}_r)"""
+
+    def trim(name: str, of: str, gain: str) -> str:
+        kept = f"SELECT e, w FROM {of} WHERE abs(e) <= (SELECT max(abs(e)) FROM {of} WHERE e = 0 OR abs(w) >= 0.00001)"
+        return f"{name} AS MATERIALIZED (SELECT e, w / (SELECT sum(w) FROM ({kept})) * {gain} AS w FROM ({kept}))"
+
+    parts = [sinc(f"{n}_l1", f"(0.25::DOUBLE * {p['lp'][1]!r}::DOUBLE / {cutoff} * {f})", f"(pi() * {p['lp'][2]!r}::DOUBLE * {cutoff} / {f})", p["lp"][0], "1"), trim(f"{n}_low", f"{n}_l1", str(f))]
+    parts.append(sinc(f"{n}_long", f"(0.5::DOUBLE * {p['int'][2]!r}::DOUBLE / {wide} * {phases})", f"(pi() * {p['int'][1]!r}::DOUBLE * {wide} / {phases})", p["int"][0], str(phases)))
+    parts.append(f"{n}_at AS MATERIALIZED (SELECT t, floor(pos)::INT AS whole, trunc((pos - floor(pos)) * {phases})::INT AS phase FROM (SELECT t, {f} * {offset} + {f} * {k} * t AS pos FROM (SELECT unnest(range({wanted})) AS t)))")
+    # taps of the interpolator by phase: the long sinc at every {phases}-th place, filtered by the low-pass filter
+    parts.append(f"""{n}_ph AS (SELECT DISTINCT phase FROM {n}_at UNION SELECT 0),
+  {n}_one AS (SELECT phase, ((e + phase) // {phases}) AS q, w FROM {n}_ph, {n}_long WHERE (e + phase) % {phases} = 0),
+  {n}_tap AS MATERIALIZED (SELECT phase, o.q + l.e AS q, sum(o.w * l.w) AS w FROM {n}_one o, {n}_low l GROUP BY ALL)""")
+    # correction: lines through the reciprocal response, transformed back
+    parts.append(f"""{n}_bin AS (SELECT j, {f} / sqrt(pow(sum(w * cos(q * a)), 2) + pow(sum(w * sin(q * a)), 2)) AS b
+    FROM (SELECT j, pi() * {cutoff} / {f} * j / 64::DOUBLE AS a FROM (SELECT unnest(range(65)) AS j)), {n}_tap WHERE phase = 0 GROUP BY j),
+  {n}_seg AS (SELECT j / 64::DOUBLE AS x1, (j + 1) / 64::DOUBLE AS x2, b AS y1, lead(b) OVER (ORDER BY j) AS y2 FROM {n}_bin),
+  {n}_int AS (SELECT e, sum(CASE WHEN e = 0 THEN (x2 - x1) * (y1 + y2) / 2
+      ELSE (y2 * sin(pi() * e * x2) - y1 * sin(pi() * e * x1)) / (pi() * e) + (y2 - y1) / (x2 - x1) * (cos(pi() * e * x2) - cos(pi() * e * x1)) / pow(pi() * e, 2) END) * CASE WHEN e = 0 THEN 1 ELSE {window("abs(e)", f"({p['corr'][1]!r}::DOUBLE / 2)", p["corr"][0])} END AS w
+    FROM {n}_seg, (SELECT unnest(range({1 - math.ceil(p["corr"][1] / 2)}, {math.ceil(p["corr"][1] / 2)})) AS e) WHERE y2 IS NOT NULL GROUP BY e),
+  {n}_unit AS (SELECT e, w / (SELECT sum(w) FROM {n}_int) AS w FROM {n}_int), {trim(f"{n}_corr", f"{n}_unit", "1")}""")
+    place = f"((whole + q) // {f})" if f == 2 else "(whole + q)"
+    even = "WHERE (whole + q) % 2 = 0" if f == 2 else ""
+    parts.append(f"{n}_row AS MATERIALIZED (SELECT t, {place} AS p, sum(w) AS w FROM {n}_at JOIN {n}_tap USING (phase) {even} GROUP BY ALL)")
+    if first:
+        end = f"SELECT t, least(greatest(least(greatest(p, -3), {size + 2}) + e, 0), {size - 1})::INT AS s, sum(r.w * c.w) AS k FROM {n}_row r, {n}_corr c GROUP BY ALL"
+    else:
+        end = f"SELECT o.t, least(greatest(p, 0), {size - 1})::INT AS s, sum(r.w * c.w) AS k FROM (SELECT unnest(range({wanted})) AS t) o, {n}_corr c JOIN {n}_row r ON r.t = least(greatest(o.t + c.e, 0), {wanted - 1}) GROUP BY ALL"
+    return ",\n".join([*parts, f"{n} AS MATERIALIZED ({end})"])
+
+
+def _resize_sql(w: int, h: int, weights_sql, half: str = "0.5", more: str = "") -> str:
+    return f"""+{weights_sql("wx", 16, w)}, {weights_sql("wy", 16, h)}, ax AS (SELECT image_id, y, t AS x, {', '.join(f'sum({c} * k) AS {c}' for c in 'rgba')} FROM px JOIN wx ON x = s GROUP BY ALL)
+      SELECT image_id, x::INT AS x, t::INT AS y, {', '.join(f'least(255, greatest(0, floor(round(sum({c} * k), 6) + {half})))::INT AS {c}' for c in 'rgba')}{more} FROM ax JOIN wy ON y = s GROUP BY image_id, x, t"""
+
+
+@query(_resize_sql(7, 24, _bilinear_sql, "0"))
 def geo3_bilinear_resize(spark, sf_dir):
     return stencils.resize(events_raster(spark, sf_dir), 7, 24, "bilinear")
 
 
-@query(_resize_sql(7, 24, "lanczos"))
+@query(_resize_sql(7, 24, _lanczos_sql))
 def geo4_lanczos_resize(spark, sf_dir):
     return stencils.resize(events_raster(spark, sf_dir), 7, 24, "lanczos")
 
 
+@query(_resize_sql(7, 24, _avir_sql))
+def geo5_geo6_avir_resize(spark, sf_dir):
+    """Across reduced to less than a half, down enlarged: two of the three chains."""
+    return resample.avir_resize(events_raster(spark, sf_dir), 7, 24)
+
+
+def _presets_sql() -> str:
+    """All presets, one after the other, reduced to more than a half."""
+    parts = []
+    for name in resample.PRESETS:
+        sql = _resize_sql(11, 13, lambda n, size, wanted, name=name: _avir_sql(f"{n}_{name}", size, wanted, name), more=f", '{name}' AS preset").removeprefix("+")
+        parts.append(f"SELECT * FROM (WITH {sql.replace('JOIN wx ', f'JOIN wx_{name} ').replace('JOIN wy ', f'JOIN wy_{name} ')})")
+    return f"WITH {EVENTS_SQL} " + " UNION ALL ".join(parts)
+
+
+@query(_presets_sql())
+def geo7_geo8_avir_presets(spark, sf_dir):
+    p = events_raster(spark, sf_dir)
+    parts = [resample.avir_resize(p, 11, 13, name).withColumn("preset", F.lit(name)) for name in resample.PRESETS]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+DISPATCH = {"point": (9, 9), "bilinear": (9, 9), "lanczos": (9, 9), "avir": (9, 9)}
+
+
+@query(f"+{_bilinear_sql('bl', 16, 9)}, {_lanczos_sql('lz', 16, 9)}, {_avir_sql('av', 16, 9)}, ws AS (SELECT 'bilinear' AS method, 0.0::DOUBLE AS half, * FROM bl UNION ALL SELECT 'lanczos', 0.5, * FROM lz UNION ALL SELECT 'avir', 0.5, * FROM av), "
+       f"ax AS (SELECT method, image_id, y, t AS x, {', '.join(f'sum({c} * k) AS {c}' for c in 'rgba')} FROM px JOIN ws ON x = s GROUP BY ALL) "
+       f"SELECT method, image_id, x::INT AS x, t::INT AS y, {', '.join(f'least(255, greatest(0, floor(round(sum({c} * k), 6) + half)))::INT AS {c}' for c in 'rgba')} FROM ax JOIN ws USING (method) WHERE y = s GROUP BY method, half, image_id, x, t "
+       f"UNION ALL SELECT 'point', image_id, gx, gy, r, g, b, a FROM (SELECT DISTINCT image_id, gx::INT AS gx, gy::INT AS gy FROM px, (SELECT unnest(range(0, 9)) AS gx), (SELECT unnest(range(0, 9)) AS gy)) JOIN px USING (image_id) WHERE px.x = gx * 16 // 9 AND px.y = gy * 16 // 9 "
+       f"UNION ALL SELECT 'crop', image_id, x - 7, y, r, g, b, a FROM px WHERE x >= 7 AND y < 9")
+def geo11_dispatch(spark, sf_dir):
+    """The scale dialog's four methods, and a crop to the upper right."""
+    p = events_raster(spark, sf_dir)
+    out = resample.repositioned(p, 9, 9, 2).withColumn("method", F.lit("crop"))
+    for method, (w, h) in DISPATCH.items():
+        out = out.unionByName(resample.resized(p, w, h, method).withColumn("method", F.lit(method)))
+    return out
+
+
 def _flattened(spark, sf_dir):
     return events_raster(spark, sf_dir).withColumns({c: px.flatten(C(c), C("a")) for c in "rgb"} | {"a": F.lit(255)})
 
@@ -678,10 +786,10 @@ def px14_raised_alpha(spark, sf_dir):
     return events_raster(spark, sf_dir).select("image_id", "x", "y", palettes.raised_alpha(C("a"), 195).alias("a"))
 
 
-@query("WITH w AS (SELECT unnest(range(1, 2001)) AS w) SELECT w, greatest(1, floor(w / 1.6::DOUBLE + 0.5))::INT AS h, greatest(1, w // 2) AS half, 2 * w AS twice FROM w")
+@query("WITH w AS (SELECT page_id, length(url) AS w FROM pages) SELECT page_id, w, greatest(1, floor(w / 1.6::DOUBLE + 0.5))::INT AS h, greatest(1, w // 2) AS half, 2 * w AS twice FROM w")
 def px22_kept_aspect(spark, sf_dir):
-    w = C("id")
-    return spark.range(1, 2001).select(w.alias("w"), palettes.kept_aspect(w, 1.6).alias("h"), F.greatest(F.lit(1), F.expr("id div 2")).alias("half"), (2 * w).alias("twice"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.char_length("url").cast("long").alias("w"))
+    return pages.select("page_id", "w", palettes.kept_aspect(C("w"), 1.6).alias("h"), F.greatest(F.lit(1), F.expr("w div 2")).alias("half"), (2 * C("w")).alias("twice"))
 
 
 @query("WITH s AS (SELECT o_orderkey, o_orderkey % 300000 * 97 - 5 AS w, o_custkey * 30000 AS h FROM orders) SELECT o_orderkey, w > 0 AND h > 0 AND w <= (2147483647 // 4) // greatest(h, 1) AND w <= 2147483647 // 16 // 16 AND h <= 2147483647 // 8 AS allowed FROM s")
@@ -720,12 +828,13 @@ def agg6_boxes_good_enough(spark, sf_dir):
     return palettes.boxes_good_enough(boxes, 0.09)
 
 
-@query("""WITH e AS (SELECT i, i * i / 250000.0::DOUBLE AS mse FROM (SELECT unnest(range(0, 400)) AS i)),
+@query(f"""+{TOP}, {NEAR}, e AS (SELECT image_id, avg(d) / 8 AS mse FROM near GROUP BY image_id),
   q AS (SELECT q, CASE WHEN q = 100 THEN 0 ELSE greatest(0, 0.016 / (0.001 + q) - 0.001) + 2.5 / pow(210.0 + q, 1.2) * (100.1 - q) / 100.0 END::DOUBLE AS most FROM (SELECT unnest(range(1, 101)) AS q))
-  SELECT i, round(mse * 65536 / 6, 4) AS error, coalesce((SELECT max(q) FROM q WHERE mse <= most + 0.000001), 0)::INT AS quality FROM e""")
+  SELECT image_id, round(mse * 65536 / 6, 4) AS error, coalesce((SELECT max(q) FROM q WHERE mse <= most + 0.000001), 0)::INT AS quality FROM e""")
 def agg11_error_and_quality(spark, sf_dir):
-    mse = C("id") * C("id") / F.lit(250000.0)
-    return spark.range(400).select(C("id").alias("i"), F.round(palettes.standard_mse(mse), 4).alias("error"), palettes.mse_to_quality(mse).alias("quality"))
+    mse = C("mean_sq_error") / 8  # an eighth, so that qualities differ between images
+    found = colours.remap_error(colours.remapped(*_tops(spark, sf_dir)))
+    return found.select("image_id", F.round(palettes.standard_mse(mse), 4).alias("error"), palettes.mse_to_quality(mse).alias("quality"))
 
 
 ROUND = lambda c: f"(CASE WHEN a & 240 = 0 AND idx % 4 <> 0 THEN {palettes.CLEAR[c]} ELSE (({c} & 240) | ({c} >> 4)) END)"
