@@ -47,6 +47,29 @@ def fitting_bits(pixels: DataFrame, most: int) -> DataFrame:
     return found.select("image_id", bits.alias("bits"), *[C(f"n{b}") for b in range(5)])
 
 
+def posterized_by(c: Column, bits: Column) -> Column:
+    """PX8 by a column of bits, 0 to 4."""
+    out = c
+    for b in range(1, 5):
+        out = F.when(bits == b, px.posterize(c, b)).otherwise(out)
+    return out
+
+
+def shared_histogram(pixels: DataFrame, most: int, least_bits: int = 0) -> DataFrame:
+    """HIST4: one histogram for each set of images: set_id, bits, r, g, b, a, weight. pixels: set_id, place, x, y, r, g, b, a.
+
+    A set's images are added by place. Its first one settles how many bits are ignored, so that it has at most `most` colours; those after it are
+    posterized alike and add colours without limit. Only the first images are counted at several bits.
+    """
+    first = pixels.groupBy("set_id").agg(F.min("place").alias("place"))
+    counted = fitting_bits(pixels.join(first, ["set_id", "place"]).withColumn("image_id", C("set_id")), most)
+    bits = counted.select(C("image_id").alias("set_id"), F.greatest(C("bits"), F.lit(least_bits)).alias("bits"))
+    own = C("importance") if "importance" in pixels.columns else F.lit(255)
+    clear = C("a") == 0
+    rows = pixels.join(bits, "set_id").select("set_id", "bits", *[F.when(clear, 0).otherwise(posterized_by(C(c), C("bits"))).alias(c) for c in "rgba"], F.when(clear, 2000).otherwise(own).alias("w"))
+    return rows.groupBy("set_id", "bits", *"rgba").agg(F.sum("w").cast("long").alias("weight"))
+
+
 def top_colours(hist: DataFrame, n: int) -> DataFrame:
     """LIM1: the n heaviest colours per image, ties to the smaller colour; idx from 0. A popularity palette, not median cut."""
     w = Window.partitionBy("image_id").orderBy(F.desc("weight"), *"rgba")

@@ -1,9 +1,10 @@
-"""Remapping to a found palette: rounding (QNT7), the plain remap (QNT8), the dither map (WIN6) and map-weighted error diffusion (QNT9, WIN9).
+"""Remapping to a found palette: rounding (QNT7), the plain remap (QNT8), the dither map (WIN6) and map-weighted error diffusion (QNT9, WIN9);
+rounding of resampled values with error diffusion (WIN10).
 
 All but the diffusion are joins, windows and sums. Serpentine diffusion is sequential within an image, since a row begins beside the last pixel
 of the row before. So images of one size are diffused side by side (one numpy step for a pixel of each), and tall ones by bands of rows: a superstep
 takes each image's next band together with the error row that the last one left, which is written to the shared folder. A task so
-holds bands, never a whole tall image.
+holds bands, never a whole tall image. Diffusion in raster order runs by diagonal wavefronts within a band.
 """
 
 from __future__ import annotations
@@ -184,19 +185,94 @@ def diffused(pixels: DataFrame, palette: DataFrame, errors: DataFrame, band_rows
     bands = banded.groupBy("image_id", "band").applyInArrow(_pack, _BANDS)
     entries = palette.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("idx", *colours.FLOATS))).alias("palette"))
     bands = bands.join(entries, "image_id").join(errors, "image_id")
+    return _by_bands(pixels, bands, band_rows, _diffuse(band_rows), _DONE).mapInArrow(_unpack, "image_id long, x int, y int, idx int")
+
+
+def _by_bands(pixels: DataFrame, bands: DataFrame, band_rows: int, run, schema: str) -> DataFrame:
+    """All bands' results, one superstep for the n-th band of every image, which gets `carried` from the one above."""
     last = pixels.agg(F.max("y")).first()[0]
     count = 1 if last is None else last // band_rows + 1
     if count == 1:
-        return bands.withColumn("carried", F.lit(None).cast("binary")).mapInArrow(_diffuse(band_rows), _DONE).mapInArrow(_unpack, "image_id long, x int, y int, idx int")
+        return bands.withColumn("carried", F.lit(None).cast("binary")).mapInArrow(run, schema)
     bands, done = written(bands, "bands"), []
     for n in range(count):
         mine = bands.where(C("band") == n)
         mine = mine.join(done[-1].select("image_id", "carried"), "image_id", "left") if done else mine.withColumn("carried", F.lit(None).cast("binary"))
-        done.append(written(mine.mapInArrow(_diffuse(band_rows), _DONE), "diffused"))
+        done.append(written(mine.mapInArrow(run, schema), "diffused"))
     every = done[0]
     for more in done[1:]:
         every = every.unionByName(more)
-    return every.mapInArrow(_unpack, "image_id long, x int, y int, idx int")
+    return every
+
+
+# Shares of a rounding's error that go right, down and left, down, down and right.
+RIGHT, DOWN_LEFT, BELOW, DOWN_RIGHT = 0.364842, 0.207305, 0.364842, 0.063011
+
+
+def wavefront(values: np.ndarray, carried: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rounds rows x columns x channels half away from zero, the error of each value carried on, all values of a diagonal x + 2 y at once.
+
+    Returns bytes and what the row below gets. Unlike the values, the errors are not clamped.
+    """
+    h, w, n = values.shape
+    room = np.zeros((h + 1, w + 2, n))  # a column on each side takes what leaves the image
+    room[:h, 1:-1] = values
+    room[0, 1:-1] += carried
+    out = np.zeros(values.shape, np.int16)
+    for t in range(w + 2 * (h - 1)):
+        y = np.arange(max(0, (t - w + 2) // 2), min(h - 1, t // 2) + 1)
+        x = t - 2 * y + 1
+        v = room[y, x]
+        whole = np.where(v < 0, -np.floor(0.5 - v), np.floor(v + 0.5))
+        out[y, x - 1] = np.clip(whole, 0, 255)
+        miss = v - whole
+        room[y, x + 1] += miss * RIGHT
+        room[y + 1, x - 1] += miss * DOWN_LEFT
+        room[y + 1, x] += miss * BELOW
+        room[y + 1, x + 1] += miss * DOWN_RIGHT
+    return out, room[h, 1:-1]
+
+
+_ROUNDED = "image_id long, first_row int, width int, values binary, carried binary"
+
+
+def _pack_values(rows: pa.Table) -> pa.Table:
+    x, y = (rows.column(c).to_numpy().astype(np.int64) for c in "xy")
+    y, w = y - y.min(), int(x.max()) + 1
+    v = np.zeros((int(y.max()) + 1, w, 4))
+    v[y, x] = np.stack([rows.column(c).to_numpy() for c in "rgba"], axis=1)
+    return pa.table({"image_id": rows.column("image_id").slice(0, 1), "band": rows.column("band").slice(0, 1), "width": pa.array([w], pa.int32()), "v": pa.array([v.tobytes()], pa.binary())})
+
+
+def _round(band_rows: int):
+    schema = pa.schema([("image_id", pa.int64()), ("first_row", pa.int32()), ("width", pa.int32()), ("values", pa.binary()), ("carried", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
+                carried = np.frombuffer(r["carried"], np.float64).reshape(r["width"], 4) if r["carried"] is not None else 0.0
+                out, rest = wavefront(np.frombuffer(r["v"], np.float64).reshape(-1, r["width"], 4), carried)
+                row = {"image_id": r["image_id"], "first_row": r["band"] * band_rows, "width": r["width"], "values": out.tobytes(), "carried": rest.tobytes()}
+                yield pa.RecordBatch.from_pylist([row], schema=schema)
+
+    return run
+
+
+def _unpack_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for r in batch.to_pylist():
+            v, w = np.frombuffer(r["values"], np.int16).reshape(-1, 4).astype(np.int32), r["width"]
+            n = np.arange(len(v), dtype=np.int32)
+            cols = [np.full(len(v), r["image_id"]), n % w, n // w + np.int32(r["first_row"]), *v.T]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=["image_id", "x", "y", *"rgba"])
+
+
+def rounded_with_diffusion(values: DataFrame, band_rows: int = BAND_ROWS) -> DataFrame:
+    """WIN10: image_id, x, y, r, g, b, a as bytes of values that are floats."""
+    banded = values.withColumn("band", F.floor(C("y") / band_rows).cast("int"))
+    bands = banded.groupBy("image_id", "band").applyInArrow(_pack_values, "image_id long, band int, width int, v binary")
+    return _by_bands(values, bands, band_rows, _round(band_rows), _ROUNDED).mapInArrow(_unpack_values, "image_id long, x int, y int, r int, g int, b int, a int")
 
 
 def dithered_remap(pixels: DataFrame, palette: DataFrame, level: float, bits: int, band_rows: int = BAND_ROWS) -> tuple[DataFrame, DataFrame]:

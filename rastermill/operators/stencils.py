@@ -152,10 +152,10 @@ def _axis(spark: SparkSession, sizes: list[int], wanted: int, weights_of: Callab
     return F.broadcast(spark.createDataFrame(rows, f"size_{a} int, to_{a} int, {a} int, weight_{a} double"))  # bounded: sizes x wanted x taps
 
 
-def resize(pixels: DataFrame, width: int, height: int, method: str = "lanczos", most_sizes: int = 256, weights_of: Callable | None = None) -> DataFrame:
+def resize(pixels: DataFrame, width: int, height: int, method: str = "lanczos", most_sizes: int = 256, weights_of: Callable | None = None, rounded: bool = True) -> DataFrame:
     """GEO3 (bilinear) and GEO4 (lanczos): two sparse matrix products, across then down, as joins with weights and sums.
 
-    weights_of: (size, wanted) -> (target, source, weight) of other methods.
+    weights_of: (size, wanted) -> (target, source, weight) of other methods. Unrounded values are not held in a byte either.
     """
     spark = pixels.sparkSession
     weights_of = weights_of or (lambda size, wanted: weights(method, size, wanted))
@@ -168,6 +168,8 @@ def resize(pixels: DataFrame, width: int, height: int, method: str = "lanczos",
     across = across.groupBy("image_id", "size_y", "y", "to_x").agg(*[F.sum(C(c) * C("weight_x")).alias(c) for c in "rgba"])
     down = across.join(_axis(spark, found["y"], height, weights_of, "y"), ["size_y", "y"])
     down = down.groupBy("image_id", "to_x", "to_y").agg(*[F.sum(C(c) * C("weight_y")).alias(c) for c in "rgba"])
+    if not rounded:
+        return down.select("image_id", C("to_x").alias("x"), C("to_y").alias("y"), *"rgba")
     half = 0.0 if method == "bilinear" else 0.5
     out = [F.least(F.lit(255), F.greatest(F.lit(0), F.floor(F.round(C(c), 6) + half))).cast("int").alias(c) for c in "rgba"]
     return down.select("image_id", C("to_x").alias("x"), C("to_y").alias("y"), *out)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rastermill.functions import pixels as px
-from rastermill.operators import colours, dither, lists, palettes, quantize, resample, search, stencils
+from rastermill.operators import colours, dither, lists, palettes, resample, search, stencils
 from rastermill.sources import files
 from rastermill.sources.rasters import EVENTS_SQL, events_raster
 from rastermill.sources.scratch import written
@@ -584,6 +584,25 @@ def geo11_dispatch(spark, sf_dir):
     return out
 
 
+def _shared_sql(images: int, most: int) -> str:
+    """Sets of `images`; an image in four is dark and of few colours, so that first images lie on both sides of the cap."""
+    dark = {c: f"CASE WHEN image_id % {4 * images} = 0 AND a > 0 THEN {c} // 32 ELSE {c} END" for c in "rgb"}
+    counts = ", ".join(f"count(DISTINCT CASE WHEN a = 0 THEN 0 ELSE {_posterized(b, 'r')}::BIGINT + {_posterized(b, 'g')} * 256 + {_posterized(b, 'b')} * 65536 + {_posterized(b, 'a')}::BIGINT * 16777216 END) AS n{b}" for b in range(5))
+    ladder = " ".join(f"WHEN n{b} <= {most} THEN {b}" for b in range(5))
+    keys = lambda c: "CASE WHEN a = 0 THEN 0 " + " ".join(f"WHEN bits = {b} THEN {_posterized(b, c)}" for b in range(5)) + " END"
+    return f"""+d AS (SELECT image_id // {images} AS set_id, image_id % {images} AS place, {", ".join(f"{e} AS {c}" for c, e in dark.items())}, a FROM px),
+  f AS (SELECT set_id, {counts} FROM d WHERE place = 0 GROUP BY set_id), b AS (SELECT set_id, CASE {ladder} ELSE 4 END AS bits FROM f),
+  k AS (SELECT set_id, bits, {", ".join(f"{keys(c)} AS {c}" for c in "rgba")}, CASE WHEN a = 0 THEN 2000 ELSE 255 END AS w FROM d JOIN b USING (set_id))
+  SELECT set_id, bits, r, g, b, a, sum(w)::BIGINT AS weight FROM k GROUP BY ALL"""
+
+
+@query(_shared_sql(3, 120))
+def hist4_capped_by_the_first(spark, sf_dir):
+    dark = (C("image_id") % 12 == 0) & (C("a") > 0)
+    p = events_raster(spark, sf_dir).withColumns({c: F.when(dark, F.expr(f"{c} div 32").cast("int")).otherwise(C(c)) for c in "rgb"})
+    return colours.shared_histogram(p.withColumns({"set_id": F.expr("image_id div 3"), "place": C("image_id") % 3}), 120)
+
+
 def _flattened(spark, sf_dir):
     return events_raster(spark, sf_dir).withColumns({c: px.flatten(C(c), C("a")) for c in "rgb"} | {"a": F.lit(255)})
 
@@ -694,7 +713,8 @@ def win9_qnt9_serpentine_dither(spark, sf_dir):
 
 @query()
 def win10_raster_dither(spark, sf_dir):
-    return quantize.dithered(*_palettes(spark, sf_dir), serpentine=False, level=1.0)
+    """Resampled values, rounded with what is lost carried on."""
+    return resample.avir_resize(events_raster(spark, sf_dir), 11, 24, dither=True)
 
 
 def _dither_map_sql() -> str:
@@ -854,7 +874,7 @@ def qnt12_importance_map(spark, sf_dir):
 @query(f"+{TOP}, s AS (SELECT image_id, idx AS slot, idx % 5 = 0 AS locked, (row_number() OVER (PARTITION BY image_id, idx % 5 = 0 ORDER BY idx) - 1)::INT AS k FROM top) SELECT s.image_id, slot, r, g, b FROM s LEFT JOIN top t ON t.image_id = s.image_id AND t.idx = CASE WHEN locked THEN 12 + k ELSE k END")
 def qnt14_refill_tray(spark, sf_dir):
     top = _tops(spark, sf_dir)[1]
-    return quantize.refill(top.select("image_id", C("idx").alias("slot"), (C("idx") % 5 == 0).alias("locked")), top.select("image_id", "idx", *"rgb"), 4)
+    return palettes.refill(top.select("image_id", C("idx").alias("slot"), (C("idx") % 5 == 0).alias("locked")), top.select("image_id", "idx", *"rgb"), 4)
 
 
 @query(f"+{TOP} SELECT t.image_id, t.idx, " + ", ".join(f"CASE WHEN t.idx IN (2, 5) THEN coalesce(o.{c}, t.{c}) ELSE t.{c} END AS {c}" for c in "rgb") + " FROM top t LEFT JOIN top o ON o.image_id = t.image_id + 1 AND o.idx = t.idx")

@@ -187,3 +187,33 @@ def test_plain_remap_moves_the_palette_afterwards(spark):
             assert close([r[c] for c in colours.FLOATS], [before[r["idx"]][c] for c in colours.FLOATS])
         else:
             assert r["popularity"] == used[r["idx"]]
+
+
+def plainly_rounded(rows):
+    """Row by row: rows of [channels]."""
+    h, w = len(rows), len(rows[0])
+    rows, out = [[list(v) for v in r] for r in rows], [[None] * w for _ in range(h)]
+    for y in range(h):
+        for x in range(w):
+            out[y][x] = []
+            for c in range(4):
+                v = rows[y][x][c]
+                whole = -int(0.5 - v) if v < 0 else int(v + 0.5)
+                out[y][x].append(min(255, max(0, whole)))
+                for dx, dy, share in ((1, 0, 0.364842), (-1, 1, 0.207305), (0, 1, 0.364842), (1, 1, 0.063011)):
+                    if 0 <= x + dx < w and y + dy < h:
+                        rows[y + dy][x + dx][c] += (v - whole) * share
+    return out
+
+
+@pytest.mark.parametrize("band_rows", [4, 1024])
+def test_rounding_with_diffusion_is_the_plain_one(spark, band_rows):
+    r, images, rows = random.Random(6), {1: (7, 9), 2: (1, 5), 3: (12, 1), 4: (2, 13)}, []
+    for i, (w, h) in images.items():
+        rows += [(i, x, y, *[r.uniform(-6, 262) for _ in range(4)]) for y in range(h) for x in range(w)]
+    df = spark.createDataFrame(rows, "image_id long, x int, y int, r double, g double, b double, a double")
+    found = {tuple(r)[:3]: list(r)[3:] for r in dither.rounded_with_diffusion(df, band_rows).collect()}
+    for i, (w, h) in images.items():
+        own = {(x, y): v for j, x, y, *v in rows if j == i}
+        out = plainly_rounded([[own[x, y] for x in range(w)] for y in range(h)])
+        assert all(found[i, x, y] == out[y][x] for x in range(w) for y in range(h))

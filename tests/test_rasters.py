@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rastermill import queries
 from rastermill.functions import pixels as px
-from rastermill.operators import colours, dither, quantize, stencils
+from rastermill.operators import colours, dither, palettes, stencils
 from rastermill.sources import files
 
 
@@ -80,26 +80,18 @@ def test_bilinear_of_equal_size_blurs():
     assert len({s for t, s, _ in stencils.weights("bilinear", 9, 9) if t == 4}) == 3
 
 
-def test_diffusion_shares_and_exact_images():
-    assert abs(sum(quantize.SERPENTINE) - 1) < 1e-9 and abs(sum(quantize.RASTER) - 1) < 1e-5
-    palette = np.array([[0, 0, 0], [255, 255, 255.0]])
-    image = palette[np.random.default_rng(1).integers(0, 2, (6, 7))]
-    assert (palette[quantize.diffuse(image, palette, quantize.SERPENTINE, True)] == image).all()
-    grey = quantize.diffuse(np.full((40, 40, 3), 127.5), palette, quantize.RASTER, False)
-    assert 0.4 < grey.mean() < 0.6
-
-
 def test_remap_stays_in_the_palette(spark, sf):
-    p, palettes = queries._palettes(spark, sf)
-    known = {(r["image_id"], r["idx"]) for r in palettes.collect()}
-    out = quantize.dithered(p, palettes).collect()
-    assert len(out) == p.count() and {(r["image_id"], r["idx"]) for r in out} <= known
+    p, found = queries._searched(spark, sf)
+    out, shown = dither.dithered_remap(p, found, 0.75, 4)
+    known = {(r["image_id"], r["idx"]) for r in shown.collect()}
+    rows = out.collect()
+    assert len(rows) == p.count() and {(r["image_id"], r["idx"]) for r in rows} <= known
 
 
 def test_refill(spark):
     tray = spark.createDataFrame([(1, i, i in (2, 5)) for i in range(16)], "image_id long, slot int, locked boolean")
     palette = spark.createDataFrame([(1, i, i, i, i) for i in range(16)], "image_id long, idx int, r int, g int, b int")
-    got = [r["r"] for r in quantize.refill(tray, palette, 2).orderBy("slot").collect()]
+    got = [r["r"] for r in palettes.refill(tray, palette, 2).orderBy("slot").collect()]
     assert got == [0, 1, 14, 2, 3, 15, *range(4, 14)]
 
 
