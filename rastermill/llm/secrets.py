@@ -1,17 +1,21 @@
 r"""Secret scans by a randomness test battery, in DataFrame and SQL functions only.
 
 Base kinds have fixed patterns and always stay. Further candidates are long tokens over base-64 letters that hold digits and letters. For
-each its encoding is inferred (hexadecimal, base 32, base 64), and three tests run on its letters' numbers: chi-squared for
-uniform use of the alphabet, the number of runs about the middle, and serial correlation; their sum grows as a token is
-less like noise. Tokens of letters only, which are words, give its mean and spread among ordinary text by length class;
-a candidate's p-value is the chance of a word being as random. Each length class has its own cut
-(Benjamini-Hochberg at `rate`, from the counts of p-values), so long tokens are not judged with short ones.
+each its encoding is inferred (the smallest of hexadecimal, base 32, 36, 62 and 64 whose letters hold it), and three tests of its letters' numbers
+give p-values under uniform letters of that encoding and the token's length: chi-squared for uniform use of the alphabet (one-sided, with the small-sample
+variance), the number of changes across the alphabet's middle, and serial correlation (both two-sided, by their normal limits). They are combined as
+-(2 ln p1 + ln p2 + ln p3), whose law under independence is known; a token is less like noise the smaller its combined p is.
 
-Only sums and counts by length class reach the driver; there is no shuffle of texts. Texts are scanned once, in time linear in
-their length: base spans and tokens' statistics are written, and the cuts and the decision read them.
+A token whose p is at least its length class's cut is reported. The cut is the least p, from KEEP on, at which the false share of what is reported is at most
+`rate`: true random tokens above a cut are estimated from the p-values beyond a half, where those of words and identifiers hardly lie (Storey's estimate with
+its finite-sample correction), what is reported beyond them and two standard deviations of chance counts as false. So long tokens are not judged with short ones, KEEP is the share of random tokens
+that is given up at least (less of long ones, which differ more from words), and a lone token is judged by the same rule as one among millions.
 
-Defined cases: a null text is empty and has no spans; repeated rows are judged each; null ids are carried; an empty table,
-or one without words as long as the candidates, adds nothing to the base spans. Places count code points, ends are exclusive.
+Only counts by length class and step of p reach the driver; there is no shuffle of texts. Texts are scanned once, in time linear in
+their length: base spans and tokens' p-values are written, and the cuts and the decision read them.
+
+Defined cases: a null text is empty and has no spans; repeated rows are judged each; null ids are carried; an empty table
+has no cuts and no rows. Places count code points, ends are exclusive.
 """
 
 from __future__ import annotations
@@ -36,102 +40,90 @@ VALUE = r"^(?i:password|passwd|secret|token|api_?key)[\x22\x27]?[ ]*[:=][ ]*[\x2
 #: A part of every token, and so of every match of `hex`.
 RUN = r"[A-Za-z0-9+/_=-]{20}"
 TOKEN = r"(?:\G|(?<![A-Za-z0-9+/_=-]))[A-Za-z0-9+/_=-]{20,}+"
-# The alphabets, in their own order.
-HEX, BASE32 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-#: Upper ends of the length classes, and edges of the counts of -ln p.
+# The alphabets, in their own order, by size.
+DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+ALPHABETS = {16: DIGITS + "abcdef", 32: UPPER + "234567", 36: LOWER + DIGITS, 62: UPPER + LOWER + DIGITS, 64: UPPER + LOWER + DIGITS + "+/"}
+#: Upper ends of the length classes.
 LENGTHS = (24, 32, 48, 64, 128)
-STEPS = 120
+#: Steps of p from 0 to 1, where p-values count as those of random tokens, and the least cut of each length class, in steps.
+STEPS, RANDOM_FROM, KEEP = 200, 100, (10, 6, 2, 1, 1, 1)
+
+
+def _tail(z: str) -> str:
+    """SQL: -ln of the normal chance of more than z."""
+    return f"ln(1 + exp(least(700D, greatest(-700D, 1.5976D * ({z}) + 0.07056D * ({z}) * ({z}) * ({z})))))"
 
 
-def _statistic(v: str, k: str) -> str:
-    """SQL: the sum of the tests of v (numbers of letters from 0), k being the size of the alphabet."""
+def _p(v: str, k: str) -> str:
+    """SQL: the combined p-value of v (numbers of letters from 0), k being the size of the alphabet."""
     counts = "transform(array_distinct(q.v), y -> size(filter(q.v, z -> z = y)))"  # at most 64 letters
-    chi = f"(aggregate({counts}, 0D, (a, y) -> a + CAST(y AS DOUBLE) * y) * q.k / q.n - q.n - (q.k - 1)) / sqrt(2D * (q.k - 1) * (q.n - 1) / q.n)"
-    runs = "size(filter(sequence(2, q.n), i -> (2 * get(q.v, i - 1) >= q.k) <> (2 * get(q.v, i - 2) >= q.k))) + 1"
-    expected = "(2D * q.high * (q.n - q.high) / q.n + 1)"
-    spread = f"greatest(0.25D, ({expected} - 1) * ({expected} - 2) / (q.n - 1))"
-    run = f"abs(({runs} - {expected}) / sqrt({spread}))"
-    together = "aggregate(sequence(2, q.n), 0D, (a, i) -> a + (get(q.v, i - 1) - q.mean) * (get(q.v, i - 2) - q.mean))"
-    own = "aggregate(q.v, 0D, (a, y) -> a + (y - q.mean) * (y - q.mean))"
-    correlation = f"{together} / greatest(1e-9D, {own})"
-    facts = "named_struct('v', v, 'k', k, 'n', size(v), 'high', size(filter(v, y -> 2 * y >= k)), 'mean', aggregate(v, 0D, (a, y) -> a + y) / size(v))"
-    body = bound(facts, "q", f"{chi} + {run} + abs({correlation} * sqrt(q.n))")
-    return bound(v, "v", bound(k, "k", body))
-
-
-def _tested(tokens: str) -> str:
-    """SQL: (s, e, stat, word, l) of each token; word: letters only."""
+    squares = f"(aggregate({counts}, 0D, (a, y) -> a + CAST(y AS DOUBLE) * y) * q.k / q.n - q.n)"
+    scale = "(2D * (q.n - 1) / (9 * (q.k - 1) * q.n))"  # Wilson and Hilferty, for the small sample's variance
+    chi = f"(cbrt(greatest(0D, {squares} / (q.k - 1))) - 1 + {scale}) / sqrt({scale})"
+    changes = "size(filter(sequence(2, q.n), i -> (2 * get(q.v, i - 1) >= q.k) <> (2 * get(q.v, i - 2) >= q.k)))"
+    runs = f"abs(({changes} - (q.n - 1) / 2D) / sqrt((q.n - 1) / 4D))"
+    mean = "(q.k - 1) / 2D"
+    together = f"aggregate(sequence(2, q.n), 0D, (a, i) -> a + (get(q.v, i - 1) - {mean}) * (get(q.v, i - 2) - {mean}))"
+    correlation = f"abs({together} / ((q.k * q.k - 1) / 12D * sqrt(q.n - 1)))"
+    z = f"named_struct('c', {chi}, 'r', {runs}, 's', {correlation})"
+    y = f"greatest(0D, 2 * {_tail('z.c')} + {_tail('z.r')} + {_tail('z.s')} - 2 * ln(2D))"
+    combined = bound(z, "z", bound(y, "y", "least(1D, greatest(0D, 4 * exp(-y / 2) - (y + 3) * exp(-y)))"))
+    return bound(v, "v", bound(k, "k", bound("named_struct('v', v, 'k', k, 'n', size(v))", "q", combined)))
+
+
+def _shaped(tokens: str) -> str:
+    """SQL: (s, e, l, mixed, k, v) of each token: length class, whether it has digits and letters, size of its alphabet and numbers of its letters."""
     body = "rtrim('=', x.m)"
-    kind = f"CASE WHEN {body} RLIKE '^[0-9a-fA-F]+$' THEN 16 WHEN {body} RLIKE '^[A-Z2-7]+$' THEN 32 ELSE 64 END"
-    letters = f"CASE k WHEN 16 THEN '{HEX}' WHEN 32 THEN '{BASE32}' ELSE '{BASE64}' END"
-    shaped = f"CASE k WHEN 16 THEN lower({body}) WHEN 32 THEN {body} ELSE translate({body}, '-_', '+/') END"
+    kinds = {16: "[0-9a-fA-F]", 32: "[A-Z2-7]", 36: "[a-z0-9]", -36: "[A-Z0-9]", 62: "[A-Za-z0-9]"}  # minus: in capitals
+    kind = "CASE " + " ".join(f"WHEN {body} RLIKE '^{c}+$' THEN {k}" for k, c in kinds.items()) + " ELSE 64 END"
+    letters = "CASE abs(k) " + " ".join(f"WHEN {k} THEN '{a}'" for k, a in ALPHABETS.items()) + " END"
+    cased = f"CASE WHEN k IN (16, -36) THEN lower({body}) WHEN k = 64 THEN translate({body}, '-_', '+/') ELSE {body} END"
     length = "CASE " + " ".join(f"WHEN x.e - x.s <= {n} THEN {i}" for i, n in enumerate(LENGTHS)) + f" ELSE {len(LENGTHS)} END"
-    values = bound(letters, "letters", f"transform(filter(split({shaped}, ''), y -> y <> ''), y -> instr(letters, y) - 1)")
-    found = f"""named_struct('s', x.s, 'e', x.e, 'word', x.m RLIKE '^[A-Za-z]+$', 'mixed', x.m RLIKE '[0-9]' AND x.m RLIKE '[A-Za-z]', 'l', {length}, 'k', k, 'v', {values})"""
+    values = bound(letters, "letters", f"transform(filter(split({cased}, ''), y -> y <> ''), y -> instr(letters, y) - 1)")
+    found = f"named_struct('s', x.s, 'e', x.e, 'l', {length}, 'mixed', x.m RLIKE '[0-9]' AND x.m RLIKE '[A-Za-z]', 'k', abs(k), 'v', {values})"
     return f"transform({tokens}, x -> {bound(kind, 'k', found)})"
 
 
 def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, base (s, k, e ordered) and tokens (s, e, stat, word, mixed, l)."""
+    """id, base (s, k, e ordered) and tokens (s, e, l, p): candidates with their length class and combined p-value."""
     df = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     df = df.withColumn("runs", F.expr(f"t RLIKE {quoted(RUN)}"))
     df = df.select("id", *[matches("t", p, w).alias(f"p_{k}") for k, (p, w) in BASE.items()], matches("t", TOKEN, "runs").alias("tokens"))
     kept = F.expr(f"filter(p_assign, x -> char_length(regexp_extract(x.m, r'{VALUE}', 1)) >= 6)")
     df = df.withColumn("p_assign", kept)
     base = "concat(" + ", ".join(f"transform(p_{k}, x -> named_struct('s', x.s, 'k', {i}, 'e', x.e))" for i, k in enumerate(BASE)) + ")"
-    df = df.select("id", F.expr(f"array_sort({base})").alias("base"), F.expr(_tested("tokens")).alias("shaped"))
-    fine = "x -> size(x.v) >= 8 AND (x.word OR x.mixed)"
-    return df.select("id", "base", F.expr(f"transform(filter(shaped, {fine}), x -> named_struct('s', x.s, 'e', x.e, 'l', x.l, 'word', x.word, 'stat', {_statistic('x.v', 'x.k')}))").alias("tokens"))
-
-
-def _p(stat: str, mean: str, spread: str) -> str:
-    """SQL: -ln of the normal chance of a word being at most as far from noise."""
-    z = f"(({stat} - {mean}) / {spread})"
-    return f"ln(1 + exp(least(700D, greatest(-700D, -(1.5976D * {z} + 0.07056D * {z} * {z} * {z})))))"
+    df = df.select("id", F.expr(f"array_sort({base})").alias("base"), F.expr(_shaped("tokens")).alias("shaped"))
+    fine = "x -> size(x.v) >= 8 AND x.mixed"
+    return df.select("id", "base", F.expr(f"transform(filter(shaped, {fine}), x -> named_struct('s', x.s, 'e', x.e, 'l', x.l, 'p', {_p('x.v', 'x.k')}))").alias("tokens"))
 
 
-def cuts(tokens: DataFrame, rate: float) -> tuple[list[float], list[float], list[float]]:
-    """By length class: mean and spread of words' statistics, and the least -ln p that a secret must have."""
-    flat = tokens.select(F.explode("tokens").alias("x")).select("x.*")
-    words = {r["l"]: r for r in flat.where("word").groupBy("l").agg(F.count("*").alias("n"), F.avg("stat").alias("m"), F.stddev_pop("stat").alias("d")).collect()}
-    n = sum(r["n"] for r in words.values())
-    pooled = sum(r["n"] * r["m"] for r in words.values()) / n if n else 0.0
-    wide = math.sqrt(sum(r["n"] * (r["d"] ** 2 + (r["m"] - pooled) ** 2) for r in words.values()) / n) if n else 0.0
-    mean, spread = [], []
-    for i in range(len(LENGTHS) + 1):
-        own = words.get(i)
-        mean.append(own["m"] if own and own["n"] >= 30 else pooled)
-        spread.append(max(0.5, own["d"] if own and own["n"] >= 30 else wide))
-    if n < 30:
-        return mean, spread, [float("inf")] * (len(LENGTHS) + 1)
-    p = _p("stat", f"element_at({_array(mean)}, l + 1)", f"element_at({_array(spread)}, l + 1)")
-    counts = flat.where("NOT word").select("l", F.least(F.lit(STEPS), F.floor(F.expr(p) * 4)).alias("b")).groupBy("l", "b").count().collect()  # classes x steps
+def cuts(tokens: DataFrame, rate: float) -> list[float]:
+    """By length class: the least p that is reported."""
+    steps = tokens.select(F.explode("tokens").alias("x")).select("x.l", F.floor(F.col("x.p") * STEPS).cast("int").alias("b"))
+    counts = steps.groupBy("l", "b").count().collect()  # classes x steps
     least = []
     for i in range(len(LENGTHS) + 1):
-        have = {int(r["b"]): r["count"] for r in counts if r["l"] == i}
-        total, above, cut = sum(have.values()), 0, float("inf")
-        for b in range(STEPS, -1, -1):
-            above += have.get(b, 0)
-            if above and math.exp(-b / 4) <= rate * above / total:
-                cut = b / 4
-        least.append(cut)
-    return mean, spread, least
-
-
-def _array(xs: list[float]) -> str:
-    return "array(" + ", ".join("double('Infinity')" if math.isinf(x) else f"{x!r}D" for x in xs) + ")"
-
-
-def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.01) -> DataFrame:
+        have = [0] * (STEPS + 1)
+        for r in counts:
+            if r["l"] == i:
+                have[r["b"]] = r["count"]
+        random = (1 + sum(have[RANDOM_FROM:])) / (1 - RANDOM_FROM / STEPS)
+        for cut in range(KEEP[i], RANDOM_FROM + 1):
+            reported = sum(have[cut:])
+            if reported - random * (1 - cut / STEPS) - 2 * math.sqrt(reported) <= rate * reported:
+                break
+        least.append(cut / STEPS)
+    return least
+
+
+def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.05) -> DataFrame:
     """id, base and spans: arrays of (s, k, e) ordered by start, then kind; k is the place in KINDS.
 
-    spans holds the base spans and the tokens that pass their class's cut and touch no base span.
+    spans holds the base spans and the tokens that reach their class's cut and touch no base span.
     """
     found = saved(scanned(docs, id_col, text_col), "tokens")
-    mean, spread, least = cuts(found, rate)
-    p = _p("x.stat", f"element_at({_array(mean)}, x.l + 1)", f"element_at({_array(spread)}, x.l + 1)")
-    passed = f"transform(filter(tokens, x -> NOT x.word AND floor({p} * 4) / 4 >= element_at({_array(least)}, x.l + 1)), x -> named_struct('s', x.s, 'k', {len(BASE)}, 'e', x.e))"
+    least = "array(" + ", ".join(f"{x!r}D" for x in cuts(found, rate)) + ")"
+    passed = f"transform(filter(tokens, x -> x.p >= element_at({least}, x.l + 1)), x -> named_struct('s', x.s, 'k', {len(BASE)}, 'e', x.e))"
     both = found.select("id", "base", F.expr(passed).alias("more"))
     return both.select("id", "base", F.expr(f"array_sort(concat(base, {apart('more', 'base')}))").alias("spans"))
 

@@ -1,5 +1,6 @@
 import hashlib
 import json
+import math
 import random
 import time
 import zlib
@@ -350,7 +351,7 @@ def test_em_finds_the_better_labeler():
 
 def test_secrets_base_and_random_tokens(spark, tmp_path):
     r = random.Random(7)
-    letters = secrets.BASE64[:62]
+    letters = secrets.ALPHABETS[62]
     noise = ["".join(r.choice(letters) for _ in range(40)) for _ in range(20)]
     noise = [x if any(c.isdigit() for c in x) else x[:-1] + "7" for x in noise]
     common = ["".join(r.choice("aeiourstln") for _ in range(r.randint(21, 45))) for _ in range(300)]
@@ -366,6 +367,69 @@ def test_secrets_base_and_random_tokens(spark, tmp_path):
     assert not extra - set(range(first, first + 20))
 
 
+def tokens(r, kind, n, vocabulary):
+    """Random tokens without keywords, or identifiers of words and numbers, of n characters or somewhat more."""
+    if kind != "identifier":
+        while True:
+            x = "".join(r.choice(kind) for _ in range(n))
+            if any(c.isdigit() for c in x) and any(c.isalpha() for c in x) and not x.startswith("AKIA"):
+                return x
+    sep, camel, out = r.choice(["_", "-", ""]), r.random() < 0.3, ""
+    while len(out) < n or not any(c.isdigit() for c in out):
+        w = str(r.randrange(10 ** r.randrange(1, 6))) if r.random() < 0.15 else r.choice(vocabulary)
+        out += (sep if out else "") + (w.capitalize() if camel else w)
+    return out
+
+
+@pytest.mark.parametrize("rows", [1, 29, 10_000])
+def test_random_tokens_are_found_in_tables_of_any_size(spark, tmp_path, sf, rows):
+    """Whatever else is in the table, and with nothing else in it; identifiers are left alone."""
+    r = random.Random(rows)
+    prose = " ".join(x["text"] or "" for x in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect())
+    vocabulary = sorted({w.lower() for w in prose.split() if w.isalpha() and w.isascii() and 3 <= len(w) <= 12})
+    kinds = [secrets.ALPHABETS[k] for k in (32, 36, 62, 64)] + ["0123456789ABCDEF"]
+    made = [("identifier" if rows > 1 and i % 2 else r.choice(kinds)) for i in range(rows)]
+    lengths = [r.randint(26, 60) if rows > 1 else 48 for _ in made]
+    # a lone token of 48 characters whose share of noise is ordinary
+    texts = [f"see {tokens(r, k, n, vocabulary)} there" for k, n in zip(made, lengths, strict=True)]
+    found = secrets.secrets(table(spark, tmp_path, list(enumerate(texts)))).select("id", F.expr(f"size(filter(spans, x -> x.k = {len(secrets.BASE)})) AS n"), F.expr("size(base) AS b")).collect()
+    noise = [row["n"] for row in found if made[row["id"]] != "identifier" and not row["b"]]
+    others = [row["n"] for row in found if made[row["id"]] == "identifier"]
+    assert sum(noise) >= 0.9 * len(noise) > 0
+    assert sum(others) <= 0.01 * len(others)
+
+
+def test_p_values_of_tokens(spark):
+    """Against sums in Python; uniform tokens have uniform p-values, whatever their length and alphabet."""
+    r = random.Random(3)
+    rows = [(k, [r.randrange(k) for _ in range(n)]) for k in (16, 32, 36, 62, 64) for n in (20, 40, 100) for _ in range(150)]
+    rows += [(64, [5] * 40), (16, list(range(16)) * 3)]
+    got = [x["p"] for x in spark.createDataFrame(rows, "k int, v array<int>").repartition(1).select("k", "v", F.expr(secrets._p("v", "k")).alias("p")).collect()]
+    tail = lambda z: math.log1p(math.exp(1.5976 * z + 0.07056 * z**3)) if z < 15 else 1.5976 * z + 0.07056 * z**3
+    for (k, v), p in zip(rows, got, strict=True):
+        n, mean = len(v), (k - 1) / 2
+        scale = 2 * (n - 1) / (9 * (k - 1) * n)
+        chi = (((sum(v.count(x) ** 2 for x in set(v)) * k / n - n) / (k - 1)) ** (1 / 3) - 1 + scale) / math.sqrt(scale)
+        changes = sum((2 * a >= k) != (2 * b >= k) for a, b in zip(v, v[1:]))
+        runs = (changes - (n - 1) / 2) / math.sqrt((n - 1) / 4)
+        serial = sum((a - mean) * (b - mean) for a, b in zip(v, v[1:])) / ((k * k - 1) / 12 * math.sqrt(n - 1))
+        y = max(0.0, 2 * tail(chi) + tail(abs(runs)) + tail(abs(serial)) - 2 * math.log(2))
+        assert abs(p - (4 * math.exp(-y / 2) - (y + 3) * math.exp(-y))) < 1e-9
+    uniform = np.array(got[:-2])
+    assert 0.03 < (uniform < 0.05).mean() < 0.12 and 0.4 < (uniform < 0.5).mean() < 0.6
+    assert got[-2] < 1e-6 and got[-1] < 0.05
+
+
+def test_cuts_of_secrets(spark):
+    made = lambda ps: spark.createDataFrame([(1, [(0, p) for p in ps])], "id int, tokens array<struct<l:int,p:double>>")
+    assert secrets.cuts(made([]), 0.05) == [0.05, 0.03, 0.01, 0.005, 0.005, 0.005]
+    assert secrets.cuts(made([0.3]), 0.05)[0] == 0.05  # alone
+    many = [i / 1000 for i in range(1000)]
+    assert secrets.cuts(made(many), 0.05)[0] == 0.05  # noise only
+    assert secrets.cuts(made(many + [0.08] * 500), 0.05)[0] == 0.085  # a heap that is too dense to be noise
+    assert secrets.cuts(made(many + [0.001] * 50_000), 0.05)[0] == 0.05
+
+
 def test_toxicity_on_held_out_rows(spark, sf):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     big = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
