@@ -246,7 +246,7 @@ def ordered(palette: Palette, last_index_transparent: bool) -> np.ndarray:
 
 # --- the states as rows
 
-_STATE = "image_id long, f binary, p binary, w binary, best binary, popularity binary, error double, cut_error double, overshoot double, most int, trials int"
+_STATE = "image_id long, own binary, f binary, p binary, w binary, best binary, popularity binary, error double, cut_error double, overshoot double, most int, trials int"
 _RESULT = "image_id long, idx int, fa double, fr double, fg double, fb double, popularity double, fixed boolean, cut_error double, search_error double, error double"
 
 
@@ -254,30 +254,41 @@ def _numbers(content: bytes | None) -> np.ndarray:
     return np.frombuffer(content or b"", np.float64)
 
 
+_STATE_TYPES = {
+    "image_id": pa.int64(), **dict.fromkeys(("own", "f", "p", "w", "best", "popularity"), pa.binary()), **dict.fromkeys(("error", "cut_error", "overshoot"), pa.float64()), "most": pa.int32(), "trials": pa.int32(),
+}
+
+
+def _table(columns: dict) -> pa.Table:
+    return pa.table({n: pa.array(columns[n], t) for n, t in _STATE_TYPES.items()})
+
+
 class _Task:
     """What the tasks need of the options."""
 
-    def __init__(self, options: Options, fixed: tuple[tuple[int, int, int], ...], target: float) -> None:
+    def __init__(self, options: Options, target: float) -> None:
         self.options, self.target = options, target
-        self.own = np.array([colours.float_colour(*c) for c in fixed]).reshape(-1, 4)
 
-    def start(self, hist: pa.Table) -> pa.Table:
-        """A histogram's colours as one row."""
+    def start(self, hist: pa.Table, fixed: pa.Table) -> pa.Table:
+        """A histogram's colours and the image's fixed ones as one row."""
+        if not hist.num_rows:
+            return _table({n: [] for n in _STATE_TYPES})
+        own = np.stack([fixed.sort_by("place").column(c).to_numpy() for c in colours.FLOATS], axis=1) if fixed.num_rows else np.empty((0, 4))
         hist = hist.sort_by([(c, "ascending") for c in "abgr"])
         f = np.stack([hist.column(c).to_numpy() for c in colours.FLOATS], axis=1)
         p = hist.column("perceptual").to_numpy().astype(np.float64)
-        few = len(f) + len(self.own) <= self.options.colours and self.options.target_mse == 0
-        searches = not few and len(self.own) < self.options.colours and self.options.trials > 0
+        few = len(f) + len(own) <= self.options.colours and self.options.target_mse == 0
+        searches = not few and len(own) < self.options.colours and self.options.trials > 0
         row = {
-            "image_id": [hist.column("image_id")[0].as_py()], "f": [f.tobytes()], "p": [p.tobytes()], "w": [p.tobytes()], "best": [None], "popularity": [None], "error": [0.0 if few else ANY_ERROR],
+            "image_id": [hist.column("image_id")[0].as_py()], "own": [own.tobytes()], "f": [f.tobytes()], "p": [p.tobytes()], "w": [p.tobytes()], "best": [None], "popularity": [None], "error": [0.0 if few else ANY_ERROR],
             "cut_error": [None], "overshoot": [1.05], "most": [self.options.colours], "trials": [lessened(self.options.trials, len(f)) if searches else 0],
         }
-        types = [pa.int64(), *[pa.binary()] * 5, *[pa.float64()] * 3, pa.int32(), pa.int32()]
-        return pa.table({n: pa.array(x, t) for (n, x), t in zip(row.items(), types, strict=True)})
+        return _table(row)
 
     def state(self, r: dict) -> Search:
-        best = Palette(_numbers(r["best"]).reshape(-1, 4), _numbers(r["popularity"]), len(self.own)) if r["best"] is not None else None
-        return Search(_numbers(r["f"]).reshape(-1, 4), _numbers(r["p"]), _numbers(r["w"]), self.own, self.target, r["trials"], r["most"], r["overshoot"], best, r["error"], r["cut_error"])
+        own = _numbers(r["own"]).reshape(-1, 4)
+        best = Palette(_numbers(r["best"]).reshape(-1, 4), _numbers(r["popularity"]), len(own)) if r["best"] is not None else None
+        return Search(_numbers(r["f"]).reshape(-1, 4), _numbers(r["p"]), _numbers(r["w"]), own, self.target, r["trials"], r["most"], r["overshoot"], best, r["error"], r["cut_error"])
 
     def advance(self, trials: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,14 +313,14 @@ class _Task:
             for r in batch.to_pylist():
                 s = self.state(r)
                 palette, error = s.best, s.error
-                few = len(s.f) + len(self.own) <= o.colours
+                few = len(s.f) + len(s.own) <= o.colours
                 if few and o.target_mse == 0:  # QNT3
-                    palette, error = Palette(s.f, s.p).with_fixed(self.own, o.colours), 0.0
+                    palette, error = Palette(s.f, s.p).with_fixed(s.own, o.colours), 0.0
                 else:
-                    if palette is None and len(self.own) < o.colours:  # no trials: one plain cut
-                        boxes = median_cut(s.f, s.p, s.w, o.colours - len(self.own), s.target, max(45 / 65536, s.target, ANY_ERROR) * 1.2)
+                    if palette is None and len(s.own) < o.colours:  # no trials: one plain cut
+                        boxes = median_cut(s.f, s.p, s.w, o.colours - len(s.own), s.target, max(45 / 65536, s.target, ANY_ERROR) * 1.2)
                         palette = Palette(np.array([b.mean for b in boxes]), np.array([s.p[b.members].sum() for b in boxes]))
-                    palette = (palette or Palette(np.empty((0, 4)), np.empty(0))).with_fixed(self.own, o.colours) if s.best is None else palette
+                    palette = (palette or Palette(np.empty((0, 4)), np.empty(0))).with_fixed(s.own, o.colours) if s.best is None else palette
                     most = o.max_mse * (0.33 if few else 1.0)
                     rounds = lessened(o.iterations or int(s.best is None and most < ANY_ERROR), len(s.f))
                     palette, error = refined(palette, s.f, s.p, rounds, o.least_gain * (2 if len(s.f) > 100_000 else 1), most, error)
@@ -321,20 +332,29 @@ class _Task:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, schema.types, strict=True)], schema=schema)
 
 
-def palettes(hist: DataFrame, options: Options | None = None, fixed: tuple[tuple[int, int, int], ...] = (), trials_a_step: int = 12) -> DataFrame:
+def palettes(hist: DataFrame, options: Options | None = None, fixed: tuple[tuple[int, int, int], ...] | DataFrame = (), trials_a_step: int = 12) -> DataFrame:
     """A palette for each image: image_id, idx, fa, fr, fg, fb (PX11), popularity, fixed, cut_error and search_error (of the first
     trial and of the best one; null without trials), error (in the end). Errors are the histogram's mean PX13, before a step's move.
 
-    hist: image_id, r, g, b, a, perceptual (HIST2); colours that the fixed ones stand for (FLT5) go here. An image without other colours, or
-    one whose least quality (QNT11) is not reached, has no rows.
+    hist: image_id, r, g, b, a, perceptual (HIST2). fixed (QNT10): colours of every image, or a table of them by image (image_id, place, r, g, b; at most
+    256 each); colours that they stand for (FLT5) go here. An image without other colours, or one whose least quality (QNT11) is not reached, has no rows.
     """
     o = options or Options()
-    if fixed:
-        hist = colours.without_fixed(hist, list(fixed), o.target_mse)
-    target = min(o.max_mse, max(o.target_mse, (2**o.posterize / 1024) ** 2))
-    task = _Task(o, fixed, target)
+    if not isinstance(fixed, DataFrame):
+        places = F.explode(F.array(*[F.struct(F.lit(i).alias("place"), *[F.lit(v).alias(c) for c, v in zip("rgb", f, strict=True)]) for i, f in enumerate(fixed)])) if fixed else None
+        fixed = hist.select("image_id").distinct().select("image_id", places.alias("f")).select("image_id", "f.*") if fixed else None
     rows = colours.with_floats(hist.select("image_id", *"rgba", "perceptual"))
-    state, done = written(rows.groupBy("image_id").applyInArrow(lambda hist: task.start(hist), _STATE), "search"), []
+    if fixed is not None:
+        fixed = colours.with_floats(fixed.select("image_id", "place", *"rgb")).select("image_id", "place", *colours.FLOATS)
+        near = fixed.groupBy("image_id").agg(F.collect_list(F.struct(*colours.FLOATS)).alias("near"))
+        d = F.array_min(F.transform("near", lambda e: px.distance([C(f) for f in colours.FLOATS], [e[f] for f in colours.FLOATS])))
+        rows = rows.join(near, "image_id", "left").where(C("near").isNull() | (d >= max(o.target_mse / 2, 2 / 65536))).drop("near")
+    else:
+        fixed = hist.sparkSession.createDataFrame([], "image_id long, place int, fa double, fr double, fg double, fb double")
+    task = _Task(o, min(o.max_mse, max(o.target_mse, (2**o.posterize / 1024) ** 2)))
+    fixed = fixed.select(C("image_id").alias("of_image"), "place", *[C(f).alias(f) for f in colours.FLOATS])  # columns of their own, as both sides may stem from one table
+    start = rows.groupBy("image_id").cogroup(fixed.groupBy("of_image")).applyInArrow(lambda hist, own: task.start(hist, own), _STATE)
+    state, done = written(start, "search"), []
     while True:
         done.append(state.where("trials = 0"))
         left = state.where("trials > 0")

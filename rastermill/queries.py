@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rastermill.functions import pixels as px
-from rastermill.operators import colours, dither, lists, palettes, resample, search, stencils
+from rastermill.operators import colours, dither, documents, lists, palettes, resample, search, stencils
 from rastermill.sources import files
 from rastermill.sources.rasters import EVENTS_SQL, events_raster
 from rastermill.sources.scratch import written
@@ -603,20 +603,10 @@ def hist4_capped_by_the_first(spark, sf_dir):
     return colours.shared_histogram(p.withColumns({"set_id": F.expr("image_id div 3"), "place": C("image_id") % 3}), 120)
 
 
-def _flattened(spark, sf_dir):
-    return events_raster(spark, sf_dir).withColumns({c: px.flatten(C(c), C("a")) for c in "rgb"} | {"a": F.lit(255)})
-
-
-def _perceptual(pixels, bits=4):
-    """HIST1 and HIST2: the histogram that a search takes, pixels weighed by the noise map."""
-    noise = stencils.smooth_maps(stencils.contrast(pixels)).select("image_id", "x", "y", C("noise").alias("importance"))
-    return colours.normalised(colours.histogram(pixels.join(noise, ["image_id", "x", "y"]), bits), pixels.groupBy("image_id").agg(F.count("*").alias("n")))
-
-
 def _searched(spark, sf_dir):
     """Flattened pixels and the palettes that the search finds for them."""
-    p = _flattened(spark, sf_dir)
-    return p, written(search.palettes(_perceptual(p)), "palettes")
+    p = documents.flattened(events_raster(spark, sf_dir))
+    return p, written(search.palettes(documents.perceptual_histogram(p, search.Options())), "palettes")
 
 
 def _palettes(spark, sf_dir):
@@ -624,6 +614,24 @@ def _palettes(spark, sf_dir):
     return p, dither.rounded(found, 4)
 
 
+@query()
+def qnt1_qnt11_qnt16_document(spark, sf_dir):
+    """From the raster to indices, palette, tray and recount: an image in three without dithering, two slots locked in every second one."""
+    p = events_raster(spark, sf_dir)
+    images = p.select("image_id").distinct()
+    tray = documents.grey_tray(p).withColumn("locked", C("slot").isin(3, 7) & (C("image_id") % 2 == 0))
+    doc = documents.Document(p, tray)
+    before = doc.colours().withColumnRenamed("colours", "before")
+    options = images.select("image_id", F.lit(1).alias("speed"), F.lit(4).alias("posterize"), F.when(C("image_id") % 3 == 0, 0).otherwise(75).alias("dither"))
+    target = doc.quantize(options)
+    sums = target.indexed.groupBy("image_id").agg(F.sum(C("idx") * (C("x") + 16 * C("y") + 1)).alias("index_sum"))
+    entries = target.palette.groupBy("image_id").agg(F.count("*").alias("entries"), F.count_if("fixed").alias("locked"))
+    code = F.concat(*[F.lpad(F.hex(C(c)), 2, "0") for c in "rgb"])
+    shown = doc.tray.groupBy("image_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("slot", code.alias("c")))), lambda s: s["c"]), " ").alias("tray"))
+    after = doc.keep().withColumnRenamed("colours", "after")
+    return before.join(after, "image_id").join(entries, "image_id").join(sums, "image_id").join(shown, "image_id")
+
+
 @query()
 def qnt2_qnt6_quantize(spark, sf_dir):
     return _palettes(spark, sf_dir)[1].select("image_id", "idx", *"rgb", F.round("popularity", 3).alias("popularity"))

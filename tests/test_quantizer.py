@@ -5,7 +5,7 @@ import plain_quantizer as plain
 import pytest
 from pyspark.sql import functions as F
 
-from rastermill.operators import colours, dither, search
+from rastermill.operators import colours, dither, documents, search
 
 HIST = "image_id long, r int, g int, b int, a int, perceptual double"
 PIXELS = "image_id long, x int, y int, r int, g int, b int, a int"
@@ -217,3 +217,38 @@ def test_rounding_with_diffusion_is_the_plain_one(spark, band_rows):
         own = {(x, y): v for j, x, y, *v in rows if j == i}
         out = plainly_rounded([[own[x, y] for x in range(w)] for y in range(h)])
         assert all(found[i, x, y] == out[y][x] for x in range(w) for y in range(h))
+
+
+def test_document_from_raster_to_tray(spark):
+    rows, df = picture(spark, {1: (14, 12), 2: (10, 9), 3: (3, 3)}, 7, (255, 128))
+    tray = documents.grey_tray(df).withColumn("locked", F.col("slot").isin(2, 9) & (F.col("image_id") == 1))
+    doc = documents.Document(df, tray)
+    before = {r["image_id"]: r["colours"] for r in doc.colours().collect()}
+    options = spark.createDataFrame([(1, 1, 4, 80), (2, 3, 0, 0)], "image_id long, speed int, posterize int, dither int")
+    target = doc.quantize(options)
+    assert {r["image_id"] for r in target.indexed.select("image_id").distinct().collect()} == {1, 2}  # the third has no options
+    palette = {(r["image_id"], r["idx"]): r for r in target.palette.collect()}
+    assert sum(r["fixed"] for r in palette.values()) == 2 and all(i == 1 for (i, _), r in palette.items() if r["fixed"])
+    slots = {(r["image_id"], r["slot"]): (r["r"], r["g"], r["b"]) for r in doc.tray.collect()}
+    assert slots[1, 2] == (34, 34, 34) and slots[1, 9] == (153, 153, 153)  # locked ones stay
+    free = [k for k in range(16) if k not in (2, 9)]
+    assert [slots[1, k] for k in free] == [tuple(palette[1, i][c] for c in "rgb") for i in range(14)]
+    assert slots[3, 5] == (85, 85, 85)
+    one = documents.quantized(df.where("image_id = 2"), search.Options(speed=3, posterize=0, dither=0.0))
+    assert sorted(tuple(r) for r in one.indexed.collect()) == sorted(tuple(r) for r in target.indexed.where("image_id = 2").collect())
+    after = {r["image_id"]: r["colours"] for r in doc.keep().collect()}
+    assert set(after) == {1, 2} and all(after[i] <= min(16, before[i]) for i in after)
+    again = doc.quantize(options.withColumn("posterize", F.lit(0)).withColumn("dither", F.lit(0)))  # few colours: the palette holds them all
+    kept = {tuple(r) for r in doc.source.where("image_id = 2").select("r", "g", "b").distinct().collect()}
+    assert kept == {tuple(r) for r in again.shown().where("image_id = 2").select("r", "g", "b").distinct().collect()}
+    doc.drop_palette(spark.createDataFrame([(1, 4, 1, 2, 3), (1, 5, 7, 8, 9)], "image_id long, idx int, r int, g int, b int"), [4])
+    dropped = {r["slot"]: (r["r"], r["g"], r["b"]) for r in doc.tray.where("image_id = 1").collect()}
+    assert dropped[4] == (1, 2, 3) and dropped[5] != (7, 8, 9) and len(dropped) == 16
+
+
+def test_fixed_colours_by_image(spark):
+    df = spark.createDataFrame(histogram(1, 60, 1) + histogram(2, 60, 2), HIST)
+    fixed = spark.createDataFrame([(2, 1, 9, 9, 9), (2, 0, 255, 0, 0)], "image_id long, place int, r int, g int, b int")
+    got = search.palettes(df, search.Options(colours=8), fixed).orderBy("image_id", "idx").collect()
+    assert [r["fixed"] for r in got] == [False] * 8 + [False] * 6 + [True] * 2
+    assert close([got[-2][c] for c in colours.FLOATS], plain.floats(255, 0, 0)) and close([got[-1][c] for c in colours.FLOATS], plain.floats(9, 9, 9))
