@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rastermill.functions import pixels as px
 from rastermill.operators import colours, dither, documents, lists, palettes, resample, search, stencils
-from rastermill.sources import files
+from rastermill.sources import files, images
 from rastermill.sources.rasters import EVENTS_SQL, events_raster
 from rastermill.sources.scratch import written
 
@@ -743,10 +743,53 @@ def win6_dither_map(spark, sf_dir):
     return dither.dither_map(colours.remapped(p, top).select("image_id", "x", "y", "idx"), stencils.contrast(p))
 
 
-@query()
+@query(f"+{TOP}, {NEAR}, rw AS (SELECT image_id, y, string_agg(substr('0123456789abcdef', idx + 1, 1), '' ORDER BY x) AS s FROM near GROUP BY image_id, y), "
+       "wide AS (SELECT image_id, y, s || repeat(right(s, 1), 304) AS s FROM rw), "
+       "body AS (SELECT image_id, string_agg(s, '' ORDER BY y) || repeat(arg_max(s, y), 184) AS s FROM wide GROUP BY image_id), "
+       "words AS (SELECT image_id, string_agg(substr('0123456789abcdef', g // 16 + 1, 1) || substr('0123456789abcdef', b // 16 + 1, 1) || '0' || substr('0123456789abcdef', r // 16 + 1, 1), '' ORDER BY idx) AS w FROM top GROUP BY image_id) "
+       "SELECT image_id, s || repeat('0', 512) || rpad(w, 64, '0') || repeat('0', 960) AS content FROM body JOIN words USING (image_id)")
 def snk1_c1_raster(spark, sf_dir):
-    p, palettes = _palettes(spark, sf_dir)
-    return files.c1_rasters(colours.remapped(p, palettes), palettes)
+    p, top = _tops(spark, sf_dir)
+    return files.c1_rasters(colours.remapped(p, top), top).select("image_id", F.lower(F.hex("content")).alias("content"))
+
+
+@query("SELECT image_id, (['png', 'bmp', 'tga', 'gif'])[image_id % 4 + 1] AS kind, x, y, r, g, b, CASE WHEN image_id % 4 = 3 THEN 255 ELSE a END AS a FROM px")
+def src1_src3_snk2_formats(spark, sf_dir):
+    """Rasters as files in memory, a format for each image in turn, sniffed and decoded again."""
+    p = events_raster(spark, sf_dir)
+    parts = []
+    for i, kind in enumerate(("png", "bmp", "tga", "gif")):
+        mine = p.where(C("image_id") % 4 == i)
+        mine = mine.withColumn("a", F.lit(255)) if kind == "gif" else mine
+        parts.append(images.encoded(mine, kind).select(F.concat_ws("/", "image_id", F.lit(kind)).alias("path"), "content"))
+    found, _ = images.decoded(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]))
+    at = F.split("path", "/")
+    return found.select(at[0].cast("long").alias("image_id"), at[1].alias("kind"), "x", "y", *"rgba")
+
+
+@query("WITH d AS (SELECT page_id, html FROM pages) SELECT CAST(page_id AS VARCHAR) AS path, 'no known image format' AS error FROM d")
+def src1_rejected(spark, sf_dir):
+    """What is no image is a rejected row, and the rest goes on."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(C("page_id").cast("string").alias("path"), F.encode("html", "UTF-8").alias("content"))
+    return images.decoded(pages)[1]
+
+
+@query("SELECT image_id, x, y, r, g, b, a FROM px UNION ALL SELECT image_id + 1000000, x, y, r, g, b, a FROM px")
+def src9_buffers(spark, sf_dir):
+    """Rasters as buffers, contiguous and by row pointers, and as pixels again."""
+    p = events_raster(spark, sf_dir)
+    cells = F.transform(F.sort_array(F.collect_list(F.struct("x", *"rgba"))), lambda s: F.concat(*[F.lpad(F.hex(s[c]), 2, "0") for c in "rgba"]))
+    rows = p.groupBy("image_id", "y").agg(F.unhex(F.array_join(cells, "")).alias("content"))
+    whole = rows.groupBy("image_id").agg(F.lit(16).alias("width"), F.count("*").cast("int").alias("height"), F.sort_array(F.collect_list(F.struct("y", "content"))).alias("rows"))
+    whole = whole.withColumn("content", F.unhex(F.array_join(F.transform("rows", lambda s: F.hex(s["content"])), "")))
+    return images.pixels_of_buffers(whole).unionByName(images.pixels_of_rows(rows.withColumn("image_id", C("image_id") + 1000000)))
+
+
+@query(f"+{TOP}, {NEAR} SELECT image_id, 16 AS width, 16 AS height, string_agg(printf('%02x', idx), '' ORDER BY y, x) AS content FROM near GROUP BY image_id")
+def snk6_index_buffers(spark, sf_dir):
+    p, top = _tops(spark, sf_dir)
+    found = images.index_buffers(colours.remapped(p, top).select("image_id", "x", "y", "idx"), 256)
+    return found.select("image_id", "width", "height", F.lower(F.hex("content")).alias("content"))
 
 
 PATHS = "WITH u AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS p FROM pages), w AS (SELECT page_id, p, regexp_extract(p, '([^/\\\\]*)$', 1) AS whole FROM u), e AS (SELECT *, regexp_extract(whole, '\\.([^.]*)$', 1) AS ext FROM w)"

@@ -1,9 +1,8 @@
-"""File formats: 48-byte palettes, C1 rasters, PNG; directory listings and paths. Files are read as rows by Spark's binaryFile."""
+"""48-byte palettes, C1 rasters, directory listings and paths. Files are read as rows by Spark's binaryFile."""
 
 from __future__ import annotations
 
 import struct
-import zlib
 
 import numpy as np
 import pandas as pd
@@ -63,77 +62,6 @@ def decode_c1(content: bytes) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     return idx, [((v >> 8 & 15) * 17, (v >> 4 & 15) * 17, (v & 15) * 17) for v in struct.unpack("<16H", content[32256:32288])]
 
 
-def encode_png(rgba: np.ndarray) -> bytes:
-    """SNK2: an 8-bit RGBA PNG."""
-    h, w, _ = rgba.shape
-    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
-    rows = b"".join(b"\0" + rgba[y].astype(np.uint8).tobytes() for y in range(h))
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
-
-
-def decode_png(content: bytes) -> np.ndarray:
-    """SRC1 for 8-bit RGB and RGBA PNG without interlacing (PX1: opaque where there is no alpha)."""
-    if content[:8] != b"\x89PNG\r\n\x1a\n":
-        raise ValueError("no PNG")
-    at, body, head = 8, b"", None
-    while at < len(content):
-        size, kind = struct.unpack(">I4s", content[at : at + 8])
-        data = content[at + 8 : at + 8 + size]
-        if kind == b"IHDR":
-            head = struct.unpack(">IIBBBBB", data)
-        elif kind == b"IDAT":
-            body += data
-        at += 12 + size
-    w, h, depth, colour, _, _, lace = head
-    if depth != 8 or colour not in (2, 6) or lace:
-        raise ValueError("only 8-bit RGB and RGBA without interlacing")
-    n = 3 if colour == 2 else 4
-    raw = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, 1 + w * n)
-    out = np.zeros((h, w * n), np.uint8)
-    for y in range(h):
-        up = out[y - 1].astype(int) if y else np.zeros(w * n, int)
-        line = raw[y, 1:].astype(int)
-        if raw[y, 0] in (0, 2):
-            out[y] = line + (up if raw[y, 0] else 0) & 255
-            continue
-        done = np.zeros(w * n + n, int)  # n zeros stand left of the row
-        corner = np.r_[np.zeros(n, int), up]
-        for i in range(w * n):
-            a, b, c = done[i], up[i], corner[i]
-            if raw[y, 0] == 1:
-                guess = a
-            elif raw[y, 0] == 3:
-                guess = (a + b) // 2
-            else:
-                p = a + b - c
-                guess = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
-            done[i + n] = line[i] + guess & 255
-        out[y] = done[n:]
-    rgba = np.full((h, w, 4), 255, np.uint8)
-    rgba[:, :, :n] = out.reshape(h, w, n)
-    return rgba
-
-
-def read_images(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """SRC1: pixels (path, x, y, r, g, b, a) of PNG files, and files that could not be read (path, error)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(path).select("path", "content")
-
-    def run(frames):
-        for frame in frames:
-            for p, content in zip(frame["path"], frame["content"], strict=True):
-                try:
-                    rgba = decode_png(content)
-                except Exception as e:  # a bad file is a rejected row
-                    yield pd.DataFrame({"path": [p], "x": [0], "y": [0], "r": [0], "g": [0], "b": [0], "a": [0], "error": [str(e) or type(e).__name__]})
-                    continue
-                h, w, _ = rgba.shape
-                flat = rgba.reshape(-1, 4).astype(int)
-                yield pd.DataFrame({"path": p, "x": np.tile(np.arange(w), h), "y": np.repeat(np.arange(h), w), **{c: flat[:, i] for i, c in enumerate("rgba")}, "error": None})
-
-    rows = files.mapInPandas(run, "path string, x int, y int, r int, g int, b int, a int, error string")
-    return rows.where("error is null").drop("error"), rows.where("error is not null").select("path", "error")
-
-
 def c1_rasters(indexed: DataFrame, palettes: DataFrame) -> DataFrame:
     """SNK1 as rows: image_id, content."""
 
@@ -144,4 +72,5 @@ def c1_rasters(indexed: DataFrame, palettes: DataFrame) -> DataFrame:
         idx[image["y"], image["x"]] = image["idx"]
         return pd.DataFrame({"image_id": [int(image["image_id"].iloc[0])], "content": [encode_c1(idx, palette.sort_values("idx")[["r", "g", "b"]].to_numpy())]})
 
-    return indexed.select("image_id", "x", "y", "idx").groupBy("image_id").cogroup(palettes.select("image_id", "idx", "r", "g", "b").groupBy("image_id")).applyInPandas(run, "image_id long, content binary")
+    own = palettes.select(F.col("image_id").alias("of_image"), *[F.col(c).alias(c) for c in ("idx", *"rgb")])  # columns of its own, as both may stem from one table
+    return indexed.select("image_id", "x", "y", "idx").groupBy("image_id").cogroup(own.groupBy("of_image")).applyInPandas(run, "image_id long, content binary")

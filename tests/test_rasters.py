@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from rastermill import queries
 from rastermill.functions import pixels as px
 from rastermill.operators import colours, dither, palettes, stencils
-from rastermill.sources import files
+from rastermill.sources import codecs, files, images
 
 
 @pytest.fixture(scope="module")
@@ -109,9 +109,9 @@ def test_c1_layout_and_round_trip():
 
 def test_png_and_rejected_files(spark, tmp_path):
     image = np.random.default_rng(3).integers(0, 256, (5, 4, 4)).astype(np.uint8)
-    (tmp_path / "a.png").write_bytes(files.encode_png(image))
+    (tmp_path / "a.png").write_bytes(codecs.encode_png(image))
     (tmp_path / "bad.png").write_bytes(b"nothing")
-    pixels, rejected = files.read_images(spark, str(tmp_path))
+    pixels, rejected = images.read_images(spark, str(tmp_path))
     got = {(r["x"], r["y"]): (r["r"], r["g"], r["b"], r["a"]) for r in pixels.collect()}
     assert got == {(x, y): tuple(image[y, x].tolist()) for y in range(5) for x in range(4)}
     assert [r["path"].rsplit("/", 1)[1] for r in rejected.collect()] == ["bad.png"]
