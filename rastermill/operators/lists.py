@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rastermill.sources.scratch import written
+
 
 def text_filter(line: Column, rule: str) -> Column:
     """FLT1: "inc,-exc": any included part (all if none is given) and no excluded one, in any case."""
@@ -60,6 +62,18 @@ def known_extension(ext: Column, allowed: str) -> Column:
     return (F.array_position(known, ext) - 1).cast("int")
 
 
+def placed(df: DataFrame, order: list[str], name: str = "place") -> DataFrame:
+    """df with each row's place (from 0) in the whole order, which no task sorts alone: ranges are sorted, counted, and shifted by what stands before them.
+
+    Rows that are equal in `order` get places in any order. The rows are written once, as another job might cut other ranges.
+    """
+    rows = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
+    rows = written(rows.withColumns({"part_": F.spark_partition_id(), "at_": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "ranges")
+    before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = rows.groupBy("part_").agg(F.count("*").alias("n_")).select("part_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("start_"))
+    return rows.join(F.broadcast(starts), "part_").withColumn(name, F.col("start_") + F.col("at_")).drop("part_", "at_", "start_")
+
+
 def selected_paths(files: DataFrame, folder: str, name: str, key: str) -> DataFrame:
-    """LK3: full paths of selected files with their places by name (ties: key). A selection is a person's, so one task orders it."""
-    return files.withColumn("path", F.concat_ws("/", folder, name)).withColumn("place", F.row_number().over(Window.orderBy(name, key)) - 1)
+    """LK3: full paths of selected files with their places by name (ties: key)."""
+    return placed(files.withColumn("path", F.concat_ws("/", folder, name)), [name, key])

@@ -1,4 +1,4 @@
-"""Neighbourhood operators and resampling. Windows run per image row or column, so a partition is one image at most."""
+"""Neighbourhood operators and resampling. Windows run per row or column of an image, so that one large image spreads over many tasks."""
 
 from __future__ import annotations
 
@@ -39,8 +39,8 @@ def erode(plane: DataFrame, v: str = "v") -> DataFrame:
 
 def box_blur(plane: DataFrame, s: int, v: str = "v") -> DataFrame:
     """WIN4: 2s samples from -(s-1) to s, edges repeated, whole division, rows then columns; images too small stay."""
-    ranks = Window.partitionBy("image_id")
-    sized = plane.withColumns({"w": F.max("x").over(ranks) + 1, "h": F.max("y").over(ranks) + 1}).withColumn("old", C(v))
+    sizes = plane.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+    sized = plane.join(sizes, "image_id").withColumn("old", C(v))
     for w, at, n in ((_row(), "x", "w"), (_column(), "y", "h")):
         whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         left, right = F.greatest(F.lit(s - 1) - C(at), F.lit(0)), F.greatest(C(at) + s - (C(n) - 1), F.lit(0))

@@ -886,7 +886,7 @@ def flt7_locked_colours(spark, sf_dir):
     return palettes.locked_colours(_tops(spark, sf_dir)[1].withColumn("locked", C("idx") % 3 == 0)).select("image_id", "idx", *"rgb")
 
 
-@query("WITH p AS (SELECT page_id, 'folder' AS folder, url AS name FROM pages WHERE page_id % 3 = 0) SELECT page_id, folder || '/' || name AS path, (row_number() OVER (ORDER BY name, page_id) - 1)::INT AS place FROM p")
+@query("WITH p AS (SELECT page_id, 'folder' AS folder, url AS name FROM pages WHERE page_id % 3 = 0) SELECT page_id, folder || '/' || name AS path, row_number() OVER (ORDER BY name, page_id) - 1 AS place FROM p")
 def lk3_selected_paths(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/pages.parquet").where("page_id % 3 = 0").withColumn("folder", F.lit("folder"))
     return lists.selected_paths(p, "folder", "url", "page_id").select("page_id", "path", "place")

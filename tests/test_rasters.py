@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rastermill import queries
 from rastermill.functions import pixels as px
-from rastermill.operators import colours, dither, palettes, stencils
+from rastermill.operators import colours, dither, lists, palettes, stencils
 from rastermill.sources import codecs, files, images
 
 
@@ -144,3 +144,22 @@ def test_dither_map_writes_where_a_run_ends(spark):
     indexed = spark.createDataFrame(rows, "image_id long, x int, y int, idx int")
     found = dither.dither_map(indexed, indexed.selectExpr("image_id", "x", "y", "0 AS edge")).orderBy("x").collect()
     assert [r["dither"] for r in found] == [42, 42, 42, 0]
+
+
+def test_places_of_a_whole_order(spark):
+    rows = [(i * 37 % 101, i % 7, f"n{i}") for i in range(101)]
+    df = spark.createDataFrame(rows, "a int, b int, name string").repartition(5)
+    got = {r["name"]: r["place"] for r in lists.placed(df, ["b", "a"]).collect()}
+    assert [n for n, _ in sorted(got.items(), key=lambda x: x[1])] == [r[2] for r in sorted(rows, key=lambda r: (r[1], r[0]))] and sorted(got.values()) == list(range(101))
+    assert lists.placed(df.limit(0), ["a"]).count() == 0
+
+
+def test_a_large_image_spreads_over_tasks(spark):
+    """Rows and columns of one image are windows of their own."""
+    plane = spark.range(64 * 64).selectExpr("1L AS image_id", "CAST(id % 64 AS INT) AS x", "CAST(id div 64 AS INT) AS y", "CAST(id * 37 % 256 AS INT) AS v")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for op in (stencils.dilate, lambda p: stencils.box_blur(p, 3)):
+            assert op(plane).select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
