@@ -92,13 +92,26 @@ def quality_limit(quality: int) -> float:
     return max(0.0, 0.016 / (0.001 + quality) - 0.001) + 2.5 / (210.0 + quality) ** 1.2 * (100.1 - quality) / 100.0
 
 
+# The approximations' coefficients. Power 2.4: of 1, x, x^2, x^3, x^4, and of c / (d + e x). Power 1/2.4: of 1, x, x^(1/2), x^(1/4), x^(3/8), x^(3/4).
+POWER_24 = (0.0985766365536824, -0.231757513261358, 0.839474952656502, 0.363287814061725, -0.0395365717969074)
+POWER_24_FRACTION = (-0.0125559718896615, 0.12758338921578, 0.290283465468235)
+ROOT_24 = {0: 0.000213364515060263, 1: 0.0149409239419218, 0.5: 0.433973412731747, 0.25: -0.0380957908841466, 0.375: 0.659628181609715, 0.75: -0.0706476137208521}
+
+
 def srgb_to_linear(v: Column) -> Column:
-    """PX16, by the published transfer curve."""
-    return F.when(v <= 0.04045, v / 12.92).otherwise(F.pow((v + 0.055) / 1.055, F.lit(2.4)))
+    """PX16: the transfer curve with its power approximated, for 0 to 1."""
+    x = (v + 0.055) / 1.055
+    top, base, slope = POWER_24_FRACTION
+    power = F.lit(top) / (F.lit(base) + F.lit(slope) * x)
+    for c in reversed(range(len(POWER_24))):
+        power = power + F.lit(POWER_24[c]) * (F.pow(x, F.lit(float(c))) if c else F.lit(1.0))
+    return F.when(v <= 0.04045, v / 12.92).otherwise(power)
 
 
 def linear_to_srgb(v: Column) -> Column:
-    return F.when(v <= 0.0031308, v * 12.92).otherwise(1.055 * F.pow(v, F.lit(1 / 2.4)) - 0.055)
+    """PX16, the other way."""
+    root = sum((F.lit(c) * F.pow(v, F.lit(float(e))) for e, c in ROOT_24.items()), F.lit(0.0))
+    return F.when(v <= 0.0031308, v * 12.92).otherwise(1.055 * root - 0.055)
 
 
 def round_half_up(v: Column, low: float, high: float) -> Column:

@@ -193,10 +193,19 @@ def widest_channel(hist: DataFrame) -> DataFrame:
     return rows.select("image_id", F.array_join(F.transform(ordered, lambda s: s["c"]), "").alias("channels"))
 
 
-def best_box(boxes: DataFrame) -> DataFrame:
-    """SRT4: the box to split next: greatest weight * variance, lowest box on ties (image_id, box, weight, variance)."""
-    score = F.struct((C("weight") * C("variance")).alias("s"), (-C("box")).alias("b"))
-    return boxes.groupBy("image_id").agg((-F.max(score)["b"]).alias("box"))
+def best_box(boxes: DataFrame, limit: float) -> DataFrame:
+    """SRT4: the box to split next: the greatest weight x largest variance of a channel, times its worst error over the limit if it exceeds it; lowest box on ties.
+
+    boxes: image_id, box, colours, weight, var_a, var_r, var_g, var_b, worst. Boxes of one colour are no candidates.
+    """
+    worth = C("weight") * F.greatest(*[C(f"var_{c}") for c in "argb"]) * F.greatest(F.lit(1.0), C("worst") / F.lit(limit))
+    rows = boxes.where("colours > 1").withColumn("s", worth).where("s > 0")
+    return rows.groupBy("image_id").agg((-F.max(F.struct("s", (-C("box")).alias("b")))["b"]).alias("box"))
+
+
+def without_zero_weights(hist: DataFrame) -> DataFrame:
+    """FLT6."""
+    return hist.where("weight > 0")
 
 
 def float_colour(r: int, g: int, b: int) -> tuple[float, float, float, float]:

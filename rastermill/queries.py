@@ -148,9 +148,16 @@ def px15_quality_to_mse(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", quality.alias("quality"), F.round(px.quality_to_mse(quality), 9).alias("mse"))
 
 
-@scalar("round(CASE WHEN r / 255.0 <= 0.04045 THEN r / 255.0 / 12.92 ELSE pow((r / 255.0 + 0.055) / 1.055, 2.4) END, 5)::DOUBLE AS v")
+def _curve_sql() -> str:
+    x = "((r / 255.0::DOUBLE + 0.055) / 1.055)"
+    to = " + ".join(f"{c!r}::DOUBLE * pow({x}, {i})" for i, c in enumerate(px.POWER_24)) + f" + {px.POWER_24_FRACTION[0]!r}::DOUBLE / ({px.POWER_24_FRACTION[1]!r}::DOUBLE + {px.POWER_24_FRACTION[2]!r}::DOUBLE * {x})"
+    back = " + ".join(f"{c!r}::DOUBLE * pow(g / 255.0::DOUBLE, {e!r}::DOUBLE)" for e, c in px.ROOT_24.items())
+    return f"round(CASE WHEN r / 255.0::DOUBLE <= 0.04045 THEN r / 255.0::DOUBLE / 12.92 ELSE {to} END, 6)::DOUBLE AS linear, round(CASE WHEN g / 255.0::DOUBLE <= 0.0031308 THEN g / 255.0::DOUBLE * 12.92 ELSE 1.055 * ({back}) - 0.055 END, 6)::DOUBLE AS srgb"
+
+
+@scalar(_curve_sql())
 def px16_srgb_to_linear():
-    return {"v": F.round(px.srgb_to_linear((C("r") / 255.0).cast("double")), 5)}
+    return {"linear": F.round(px.srgb_to_linear(C("r") / F.lit(255.0)), 6), "srgb": F.round(px.linear_to_srgb(C("g") / F.lit(255.0)), 6)}
 
 
 @scalar("least(greatest(CASE WHEN r * 1.5 - 90 < 0 THEN -floor(-(r * 1.5 - 90) + 0.5) ELSE floor(r * 1.5 - 90 + 0.5) END, -20), 255)::INT AS v")
@@ -350,10 +357,22 @@ def srt3_channel_order(spark, sf_dir):
     return colours.widest_channel(colours.histogram(events_raster(spark, sf_dir), 4))
 
 
-@query("+b AS (SELECT image_id, y AS box, sum(r)::BIGINT AS weight, (max(g) - min(g))::BIGINT AS variance FROM px GROUP BY ALL) SELECT image_id, first(box ORDER BY weight * variance DESC, box) AS box FROM b GROUP BY image_id")
+BOX_ROWS = ", ".join(f"(count(*) * sum({c} * {c}) - sum({c}) * sum({c}))::DOUBLE AS var_{c}" for c in "argb")
+
+
+@query(f"+b AS (SELECT image_id, y AS box, count(DISTINCT (r, g, b, a)) AS colours, sum(r)::BIGINT AS weight, {BOX_ROWS}, (max(g) - min(g))::DOUBLE AS worst FROM px WHERE y % 5 > 0 OR x = 3 GROUP BY ALL) SELECT image_id, first(box ORDER BY weight * greatest(var_a, var_r, var_g, var_b) * greatest(1, worst / 200) DESC, box) AS box FROM b WHERE colours > 1 GROUP BY image_id")
 def srt4_best_box(spark, sf_dir):
-    boxes = events_raster(spark, sf_dir).groupBy("image_id", C("y").alias("box")).agg(F.sum("r").alias("weight"), (F.max("g") - F.min("g")).alias("variance"))
-    return colours.best_box(boxes)
+    """Rows of pixels as boxes, some of one colour; errors on both sides of the limit."""
+    var = [(F.count("*") * F.sum(C(c) * C(c)) - F.sum(c) * F.sum(c)).cast("double").alias(f"var_{c}") for c in "argb"]
+    rows = events_raster(spark, sf_dir).where("y % 5 > 0 OR x = 3")
+    boxes = rows.groupBy("image_id", C("y").alias("box")).agg(F.count_distinct(F.struct(*"rgba")).alias("colours"), F.sum("r").alias("weight"), *var, (F.max("g") - F.min("g")).cast("double").alias("worst"))
+    return colours.best_box(boxes, 200.0)
+
+
+@query(f"+c AS (SELECT image_id, r // 64 AS r, g // 64 AS g, b // 64 AS b, 255 AS a, count(*) - 1 AS weight FROM px GROUP BY ALL) SELECT * FROM c WHERE weight > 0")
+def flt6_zero_weights(spark, sf_dir):
+    counts = events_raster(spark, sf_dir).groupBy("image_id", *[F.expr(f"{c} div 64").cast("int").alias(c) for c in "rgb"]).agg((F.count("*") - 1).alias("weight"))
+    return colours.without_zero_weights(counts.withColumn("a", F.lit(255)).select("image_id", *"rgba", "weight"))
 
 
 @query(f"+{FHIST}, fixed(fa, fr, fg, fb) AS (VALUES " + ", ".join("(" + ", ".join(f"{v!r}::DOUBLE" for v in colours.float_colour(*c)) + ")" for c in GREYS[:4]) + f") SELECT h.* EXCLUDE (fa, fr, fg, fb) FROM fhist h WHERE (SELECT min({_distance_sql('h.', 'k.')}) FROM fixed k) >= 0.01")
@@ -816,10 +835,40 @@ def flt1_text_filter(spark, sf_dir):
     return docs.where(lists.text_filter(C("t"), "the,der,-license")).select("doc_id")
 
 
-@query("WITH d AS (SELECT page_id, url FROM pages) SELECT page_id FROM d WHERE ends_with(url, '/') OR contains(url, '/en/')")
+LISTING = """WITH u AS (SELECT regexp_replace(url, '[?#].*$', '') AS p FROM pages), c AS (SELECT list_filter(string_split(p, '/'), lambda x: x <> '' AND x <> '.') AS p FROM u),
+  s AS (SELECT p, unnest(range(1, len(p) + 1)) AS n FROM c WHERE len(p) > 0),
+  e AS (SELECT DISTINCT array_to_string(p[1:n - 1], '/') AS folder, p[n] AS name, CASE WHEN n = len(p) THEN 'f' ELSE 'd' END AS type FROM s),
+  l AS (SELECT *, CASE WHEN type = 'f' AND contains(name, '.') THEN '.' || string_split(name, '.')[-1] ELSE '' END AS ext, (row_number() OVER (PARTITION BY folder ORDER BY type, name) - 1)::INT AS place FROM e)"""
+
+
+def _listing(spark, sf_dir):
+    return files.listing(spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.regexp_replace("url", "[?#].*$", "").alias("path")))
+
+
+@query(LISTING + " SELECT folder, name, type, ext, place FROM l")
+def src8_listing(spark, sf_dir):
+    return _listing(spark, sf_dir).select("folder", "name", "type", "ext", "place")
+
+
+@query(LISTING + " SELECT folder, name, (row_number() OVER (PARTITION BY folder ORDER BY lower(name) DESC, name) - 1)::INT AS place FROM l WHERE contains(name, '1')")
+def src6_src7_scan(spark, sf_dir):
+    """A scan with a filter and an order of its own."""
+    return files.scanned(_listing(spark, sf_dir), F.contains("name", F.lit("1")), [F.desc(F.lower("name")), C("name")]).select("folder", "name", "place")
+
+
+@query("WITH p AS (SELECT page_id, url AS name, CASE page_id % 4 WHEN 0 THEN url || '.PAL' WHEN 1 THEN url || '.pax' WHEN 2 THEN '.pal' ELSE url END AS path FROM pages) SELECT page_id, length(path) > 4 AS loaded, CASE WHEN length(path) > 4 THEN len(list_filter(range(1, 5), lambda i: lower(right(path, 4))[i] <> '.pal'[i])) ELSE 1 END::INT AS failures FROM p")
+def src5_palette_choices(spark, sf_dir):
+    k = C("page_id") % 4
+    path = F.when(k == 0, F.concat("url", F.lit(".PAL"))).when(k == 1, F.concat("url", F.lit(".pax"))).when(k == 2, ".pal").otherwise(C("url"))
+    found = files.palette_choices(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", C("url").alias("name"), path.alias("path")))
+    return found.select("page_id", "loaded", F.size("log").alias("failures"))
+
+
+@query(LISTING + " SELECT folder, name, type FROM l WHERE (type <> 'f' OR ext = '.html') AND contains(name, 'e')")
 def flt2_file_filter(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("ext", F.when(C("url").endswith("/") | C("url").contains("/en/"), ".pal").otherwise(".png"))
-    return pages.where(lists.file_filter(F.lit("f"), C("ext"), C("url"), ".pal")).select("page_id")
+    """Files of one extension and any folder, by a part of the name."""
+    rows = _listing(spark, sf_dir)
+    return rows.where(lists.file_filter(C("type"), C("ext"), C("name"), ".html", "e")).select("folder", "name", "type")
 
 
 @query("WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents) SELECT doc_id, unnest(range(0, len(l)))::INT AS line_no, unnest(l) AS line FROM d")
@@ -892,11 +941,12 @@ def lk3_selected_paths(spark, sf_dir):
     return lists.selected_paths(p, "folder", "url", "page_id").select("page_id", "path", "place")
 
 
-@query(f"+{_hist_sql(4)}, b AS (SELECT image_id, r // 64 AS box, sum(weight) AS weight, sum(weight * pow((g - 128) / 256.0::DOUBLE, 2)) AS error FROM hist GROUP BY ALL) SELECT image_id, sum(error) <= 0.09 * sum(weight) AS enough FROM b GROUP BY image_id")
+@query(_cut_sql(**CUT).partition(" SELECT image_id, box::INT AS box")[0] + f" SELECT image_id, sum(error) <= 0.036 * sum(w) AS enough FROM v{CUT['size']} GROUP BY image_id")
 def agg6_boxes_good_enough(spark, sf_dir):
-    h = colours.histogram(events_raster(spark, sf_dir), 4).withColumn("d", (C("g") - 128) / 256.0)
-    boxes = h.groupBy("image_id", F.expr("r div 64").alias("box")).agg(F.sum("weight").alias("weight"), F.sum(C("weight") * C("d") * C("d")).alias("error"))
-    return palettes.boxes_good_enough(boxes, 0.09)
+    """The boxes of a median cut."""
+    p = events_raster(spark, sf_dir)
+    hist = colours.normalised(colours.histogram(p, 4), p.groupBy("image_id").agg(F.count("*").alias("n")))
+    return palettes.boxes_good_enough(search.cut_boxes(hist, **CUT).withColumnRenamed("popularity", "weight"), 0.036)
 
 
 @query(f"""+{TOP}, {NEAR}, e AS (SELECT image_id, avg(d) / 8 AS mse FROM near GROUP BY image_id),

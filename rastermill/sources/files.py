@@ -6,7 +6,7 @@ import struct
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 C1_BYTES = 32768
@@ -25,10 +25,37 @@ def read_palettes(spark: SparkSession, path: str, strict: bool = True) -> DataFr
     return rows.select("path", "name", "idx", byte(0).alias("r"), byte(1).alias("g"), byte(2).alias("b"), F.lit(255).alias("a"))
 
 
-def listing(spark: SparkSession, path: str) -> DataFrame:
-    """SRC8: files with name and extension, from the last dot, ordered by lower-cased name when sorted by it."""
-    files = spark.read.format("binaryFile").load(path).select("path", "length")
-    return files.select("path", *parsed(F.col("path")), F.lit("f").alias("type"), "length")
+def listing(paths: DataFrame) -> DataFrame:
+    """SRC8: folder, name, type (d before f), ext (of files, from the last dot on, with it) and place of what each folder holds. paths: path, of files.
+
+    Folders on the way to a file are entries of those above them; "." and empty names are none. Places are by type, then name. A folder's entries
+    are sorted in one task.
+    """
+    parts = F.filter(F.split("path", "/"), lambda x: (x != "") & (x != "."))
+    steps = paths.select(parts.alias("p")).where("size(p) > 0").select("p", F.explode(F.sequence(F.lit(1), F.size("p"))).alias("n"))
+    name, last = F.element_at("p", F.col("n")), F.col("n") == F.size("p")
+    entries = steps.select(F.array_join(F.slice("p", F.lit(1), F.col("n") - 1), "/").alias("folder"), name.alias("name"), F.when(last, "f").otherwise("d").alias("type")).distinct()
+    ext = F.when((F.col("type") == "f") & F.contains("name", F.lit(".")), F.concat(F.lit("."), F.element_at(F.split("name", "[.]"), -1))).otherwise("")
+    return entries.withColumns({"ext": ext, "place": F.row_number().over(Window.partitionBy("folder").orderBy("type", "name")) - 1})
+
+
+def files_below(spark: SparkSession, path: str) -> DataFrame:
+    """path and length of the files below a folder, for `listing`."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+
+
+def scanned(entries: DataFrame, keep: Column | None = None, order: list[Column] | None = None) -> DataFrame:
+    """SRC6, SRC7: a folder's entries with an optional filter, and places by an optional order (by name in any case, then as it is)."""
+    rows = entries.where(keep) if keep is not None else entries
+    by = order or [F.lower("name"), F.col("name")]
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("folder").orderBy(*by)) - 1)
+
+
+def palette_choices(selection: DataFrame) -> DataFrame:
+    """SRC5: name, path, loaded and log of selected files: each of the last four characters that differs from ".pal" is a line, yet only paths no longer than that stay out."""
+    tail = F.lower(F.substring("path", F.char_length("path") - 3, F.lit(4)))
+    wrong = F.when(F.char_length("path") > 4, F.size(F.filter(F.sequence(F.lit(1), F.lit(4)), lambda i: F.substring(tail, i, F.lit(1)) != F.substring(F.lit(".pal"), i, F.lit(1))))).otherwise(1)
+    return selection.select("*", (F.char_length("path") > 4).alias("loaded"), F.array_repeat(F.concat(F.lit("FAILED "), F.col("name")), wrong).alias("log"))
 
 
 def parsed(path: Column) -> list[Column]:
