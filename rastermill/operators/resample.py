@@ -167,20 +167,20 @@ def weights(preset: str, size: int, wanted: int) -> tuple[tuple[int, int, float]
     return tuple((i, p, w) for i, row in enumerate(Chain(size, wanted, preset).rows()) for p, w in sorted(row.items()) if abs(w) > 1e-12)
 
 
-def avir_resize(pixels: DataFrame, width: int, height: int, preset: str = "default", dither: bool = False) -> DataFrame:
+def designed_resize(pixels: DataFrame, width: int, height: int, preset: str = "default", dither: bool = False) -> DataFrame:
     """GEO5: values are rounded half up and held in a byte at the end only; `dither` carries what rounding loses on (WIN10)."""
     values = stencils.resize(pixels, width, height, weights_of=lambda size, wanted: weights(preset, size, wanted), rounded=not dither)
     return rounded_with_diffusion(values) if dither else values
 
 
 def resized(pixels: DataFrame, width: int, height: int, method: str, dither: bool = False) -> DataFrame:
-    """GEO11: the scale dialog's choice: point, bilinear, lanczos or avir, the last with or without dithering."""
+    """GEO11: the scale dialog's choice: point, bilinear, lanczos or designed, the last with or without dithering."""
     if width < 1 or height < 1:
         raise ValueError("sizes are positive")
     if method == "point":
         return stencils.point_resize(pixels, width, height)
-    if method == "avir":
-        return avir_resize(pixels, width, height, dither=dither)
+    if method == "designed":
+        return designed_resize(pixels, width, height, dither=dither)
     return stencils.resize(pixels, width, height, method)
 
 

@@ -504,7 +504,7 @@ def _lanczos_sql(n: str, size: int, wanted: int) -> str:
   {n} AS MATERIALIZED (SELECT t, least(greatest(p, 0), {size - 1})::INT AS s, sum(w / whole) AS k FROM {n}_w JOIN (SELECT t, sum(w) AS whole FROM {n}_w GROUP BY t) USING (t) GROUP BY ALL)"""
 
 
-def _avir_sql(n: str, size: int, wanted: int, preset: str = "default") -> str:
+def _designed_sql(n: str, size: int, wanted: int, preset: str = "default") -> str:
     """Weights n(t, s, k) of the designed filters, from their formulas; for sizes that need no half-band filter."""
     p, phases = resample.PRESETS[preset], resample.PHASES
     k, offset = _placing_sql(size, wanted)
@@ -561,35 +561,35 @@ def geo4_lanczos_resize(spark, sf_dir):
     return stencils.resize(events_raster(spark, sf_dir), 7, 24, "lanczos")
 
 
-@query(_resize_sql(7, 24, _avir_sql))
-def geo5_geo6_avir_resize(spark, sf_dir):
+@query(_resize_sql(7, 24, _designed_sql))
+def geo5_geo6_designed_resize(spark, sf_dir):
     """Across reduced to less than a half, down enlarged: two of the three chains."""
-    return resample.avir_resize(events_raster(spark, sf_dir), 7, 24)
+    return resample.designed_resize(events_raster(spark, sf_dir), 7, 24)
 
 
 def _presets_sql() -> str:
     """All presets, one after the other, reduced to more than a half."""
     parts = []
     for name in resample.PRESETS:
-        sql = _resize_sql(11, 13, lambda n, size, wanted, name=name: _avir_sql(f"{n}_{name}", size, wanted, name), more=f", '{name}' AS preset").removeprefix("+")
+        sql = _resize_sql(11, 13, lambda n, size, wanted, name=name: _designed_sql(f"{n}_{name}", size, wanted, name), more=f", '{name}' AS preset").removeprefix("+")
         parts.append(f"SELECT * FROM (WITH {sql.replace('JOIN wx ', f'JOIN wx_{name} ').replace('JOIN wy ', f'JOIN wy_{name} ')})")
     return f"WITH {EVENTS_SQL} " + " UNION ALL ".join(parts)
 
 
 @query(_presets_sql())
-def geo7_geo8_avir_presets(spark, sf_dir):
+def geo7_geo8_presets(spark, sf_dir):
     p = events_raster(spark, sf_dir)
-    parts = [resample.avir_resize(p, 11, 13, name).withColumn("preset", F.lit(name)) for name in resample.PRESETS]
+    parts = [resample.designed_resize(p, 11, 13, name).withColumn("preset", F.lit(name)) for name in resample.PRESETS]
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)
     return out
 
 
-DISPATCH = {"point": (9, 9), "bilinear": (9, 9), "lanczos": (9, 9), "avir": (9, 9)}
+DISPATCH = {"point": (9, 9), "bilinear": (9, 9), "lanczos": (9, 9), "designed": (9, 9)}
 
 
-@query(f"+{_bilinear_sql('bl', 16, 9)}, {_lanczos_sql('lz', 16, 9)}, {_avir_sql('av', 16, 9)}, ws AS (SELECT 'bilinear' AS method, 0.0::DOUBLE AS half, * FROM bl UNION ALL SELECT 'lanczos', 0.5, * FROM lz UNION ALL SELECT 'avir', 0.5, * FROM av), "
+@query(f"+{_bilinear_sql('bl', 16, 9)}, {_lanczos_sql('lz', 16, 9)}, {_designed_sql('av', 16, 9)}, ws AS (SELECT 'bilinear' AS method, 0.0::DOUBLE AS half, * FROM bl UNION ALL SELECT 'lanczos', 0.5, * FROM lz UNION ALL SELECT 'designed', 0.5, * FROM av), "
        f"ax AS (SELECT method, image_id, y, t AS x, {', '.join(f'sum({c} * k) AS {c}' for c in 'rgba')} FROM px JOIN ws ON x = s GROUP BY ALL) "
        f"SELECT method, image_id, x::INT AS x, t::INT AS y, {', '.join(f'least(255, greatest(0, floor(round(sum({c} * k), 6) + half)))::INT AS {c}' for c in 'rgba')} FROM ax JOIN ws USING (method) WHERE y = s GROUP BY method, half, image_id, x, t "
        f"UNION ALL SELECT 'point', image_id, gx, gy, r, g, b, a FROM (SELECT DISTINCT image_id, gx::INT AS gx, gy::INT AS gy FROM px, (SELECT unnest(range(0, 9)) AS gx), (SELECT unnest(range(0, 9)) AS gy)) JOIN px USING (image_id) WHERE px.x = gx * 16 // 9 AND px.y = gy * 16 // 9 "
@@ -741,7 +741,7 @@ def win9_qnt9_serpentine_dither(spark, sf_dir):
 @query()
 def win10_raster_dither(spark, sf_dir):
     """Resampled values, rounded with what is lost carried on."""
-    return resample.avir_resize(events_raster(spark, sf_dir), 11, 24, dither=True)
+    return resample.designed_resize(events_raster(spark, sf_dir), 11, 24, dither=True)
 
 
 def _dither_map_sql() -> str:

@@ -75,19 +75,19 @@ def test_correction_flattens_the_band():
 def test_constants_stay(spark, size, wanted):
     rows = [(1, x, y, 200, 10, 255, 0) for x in range(size) for y in range(5)]
     df = spark.createDataFrame(rows, "image_id long, x int, y int, r int, g int, b int, a int")
-    got = resample.avir_resize(df, wanted, 3).collect()
+    got = resample.designed_resize(df, wanted, 3).collect()
     assert len(got) == wanted * 3 and {(r["r"], r["g"], r["b"], r["a"]) for r in got} == {(200, 10, 255, 0)}
 
 
 def test_dispatch(spark):
     rows = [(1, x, y, 10 * x, 10 * y, 5, 255) for x in range(6) for y in range(4)]
     df = spark.createDataFrame(rows, "image_id long, x int, y int, r int, g int, b int, a int")
-    for method in ("point", "bilinear", "lanczos", "avir"):
+    for method in ("point", "bilinear", "lanczos", "designed"):
         assert resample.resized(df, 3, 5, method).count() == 15
-    assert resample.resized(df, 3, 5, "avir").schema == stencils.resize(df, 3, 5).schema
+    assert resample.resized(df, 3, 5, "designed").schema == stencils.resize(df, 3, 5).schema
     corner = {(r["x"], r["y"]): (r["r"], r["g"]) for r in resample.repositioned(df, 2, 2, 8).collect()}
     assert corner == {(0, 0): (40, 20), (1, 0): (50, 20), (0, 1): (40, 30), (1, 1): (50, 30)}
-    for bad in ((0, 1, "point"), (1, 0, "avir")):
+    for bad in ((0, 1, "point"), (1, 0, "designed")):
         with pytest.raises(ValueError):
             resample.resized(df, *bad)
     with pytest.raises(ValueError):
