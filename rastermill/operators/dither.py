@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from rastermill.functions import pixels as px
 from rastermill.operators import colours, palettes, stencils
 from rastermill.operators.search import differences
-from rastermill.sources.scratch import written
+from rastermill.sources.scratch import spread, written
 
 C = F.col
 #: Rows of a band, and pixels that are diffused side by side at most.
@@ -190,6 +190,7 @@ def diffused(pixels: DataFrame, palette: DataFrame, errors: DataFrame, band_rows
 
 def _by_bands(pixels: DataFrame, bands: DataFrame, band_rows: int, run, schema: str) -> DataFrame:
     """All bands' results, one superstep for the n-th band of every image, which gets `carried` from the one above."""
+    bands = spread(bands, "image_id")
     last = pixels.agg(F.max("y")).first()[0]
     count = 1 if last is None else last // band_rows + 1
     if count == 1:

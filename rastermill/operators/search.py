@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from rastermill.functions import pixels as px
 from rastermill.operators import colours
-from rastermill.sources.scratch import written
+from rastermill.sources.scratch import spread, written
 
 C = F.col
 #: No limit on an error.
@@ -354,7 +354,7 @@ def palettes(hist: DataFrame, options: Options | None = None, fixed: tuple[tuple
     task = _Task(o, min(o.max_mse, max(o.target_mse, (2**o.posterize / 1024) ** 2)))
     fixed = fixed.select(C("image_id").alias("of_image"), "place", *[C(f).alias(f) for f in colours.FLOATS])  # columns of their own, as both sides may stem from one table
     start = rows.groupBy("image_id").cogroup(fixed.groupBy("of_image")).applyInArrow(lambda hist, own: task.start(hist, own), _STATE)
-    state, done = written(start, "search"), []
+    state, done = written(spread(start, "image_id"), "search"), []
     while True:
         done.append(state.where("trials = 0"))
         left = state.where("trials > 0")
