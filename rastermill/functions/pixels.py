@@ -42,8 +42,9 @@ def posterize(c: Column, bits: int) -> Column:
 
 
 def linear(c: Column, gamma: float = DISPLAY_GAMMA) -> Column:
-    """PX10: a byte in the internal gamma."""
-    return F.pow(c / F.lit(255.0), F.lit(INTERNAL_GAMMA / gamma))
+    """PX10: a byte in the internal gamma, looked up among the 256 there are; null for what is no byte."""
+    curve = ", ".join(f"{(v / 255.0) ** (INTERNAL_GAMMA / gamma)!r}D" for v in range(256))
+    return F.get(F.expr(f"array({curve})"), c.cast("int"))
 
 
 def premultiplied(c: Column, a: Column, gamma: float = DISPLAY_GAMMA) -> Column:

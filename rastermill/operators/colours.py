@@ -120,20 +120,24 @@ def nearest(palette: list[tuple[int, int, int]]) -> Column:
     return F.array_min(scored)
 
 
-def matched(rows: DataFrame, palettes: DataFrame) -> DataFrame:
-    """NN2: rows with the index of the nearest colour (PX13, compared in units of 10^-12, lowest index on ties) in their image's
-    palette, its distance d, and the row's floats (PX11).
+def matched_colours(colours: DataFrame, palettes: DataFrame) -> DataFrame:
+    """NN2 for distinct colours (image_id, r, g, b, a): with the index of the nearest entry (PX13, compared in units of 10^-12, lowest index on ties)
+    in their image's palette, its distance d, and the colour's floats (PX11).
 
-    palettes: image_id, idx, and the floats or r, g, b and, if there, a; at most 256 entries each, which travel as one array. The search is exact,
-    so that a guess could only save time.
+    palettes: image_id, idx from 0 to 255, and the floats or r, g, b and, if there, a. Pairs of a colour and an entry are reduced as they arise to one long
+    that holds distance and index, so that no more than the colours are shuffled.
     """
-    entry = F.struct(C("idx"), *FLOATS)
     own = palettes if set(FLOATS) <= set(palettes.columns) else with_floats(palettes)
-    per = own.groupBy("image_id").agg(F.sort_array(F.collect_list(entry)).alias("palette"))
-    own = [C(f) for f in FLOATS]
-    best = F.array_min(F.transform("palette", lambda e: F.struct(px.ranked_distance(own, [e[f] for f in FLOATS]).alias("d"), e["idx"].alias("idx"))))
-    found = with_floats(rows).join(per, "image_id").withColumn("best", best)
-    return found.withColumns({"idx": C("best.idx"), "d": C("best.d") / F.lit(1e12)}).drop("best", "palette")
+    entries = own.select("image_id", "idx", *[C(f).alias(f"e_{f}") for f in FLOATS])
+    code = px.ranked_distance([C(f) for f in FLOATS], [C(f"e_{f}") for f in FLOATS]) * MOST_COLOURS + C("idx")
+    best = with_floats(colours.select("image_id", *"rgba")).join(entries, "image_id").groupBy("image_id", *"rgba").agg(F.min(code).alias("code"))
+    found = best.select("image_id", *"rgba", (C("code") % MOST_COLOURS).cast("int").alias("idx"), (F.shiftright("code", 8) / F.lit(1e12)).alias("d"))
+    return with_floats(found)
+
+
+def matched(rows: DataFrame, palettes: DataFrame) -> DataFrame:
+    """NN2: rows with idx, d and floats of matched_colours. Each distinct colour of an image is looked up once, then joined back; null channels find nothing."""
+    return rows.join(matched_colours(rows.select("image_id", *"rgba").distinct(), palettes), ["image_id", *"rgba"])
 
 
 def remapped(pixels: DataFrame, palettes: DataFrame) -> DataFrame:
@@ -166,7 +170,8 @@ def kmeans_step(hist: DataFrame, palettes: DataFrame) -> DataFrame:
 
     Entries without colours stay, as do those of a true `fixed`, if palettes have that column. error is the weighted sum of distances.
     """
-    sums = matched(hist, palettes).groupBy("image_id", "idx").agg(F.sum("weight").alias("w"), *[F.sum(C(f) * C("weight")).alias(f"s_{f}") for f in FLOATS], F.sum(C("d") * C("weight")).alias("e"))
+    found = hist.join(matched_colours(hist, palettes), ["image_id", *"rgba"])
+    sums = found.groupBy("image_id", "idx").agg(F.sum("weight").alias("w"), *[F.sum(C(f) * C("weight")).alias(f"s_{f}") for f in FLOATS], F.sum(C("d") * C("weight")).alias("e"))
     moves = (C("w") > 0) & ~F.coalesce("fixed", F.lit(False)) if "fixed" in palettes.columns else C("w") > 0
     own = with_floats(palettes).join(sums, ["image_id", "idx"], "left")
     return own.select("image_id", "idx", *[F.when(moves, C(f"s_{f}") / C("w")).otherwise(C(f)).alias(f) for f in FLOATS], F.coalesce("w", F.lit(0)).alias("popularity"), F.coalesce("e", F.lit(0.0)).alias("error"))

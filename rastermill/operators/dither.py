@@ -289,7 +289,7 @@ def dithered_remap(pixels: DataFrame, palette: DataFrame, level: float, bits: in
     with_map = rows.where("has_map").drop("has_map")
     mapped = written(colours.matched(with_map, palette).select("image_id", "x", "y", "idx", "d", *colours.FLOATS), "mapped")
     entries = written(rounded(moved(mapped, palette), bits), "rounded")
-    maps = dither_map(mapped.select("image_id", "x", "y", "idx"), stencils.smooth_maps(stencils.contrast(with_map)))
+    maps = dither_map(mapped.select("image_id", "x", "y", "idx"), stencils.contrast_maps(with_map))
     errors = palette.select("image_id").distinct().join(mapped.groupBy("image_id").agg(F.avg("d").alias("e")), "image_id", "left")
     errors = errors.select("image_id", F.greatest(F.coalesce(C("e") * 2.4, F.lit(0.0)), F.lit(16 / 256)).alias("most_error"))
     base = (1 - (1 - level) ** 2) * 15 / 16

@@ -31,7 +31,7 @@ def perceptual_histogram(pixels: DataFrame, options: search.Options) -> DataFram
     rows = pixels
     if options.uses_contrast:
         mapped = pixels.join(sizes.where((C("mx") >= 3) & (C("my") >= 3) & (3 * C("n") <= dither.MOST_MAPPED)).select("image_id"), "image_id", "left_semi")
-        noise = stencils.smooth_maps(stencils.contrast(mapped)).select("image_id", "x", "y", "noise")
+        noise = stencils.contrast_maps(mapped).select("image_id", "x", "y", "noise")
         rows = pixels.join(noise, ["image_id", "x", "y"], "left").withColumn("importance", F.coalesce("noise", F.lit(255))).drop("noise")
     shared = colours.shared_histogram(rows.withColumns({"set_id": C("image_id"), "place": F.lit(0)}), options.most_entries, options.posterize)
     return colours.normalised(shared.withColumnRenamed("set_id", "image_id"), sizes.select("image_id", "n"))

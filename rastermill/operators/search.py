@@ -117,9 +117,10 @@ class Box:
         miss = differences(self.mean, own)
         self.worst, self.error = miss.max(), miss @ p[members]
 
-    def score(self, limit: float) -> float:
-        """How much a split is worth; boxes with a colour that is worse than the limit win by their excess."""
-        return self.weight * self.variance.max() * max(1.0, self.worst / limit) if len(self.members) > 1 else 0.0
+    @property
+    def worth(self) -> float:
+        """How much a split is worth as long as no colour is worse than the limit; nothing for a single colour."""
+        return self.weight * self.variance.max() if len(self.members) > 1 else 0.0
 
     def halves(self, f: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Members by falling key, cut where half of the weight times distance from the median is passed."""
@@ -143,18 +144,25 @@ def split_weight(d: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def median_cut(f: np.ndarray, p: np.ndarray, w: np.ndarray, size: int, target: float, limit: float) -> list[Box]:
-    """QNT5: splits the best box until there are `size`, none can be split, or the boxes' error is at most the target (a mean, weighted by p)."""
+    """QNT5: splits the best box until there are `size`, none can be split, or the boxes' error is at most the target (a mean, weighted by p).
+
+    A box with a colour that is worse than the limit, which rises with the number of boxes, wins by its excess.
+    """
     boxes = [Box(np.arange(len(f)), f, p, w)]
-    while len(boxes) < size:
-        now = limit * (1 + 16 * len(boxes) / size)
-        scores = [b.score(now) for b in boxes]
+    worth, worst, errors, enough = np.zeros(max(size, 1)), np.zeros(max(size, 1)), [boxes[0].error], target * p.sum()
+    worth[0], worst[0] = boxes[0].worth, boxes[0].worst
+    while (n := len(boxes)) < size:
+        scores = worth[:n] * np.maximum(1.0, worst[:n] / (limit * (1 + 16 * n / size)))
         at = int(np.argmax(scores))
         if not scores[at] > 0:
             break
-        first, second = boxes[at].halves(f, w)
-        boxes[at] = Box(first, f, p, w)
-        boxes.append(Box(second, f, p, w))
-        if sum(b.error for b in boxes) <= target * p.sum():
+        first, second = (Box(half, f, p, w) for half in boxes[at].halves(f, w))
+        boxes[at], errors[at] = first, first.error
+        boxes.append(second)
+        errors.append(second.error)
+        for i, b in ((at, first), (n, second)):
+            worth[i], worst[i] = b.worth, b.worst
+        if sum(errors) <= enough:
             break
     return boxes
 

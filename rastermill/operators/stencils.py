@@ -1,4 +1,4 @@
-"""Neighbourhood operators and resampling. Windows run per row or column of an image, so that one large image spreads over many tasks."""
+"""Neighbourhood operators by tiles with halos, and resampling. One large image spreads over many tasks."""
 
 from __future__ import annotations
 
@@ -6,69 +6,69 @@ from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rastermill.functions import pixels as px
+from rastermill.operators import tiles
 
 C = F.col
 
 
-def _row():
-    return Window.partitionBy("image_id", "y").orderBy("x")
+def dilate(plane: DataFrame, v: str = "v", tile: int = tiles.TILE) -> DataFrame:
+    """WIN2: image_id, x, y and v, the greatest of a pixel and its four neighbours, edges repeated."""
+    return tiles.by_tiles(plane, [v], lambda p: {v: tiles.dilated(p[v])}, {v: "int"}, 1, tile)
 
 
-def _column():
-    return Window.partitionBy("image_id", "x").orderBy("y")
+def erode(plane: DataFrame, v: str = "v", tile: int = tiles.TILE) -> DataFrame:
+    """WIN3: the least."""
+    return tiles.by_tiles(plane, [v], lambda p: {v: tiles.eroded(p[v])}, {v: "int"}, 1, tile)
 
 
-def _around(v: str) -> list[Column]:
-    """The pixel and its four neighbours, edges repeated."""
-    return [C(v), *(F.coalesce(f(v).over(w), C(v)) for w in (_row(), _column()) for f in (F.lag, F.lead))]
+def box_blur(plane: DataFrame, s: int, v: str = "v", tile: int = tiles.TILE) -> DataFrame:
+    """WIN4: 2s samples from -(s-1) to s, edges repeated, whole division, rows then columns; images too small stay.
+
+    A tile sees 2s + 1 pixels of each image that has them, so that the images' sizes need not be known.
+    """
+    return tiles.by_tiles(plane, [v], lambda p: {v: tiles.blurred(p[v], s)}, {v: "int"}, 2 * s + 1, max(tile, 2 * s + 1))
 
 
-def dilate(plane: DataFrame, v: str = "v") -> DataFrame:
-    """WIN2."""
-    return plane.withColumn(v, F.greatest(*_around(v)))
+#: How far WIN1 and WIN5 reach; the latter adds up its steps, and shows a tile enough for its blur.
+_CONTRAST_REACH, _SMOOTH_REACH = 1, 12
 
 
-def erode(plane: DataFrame, v: str = "v") -> DataFrame:
-    """WIN3."""
-    return plane.withColumn(v, F.least(*_around(v)))
+def _contrast(p: tiles.Planes) -> tiles.Planes:
+    # to six digits, which takes away the noise of floats, then truncated
+    whole = lambda v: np.round(v, 6).astype(np.int64)
+    curve = (np.arange(256) / 255.0) ** (px.INTERNAL_GAMMA / px.DISPLAY_GAMMA)
+    alpha = p["a"] / 255.0
+    across, down = zip(*(tiles.bends(v) for v in (*(curve[p[c]] * p["a"] / 255.0 for c in "rgb"), alpha)), strict=True)
+    hor, ver = np.maximum.reduce(across), np.maximum.reduce(down)
+    strongest, weakest = np.maximum(hor, ver), np.minimum(hor, ver)
+    calm = 1 - np.maximum(strongest - np.abs(hor - ver) / 2, weakest)
+    return {"edge": np.clip(255 - whole(256 * strongest), 0, 255), "noise": np.clip(85 + whole(171 * calm**4), 0, 255)}
 
 
-def box_blur(plane: DataFrame, s: int, v: str = "v") -> DataFrame:
-    """WIN4: 2s samples from -(s-1) to s, edges repeated, whole division, rows then columns; images too small stay."""
-    sizes = plane.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
-    sized = plane.join(sizes, "image_id").withColumn("old", C(v))
-    for w, at, n in ((_row(), "x", "w"), (_column(), "y", "h")):
-        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        left, right = F.greatest(F.lit(s - 1) - C(at), F.lit(0)), F.greatest(C(at) + s - (C(n) - 1), F.lit(0))
-        total = F.sum(v).over(w.rowsBetween(-(s - 1), s)) + left * F.first(v).over(whole) + right * F.last(v).over(whole)
-        sized = sized.withColumn(v, F.floor(total / (2 * s)).cast("int"))
-    small = (C("w") < 2 * s + 1) | (C("h") < 2 * s + 1)
-    return sized.withColumn(v, F.when(small, C("old")).otherwise(C(v))).drop("w", "h", "old")
+def _smooth(p: tiles.Planes) -> tiles.Planes:
+    noise = tiles.dilated(tiles.blurred(tiles.dilated(tiles.dilated(p["noise"])), 3))
+    for _ in range(3):
+        noise = tiles.eroded(noise)
+    return {"noise": noise, "edge": np.minimum(noise, tiles.dilated(tiles.eroded(p["edge"])))}
 
 
-def contrast(pixels: DataFrame) -> DataFrame:
+def contrast(pixels: DataFrame, tile: int = tiles.TILE) -> DataFrame:
     """WIN1: edge and noise maps from second differences across and down of premultiplied channels, greatest over the four."""
-    planes = pixels.select("image_id", "x", "y", *[px.premultiplied(C(c), C("a")).alias(c) for c in "rgb"], (C("a") / 255.0).alias("a"))
-    bend = lambda c, w: F.abs(F.coalesce(F.lag(c).over(w), C(c)) + F.coalesce(F.lead(c).over(w), C(c)) - 2 * C(c))
-    rows = planes.select("image_id", "x", "y", F.greatest(*[bend(c, _row()) for c in "rgba"]).alias("hor"), F.greatest(*[bend(c, _column()) for c in "rgba"]).alias("ver"))
-    strongest, weakest = F.greatest("hor", "ver"), F.least("hor", "ver")
-    calm = 1 - F.greatest(strongest - F.abs(C("hor") - C("ver")) / 2, weakest)
-    byte = lambda v: F.least(F.lit(255), F.greatest(F.lit(0), v)).cast("int")
-    whole = lambda v: F.round(v, 6).cast("int")  # noqa: E731  rounds away float noise, then truncates
-    return rows.select("image_id", "x", "y", byte(255 - whole(256 * strongest)).alias("edge"), byte(85 + whole(171 * F.pow(calm, F.lit(4)))).alias("noise"))
-
-
-def smooth_maps(maps: DataFrame) -> DataFrame:
-    """WIN5: noise: dilate twice, blur, dilate, erode three times; edges: erode, dilate, and no more than noise."""
-    noise = maps.select("image_id", "x", "y", C("noise").alias("v"))
-    for step in (dilate, dilate, lambda p: box_blur(p, 3), dilate, erode, erode, erode):
-        noise = step(noise)
-    edge = dilate(erode(maps.select("image_id", "x", "y", C("edge").alias("v")))).withColumnRenamed("v", "e")
-    return noise.join(edge, ["image_id", "x", "y"]).select("image_id", "x", "y", C("v").alias("noise"), F.least("v", "e").alias("edge"))
+    return tiles.by_tiles(pixels, list("rgba"), _contrast, {"edge": "int", "noise": "int"}, _CONTRAST_REACH, tile)
+
+
+def smooth_maps(maps: DataFrame, tile: int = tiles.TILE) -> DataFrame:
+    """WIN5: noise: dilate twice, blur, dilate, erode three times; edges: erode, dilate, and no more than noise. One shuffle for all steps."""
+    return tiles.by_tiles(maps, ["edge", "noise"], _smooth, {"noise": "int", "edge": "int"}, _SMOOTH_REACH, tile)
+
+
+def contrast_maps(pixels: DataFrame, tile: int = tiles.TILE) -> DataFrame:
+    """WIN1 and WIN5 in one shuffle."""
+    return tiles.by_tiles(pixels, list("rgba"), lambda p: _smooth(_contrast(p)), {"noise": "int", "edge": "int"}, _CONTRAST_REACH + _SMOOTH_REACH, tile)
 
 
 def _grid(pixels: DataFrame, width: int, height: int) -> DataFrame:

@@ -458,7 +458,7 @@ def _smooth_sql() -> str:
 
 @query(_smooth_sql() + " SELECT * FROM w5")
 def win5_smooth_maps(spark, sf_dir):
-    return stencils.smooth_maps(stencils.contrast(events_raster(spark, sf_dir)))
+    return stencils.contrast_maps(events_raster(spark, sf_dir))
 
 
 @query("SELECT image_id, least(255, greatest(0, floor((r // 4) * 4 + 0.5)))::INT AS v, x, y FROM px")

@@ -152,7 +152,7 @@ def test_dithered_remap_of_images_with_and_without_map(spark):
     base = (1 - (1 - 0.8) ** 2) * 15 / 16
     from rastermill.operators import stencils
 
-    edges = {(r["image_id"], r["x"], r["y"]): r["edge"] for r in stencils.smooth_maps(stencils.contrast(df.where("image_id = 1"))).collect()}
+    edges = {(r["image_id"], r["x"], r["y"]): r["edge"] for r in stencils.contrast_maps(df.where("image_id = 1")).collect()}
     for i, (w, h) in images.items():
         at = [[plain.floats(*next(c for j, u, v, *c in rows if (j, u, v) == (i, x, y))) for x in range(w)] for y in range(h)]
         plain_palette = [{"f": e[2:6], "fixed": e[7], "n": 0} for e in palette if e[0] == i]

@@ -155,11 +155,11 @@ def test_places_of_a_whole_order(spark):
 
 
 def test_a_large_image_spreads_over_tasks(spark):
-    """Rows and columns of one image are windows of their own."""
+    """Tiles of one image are groups of their own."""
     plane = spark.range(64 * 64).selectExpr("1L AS image_id", "CAST(id % 64 AS INT) AS x", "CAST(id div 64 AS INT) AS y", "CAST(id * 37 % 256 AS INT) AS v")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        for op in (stencils.dilate, lambda p: stencils.box_blur(p, 3)):
+        for op in (lambda p: stencils.dilate(p, tile=16), lambda p: stencils.box_blur(p, 3, tile=16)):
             assert op(plane).select(F.spark_partition_id().alias("p")).distinct().count() > 1
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
