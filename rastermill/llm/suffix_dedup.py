@@ -36,6 +36,8 @@ GRAM = 64
 #: A chunk holds at most 2 ** 11 rows and 8 MB of text (or one longer text): see chunk_of.
 CHUNK_ROWS_LOG2 = 11
 _ROW_BYTES = 4096
+#: Windows whose anchors are sought at once.
+_PIECE = 1 << 18
 #: Places within a block have 32 bits; the same for every block, so that equal windows have equal anchors everywhere.
 _PLACE = U64((1 << 32) - 1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -59,15 +61,18 @@ class Rolling:
     def __init__(self, data: np.ndarray):
         n = len(data)
         self.sums = np.zeros(n + 1, U64)
-        np.cumsum(_BYTE[data] * _powers(_BASE, n), out=self.sums[1:])
+        own = self.sums[1:]
+        np.take(_BYTE, data, out=own)
+        np.multiply(own, _powers(_BASE, n), out=own)
+        np.cumsum(own, out=own)
         self.back = _powers(_INVERSE, n + 1)
 
     def at(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(U64))
 
-    def grams(self, k: int) -> np.ndarray:
-        n = len(self.sums) - k
-        return mix((self.sums[k:] - self.sums[:-k]) * self.back[:n] + U64(k)) if n > 0 else np.empty(0, U64)
+    def grams(self, k: int, first: int, end: int) -> np.ndarray:
+        """Of k bytes each, from the places first to end."""
+        return mix((self.sums[first + k : end + k] - self.sums[first:end]) * self.back[first:end] + U64(k))
 
 
 def _sliding_least(v: np.ndarray, w: int) -> np.ndarray:
@@ -110,16 +115,20 @@ class Block:
     def _anchors(self) -> np.ndarray:
         if not self.windows.any():
             return np.empty(0, np.int64)
-        grams = self.rolling.grams(GRAM)
-        ranked = (grams & ~_PLACE) | (_PLACE - np.arange(len(grams), dtype=U64))  # ties: the rightmost
-        least = _sliding_least(ranked, self.length - GRAM + 1)
-        keep = np.zeros(len(least) + 1, np.int32)
+        span = self.length - GRAM + 1  # grams of a window
+        keep = np.zeros(len(self.data) + 1, np.int8)
         has = self.windows > 0
         np.add.at(keep, self.offsets[:-1][has], 1)
         np.add.at(keep, self.offsets[:-1][has] + self.windows[has], -1)
-        least = least[np.cumsum(keep[:-1]) > 0]
-        least = least[np.r_[True, least[1:] != least[:-1]]]
-        return np.sort((_PLACE - (least & _PLACE)).astype(np.int64))
+        keep = np.cumsum(keep[: len(self.data) - self.length + 1], dtype=np.int8) > 0
+        found = []
+        for first in range(0, len(keep), _PIECE):  # so that a long text's grams are not all held at once
+            end = min(first + _PIECE, len(keep))
+            grams = self.rolling.grams(GRAM, first, end + span - 1)
+            ranked = (grams & ~_PLACE) | (_PLACE - np.arange(first, end + span - 1, dtype=U64))  # ties: the rightmost
+            least = _sliding_least(ranked, span)[keep[first:end]]
+            found.append(least[np.r_[True, least[1:] != least[:-1]]] if len(least) else least)
+        return np.unique((_PLACE - (np.concatenate(found) & _PLACE)).astype(np.int64))
 
     def window_starts(self, chosen: np.ndarray) -> np.ndarray:
         """Places of the windows that the chosen anchors' contexts hold."""
@@ -132,6 +141,47 @@ class Block:
 # --- two-stage suffix sorting
 
 
+def _index_type(n: int) -> type:
+    return np.int32 if n + 8 < 1 << 31 else np.int64
+
+
+def sorted_by_prefix(data: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
+    """places by the `depth` bytes from each (zeros follow the end); equal ones keep their order.
+
+    Sorts by the first 8 bytes as one number, then, 8 bytes on at a time, only what is still tied, and of that only groups that differ. No
+    prefix is copied: a place takes its index, one number and its group.
+    """
+    padded = np.concatenate([data, np.zeros(depth + 8, np.uint8)])
+    words = np.ndarray((len(data) + depth,), ">u8", padded, strides=(1,))  # the 8 bytes from each place
+
+    def keys(at: int, of: np.ndarray) -> np.ndarray:
+        found = words[of + of.dtype.type(at)].astype(U64)
+        return found >> U64(8 * (8 - depth + at)) if depth - at < 8 else found
+
+    if not len(places):
+        return places
+    key = keys(0, places)
+    order = np.argsort(key, kind="stable")
+    places, key = places[order], key[order]
+    live, starts = np.arange(len(places), dtype=places.dtype), np.r_[True, key[1:] != key[:-1]]
+    for at in range(8, depth, 8):
+        tied = ~(starts & np.r_[starts[1:], True])  # not alone in its group
+        live, starts = live[tied], starts[tied]
+        if not len(live):
+            break
+        key = keys(at, places[live])
+        changes = np.r_[False, key[1:] != key[:-1]] & ~starts
+        group = np.cumsum(starts, dtype=places.dtype) - 1
+        differ = np.zeros(int(group[-1]) + 1, bool)
+        differ[group[changes]] = True
+        mixed = np.flatnonzero(differ[group])
+        if len(mixed):
+            order = mixed[np.lexsort((key[mixed], group[mixed]))]
+            places[live[mixed]], key[mixed] = places[live[order]], key[order]
+        starts = starts | np.r_[False, key[1:] != key[:-1]]
+    return places
+
+
 def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     """Places of the suffixes of data in order, by two-stage sorting.
 
@@ -140,23 +190,21 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     bucket by bucket, what precedes a suffix already placed follows in the same order.
     """
     n = len(data)
+    kind = _index_type(n + depth)
     if n < 2:
-        return np.arange(n)
+        return np.arange(n, dtype=kind)
     run_end = np.flatnonzero(np.r_[data[1:] != data[:-1], True])  # a run's type is its last element's
     rises = np.r_[data[1:], 0][run_end] > data[run_end]
     rises[-1] = False
     small = np.repeat(rises, np.diff(np.r_[-1, run_end]))
-    places = np.flatnonzero(small)
-    padded = np.concatenate([data, np.zeros(depth + 8, np.uint8)])
-    if len(places):
-        keys = np.lib.stride_tricks.as_strided(padded, (n, depth), (1, 1))[places]
-        places = places[np.argsort(np.ascontiguousarray(keys).view(f"S{depth}").ravel(), kind="stable")]
+    places = sorted_by_prefix(data, np.flatnonzero(small).astype(kind), depth)
     firsts = data[places]
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
-    waiting[data[n - 1]].append(np.array([n - 1]))
+    waiting[data[n - 1]].append(np.array([n - 1], kind))
     out = []
     for c in range(256):
-        frontier = np.concatenate(waiting[c]) if waiting[c] else np.empty(0, np.int64)
+        frontier = np.concatenate(waiting[c]) if waiting[c] else np.empty(0, kind)
+        waiting[c] = []
         while len(frontier):  # L suffixes of this bucket, and what they induce in it
             out.append(frontier)
             before = _induce(frontier, data, small, waiting, c)
@@ -182,16 +230,17 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
     """Common prefix, up to `most` bytes, of each suffix and its neighbour before it (0 for the first)."""
     padded = np.concatenate([data, np.zeros(most + 8, np.uint8)])
     words = np.lib.stride_tricks.as_strided(padded, (len(data) + most, 8), (1, 1))
-    found = np.zeros(len(order), np.int64)
-    live = np.arange(1, len(order))
-    for at in range(0, most, 8):
-        a, b = order[live - 1] + at, order[live] + at
-        differ = words[a] != words[b]
-        same = np.where(differ.any(axis=1), differ.argmax(axis=1), 8)
-        found[live] += same
-        live = live[same == 8]
-        if not len(live):
-            break
+    found = np.zeros(len(order), np.int32)
+    for first in range(1, len(order), _PIECE):  # pairs of neighbours compared at once
+        live = np.arange(first, min(first + _PIECE, len(order)))
+        for at in range(0, most, 8):
+            a, b = order[live - 1] + at, order[live] + at
+            differ = words[a] != words[b]
+            same = np.where(differ.any(axis=1), differ.argmax(axis=1), 8)
+            found[live] += same.astype(np.int32)
+            live = live[same == 8]
+            if not len(live):
+                break
     pair_room = np.minimum(len(data) - order[1:], len(data) - order[:-1])
     found[1:] = np.minimum(np.minimum(found[1:], pair_room), most)
     return found

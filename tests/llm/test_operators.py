@@ -81,6 +81,26 @@ def test_trie_finds_all_links():
         assert got == labels
 
 
+@pytest.mark.parametrize("depth", [8, 65, 90, 200])
+def test_prefixes_are_sorted_without_copies(depth):
+    """Random, periodic and repeated bytes, NUL among them; what is equal to the depth keeps its order."""
+    rng = np.random.default_rng(depth)
+    for kind in range(60):
+        data = rng.integers(0, 1 + kind % 4, int(rng.integers(1, 500))).astype(np.uint8)
+        data = np.tile(data[:40], 9) if kind % 5 == 0 else data
+        places = np.flatnonzero(rng.random(len(data)) < 0.6).astype(np.int32)
+        held = data.tobytes() + bytes(depth)
+        want = sorted(places.tolist(), key=lambda i: held[i : i + depth])  # noqa: B023
+        assert suffix_dedup.sorted_by_prefix(data, places, depth).tolist() == want
+
+
+def test_anchors_do_not_depend_on_pieces(monkeypatch):
+    texts = pa.array(["ab" * 300, None, "xyz" * 50 + "q" * 400, "", "ab" * 300], pa.string())
+    whole = suffix_dedup.Block(texts, 90).anchor.tolist()
+    monkeypatch.setattr(suffix_dedup, "_PIECE", 37)
+    assert suffix_dedup.Block(texts, 90).anchor.tolist() == whole
+
+
 def test_suffix_array_is_sorted():
     r = np.random.default_rng(2)
     for t in range(200):
