@@ -2,10 +2,11 @@
 
 1. Every whole text is written once as numbers of the benchmark's words. Texts are cut into segments of words; a passage
    is two neighbouring segments. The words' counts over the whole corpus give the weights (tf-idf).
-2. A randomised SVD finds the latent space: with a random test matrix W, tasks sum A'(A W) over segments A,
-   blocks of it are added in a shuffle, and the driver, which holds matrices of vocabulary x rank only, takes the leading
-   directions (Nystroem) and adds those of the benchmark's own rows, `rank` items to a space, so that every item lies in it.
-   The space is fitted on about `fit_rows` rows, chosen by hashed id; every row is searched.
+2. A randomised SVD finds the latent space: every segment of the corpus is added, with a random sign, to one of 2 x `rank`
+   random sums (a sparse test matrix S, drawn by hashing the segment's place), in the pass that counts the words. The counts
+   are whole numbers, so that neither order nor dealing matters; blocks of them are added in a shuffle. The driver, which
+   holds matrices of vocabulary x rank only, weighs them to S A, takes its leading right singular vectors and adds the
+   directions of the benchmark's own rows, `rank` items to a space, so that every item lies in it.
 3. For the search, segments are about half an item long, so that three of them hold any verbatim copy. Each passage's latent
    vector meets the benchmark's. A cosine of `cosine` or more over three segments, and 2 x `segment` words at least, makes a
    candidate with its surroundings. The passage's norm counts all its words, those outside the benchmark as its mean word;
@@ -35,12 +36,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastermill.llm.shared import by_bytes, saved, scratch, split_words, stable_rows
+from rastermill.llm.shared import U64, by_bytes, mix, saved, scratch, split_words, stable_rows
 
 SEGMENT = 20
 RANK = 256
 ITEM_SET = 2048
-FIT_ROWS = 20_000
 CACHE_ENTRIES = 500_000
 #: Numbers that a task gathers at once from the rows of a matrix, and bytes of cosines that it holds for a slice of texts.
 GATHERED = 4 << 20
@@ -161,19 +161,37 @@ def _decoded(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
     return words, np.r_[0, np.cumsum(sizes)]
 
 
-def _frequencies(size: int, segment: int):
+def _counts(size: int, segment: int, width: int, seed: int):
+    """Of this task's segments, in blocks of words: how often each word occurs, and the signed sums of its counts; block -1 holds the number of segments."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, total = np.zeros(size + 1, np.int64), 0
-        for batch in by_bytes(batches, "words"):
+        seen, total = np.zeros(size, np.int64), 0
+        sums = np.zeros(size * width, np.int32)
+        for batch in by_bytes(batches, "words", 1 << 20):
             words, offsets = _decoded(batch, size)
-            total += int((-(-np.diff(offsets) // segment)).sum())
-            seen += np.bincount(words + 1, minlength=size + 1)
-        seen = seen[1:]
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, np.flatnonzero(seen)].astype(np.int64)), pa.array(np.r_[total, seen[seen > 0]].astype(np.int64))], names=["word", "n"])
+            number, text = _segments(words, offsets, segment)
+            total += len(text)
+            first = np.searchsorted(text, np.arange(batch.num_rows))
+            rows = batch.column("row").to_numpy(zero_copy_only=False).astype(U64)
+            drawn = mix(mix(rows + U64(seed))[text] + (np.arange(len(text)) - first[text]).astype(U64))
+            place, sign = (drawn % U64(width)).astype(np.int64), 1 - 2 * (drawn >> U64(63)).astype(np.int32)
+            keep = words >= 0
+            words, number = words[keep].astype(np.int64), number[keep]
+            seen += np.bincount(words, minlength=size)
+            np.add.at(sums, words * width + place[number], sign[number])
+        used, table = np.flatnonzero(seen), sums.reshape(size, width)
+        yield _counted([-1], [total], [b""], -1)
+        for part in np.array_split(used, max(1, len(used) // 256)):
+            if len(part):
+                yield _counted(part, seen[part], [r.tobytes() for r in table[part]], part // 256)
 
     return run
 
 
+def _counted(words, n, rows: list[bytes], block) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(block, len(rows)).astype(np.int32)), pa.array(words, pa.int64()), pa.array(n, pa.int64()), pa.array(rows, pa.binary())], names=["block", "word", "n", "row"])
+
+
 def _rows_times(number: np.ndarray, words: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums of the matrix rows of the words, per number that occurs (numbers ascend)."""
     heads = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
@@ -186,53 +204,21 @@ def _rows_times(number: np.ndarray, words: np.ndarray, matrix: np.ndarray) -> tu
     return number[heads], sums
 
 
-def _sketch(idf: np.ndarray, test: np.ndarray, segment: int):
-    """A'(A W) of this task's segments, in blocks of words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(test.shape, np.float32)
-        weighted = (idf[:, None] * test).astype(np.float32)
-        for batch in by_bytes(batches, "words", 1 << 20):
-            words, offsets = _decoded(batch, len(idf))
-            number, _ = _segments(words, offsets, segment)
-            keep = words >= 0
-            words, number = words[keep], number[keep]
-            for at in range(0, len(words), 1 << 14):
-                w, s = words[at : at + (1 << 14)], number[at : at + (1 << 14)]
-                if not len(w):
-                    continue
-                found, sums = _rows_times(s, w, weighted)
-                order = np.argsort(w, kind="stable")
-                to, back = _rows_times(w[order], np.searchsorted(found, s[order]), sums)
-                out[to] += back * idf[to, None].astype(np.float32)
-        used = np.flatnonzero(out.any(axis=1))
-        for part in np.array_split(used, max(1, len(used) // 256)):
-            if len(part):
-                yield pa.RecordBatch.from_arrays([pa.array((part // 256).astype(np.int32)), pa.array(part.astype(np.int64)), pa.array([r.tobytes() for r in out[part]], pa.binary())], names=["block", "word", "row"])
-
-    return run
-
-
 def _add_rows(table: pa.Table) -> pa.Table:
     words, back = np.unique(table.column("word").to_numpy(), return_inverse=True)
-    total = None
-    for i, blob in zip(back.tolist(), table.column("row").to_pylist(), strict=True):
-        row = np.frombuffer(blob, np.float32)
-        if total is None:
-            total = np.zeros((len(words), len(row)))
-        total[i] += row
-    return pa.table({"word": pa.array(words), "row": pa.array([r.astype(np.float32).tobytes() for r in total], pa.binary())})
-
-
-def latent_directions(sketch: np.ndarray, test: np.ndarray, rank: int) -> np.ndarray:
-    """Leading eigenvectors of A'A from A'(A W): the Nystroem form of the randomised SVD."""
-    shift = 1e-7 * max(1e-12, float(np.linalg.norm(sketch)))
-    moved = sketch + shift * test
-    core = test.T @ moved
-    values, vectors = np.linalg.eigh((core + core.T) / 2)
-    good = values > 1e-9 * max(values.max(initial=0), 1e-12)
-    u, _, _ = np.linalg.svd(moved @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
-    return u[:, :rank]
+    n, rows = np.zeros(len(words), np.int64), table.column("row").to_pylist()
+    np.add.at(n, back, table.column("n").to_numpy())
+    total = np.zeros((len(words), len(rows[0]) // 4), np.int64)
+    for i, blob in zip(back.tolist(), rows, strict=True):
+        total[i] += np.frombuffer(blob, np.int32)
+    return pa.table({"word": pa.array(words), "n": pa.array(n), "row": pa.array([r.astype(np.float32).tobytes() for r in total], pa.binary())})
+
+
+def leading_directions(sketch: np.ndarray, rank: int) -> np.ndarray:
+    """Leading right singular vectors of S A, which is given as its transpose (vocabulary x sums)."""
+    values, vectors = np.linalg.eigh(sketch.T @ sketch)
+    good = np.flatnonzero(values > 1e-9 * max(values.max(initial=0), 1e-12))[::-1][:rank]
+    return sketch @ (vectors[:, good] / np.sqrt(values[good]))
 
 
 class Searcher:
@@ -342,26 +328,20 @@ def _without(space: Space, vocabulary: dict[str, int], text_col: str):
 _FOUND = "id long, item_id long, cosine double, lcs_share double, answer_share double"
 
 
-def build_spaces(coded: DataFrame, items: list[tuple[int, list[int]]], size: int, rank: int, segment: int, seed: int, fit_rows: int, **cuts: float) -> Iterator[Space]:
-    """The latent spaces of these items, for `rank` items each; coded: id, words."""
-    counted = coded.select("words").mapInArrow(_frequencies(size, segment), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # a row for each word of the items
+def build_spaces(coded: DataFrame, items: list[tuple[int, list[int]]], size: int, rank: int, segment: int, seed: int, **cuts: float) -> Iterator[Space]:
+    """The latent spaces of these items, for `rank` items each; coded: words, row (unique numbers, alike in every job)."""
+    width = 2 * min(rank, size)
+    counted = coded.select("words", "row").mapInArrow(_counts(size, segment, width, seed), "block int, word long, n long, row binary")
     seen, total = np.zeros(size, np.int64), 0
-    for r in counted:
+    sketch = np.zeros((size, width))
+    for r in counted.groupBy("block").applyInArrow(_add_rows, "word long, n long, row binary").collect():  # a row for each word of the items
         if r["word"] < 0:
             total = r["n"]
         else:
-            seen[r["word"]] = r["n"]
+            seen[r["word"]], sketch[r["word"]] = r["n"], np.frombuffer(r["row"], np.float32)
     idf = np.log((1 + total) / (1 + np.minimum(seen, total))) + 0.05
     outside = float(np.sqrt(np.mean(idf**2)))  # as a word of the benchmark, so that it doesn't grow with the corpus
-    width = min(rank, size)
-    test = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, width)))[0]
-    rows = coded.count()
-    fitted = coded if rows <= fit_rows else coded.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(fit_rows * (1 << 30) // rows))
-    blocks = fitted.select("words").mapInArrow(_sketch(idf, test, segment), "block int, word long, row binary")
-    sketch = np.zeros(test.shape)
-    for r in blocks.groupBy("block").applyInArrow(_add_rows, "word long, row binary").collect():  # vocabulary x rank numbers
-        sketch[r["word"]] = np.frombuffer(r["row"], np.float32)
-    leading = latent_directions(sketch, test, width)
+    leading = leading_directions(sketch * idf[:, None], min(rank, size))
     for at in range(0, len(items), rank):
         part = items[at : at + rank]
         own = np.zeros((len(part), size))
@@ -372,7 +352,7 @@ def build_spaces(coded: DataFrame, items: list[tuple[int, list[int]]], size: int
         yield Space(idf, outside, directions, part, own @ directions, segment, **cuts)
 
 
-def _spaces(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str = "item_id", item_text_col: str = "text", rank: int = RANK, segment: int = SEGMENT, cosine: float = 0.3, ratio: float = 0.6, sure: float = 0.75, answer: float = 0.6, item_set: int = ITEM_SET, fit_rows: int = FIT_ROWS, seed: int = 7) -> Iterator[tuple[DataFrame, Space, dict[str, int]]]:
+def _spaces(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str = "item_id", item_text_col: str = "text", rank: int = RANK, segment: int = SEGMENT, cosine: float = 0.3, ratio: float = 0.6, sure: float = 0.75, answer: float = 0.6, item_set: int = ITEM_SET, seed: int = 7) -> Iterator[tuple[DataFrame, Space, dict[str, int]]]:
     """For each set of items, and each `rank` of its items: the coded texts (id, words), the space and the vocabulary."""
     base = stable_rows(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), "row")
     wanted = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("item IS NOT NULL AND text IS NOT NULL").distinct()
@@ -385,7 +365,7 @@ def _spaces(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, i
                 items.append((r["item"], [vocabulary.setdefault(w, len(vocabulary)) for w in words]))
         if items:
             coded = saved(base.mapInArrow(_code(vocabulary), "id long, words binary, row long"), "coded")
-            for space in build_spaces(coded, items, len(vocabulary), rank, segment, seed, fit_rows, cosine=cosine, ratio=ratio, sure=sure, answer=answer):
+            for space in build_spaces(coded, items, len(vocabulary), rank, segment, seed, cosine=cosine, ratio=ratio, sure=sure, answer=answer):
                 yield coded, space, vocabulary
         item, text = F.lit(rows[-1]["item"]), F.lit(rows[-1]["text"])
         later = (F.col("item") > item) | (F.col("item") == item) & (F.col("text") > text)

@@ -505,6 +505,17 @@ def test_contaminated(spark, tmp_path):
     assert {(r["id"], r["item_id"]) for r in few.collect()} == expected
 
 
+def test_directions_are_of_all_rows(spark):
+    """Each of 20 words stands in one row of 40,000 only, and is in the directions all the same; how rows are dealt out doesn't matter."""
+    coded = lambda i, words: (i, np.array(words, "<i2").tobytes())
+    rows = [coded(i, [i % 2, 3 + i // 2000] if i % 2000 == 7 else [i % 2, 2]) for i in range(40_000)]
+    df = spark.createDataFrame(rows, "row long, words binary")
+    with_ids = df.withColumn("id", F.col("row"))  # other columns are not looked at
+    first, second = (next(decontamination.build_spaces(d, [(1, [0, 1, 2])], 23, 256, 20, 7, cosine=0.3, ratio=0.6, sure=0.75, answer=0.6)) for d in (with_ids, df.repartition(7)))
+    assert np.linalg.norm(first.directions[3:], axis=1).min() > 0.1
+    assert np.array_equal(first.idf, second.idf) and np.array_equal(first.directions, second.directions)
+
+
 def prose(seed=9, n=6000):
     """Words with frequencies as in prose: the r-th word about 1/r as often as the first."""
     r = random.Random(seed)
