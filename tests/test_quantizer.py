@@ -61,6 +61,21 @@ def test_cut_is_the_plain_one(spark, limit, target):
         assert close([[r[c] for c in colours.FLOATS] for r in found[image]], [b["mean"] for b in boxes])
 
 
+def test_images_are_cut_side_by_side(monkeypatch):
+    """As each alone, and in no more numpy steps than one image takes."""
+    r, calls, boxes = np.random.default_rng(5), [], search._boxes
+    monkeypatch.setattr(search, "_boxes", lambda *a: calls.append(1) or boxes(*a))
+    n = r.integers(1, 90, 64)
+    f, p = r.random((4, n.sum())).round(2), r.random(n.sum()) + 0.1
+    size, target, limit = r.integers(1, 13, 64), r.choice([0, 0.01], 64), np.full(64, 1e-3)
+    every = search.median_cuts(search.Colours(f, p, n), p, size, target, limit)
+    assert len(calls) <= 12
+    for i, (own, weight) in enumerate(zip(np.split(f, np.cumsum(n)[:-1], axis=1), np.split(p, np.cumsum(n)[:-1]), strict=True)):
+        alone = search.median_cuts(search.Colours(own, weight, n[i : i + 1]), weight, size[i : i + 1], target[i : i + 1], limit[i : i + 1])
+        k = alone.number[0]
+        assert every.number[i] == k and alone.colours[0, :k].tolist() == every.colours[i, :k].tolist() and close(alone.mean[0, :k], every.mean[i, :k])
+
+
 def test_few_colours_are_the_palette(spark):
     df = spark.createDataFrame(histogram(1, 5, 1), HIST)
     got = search.palettes(df).orderBy("idx").collect()
