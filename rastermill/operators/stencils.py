@@ -147,9 +147,21 @@ def weights(method: str, size: int, wanted: int) -> tuple[tuple[int, int, float]
     return tuple((i, p, w) for i, row in enumerate(rows) for p, w in row)
 
 
-def _axis(spark: SparkSession, sizes: list[int], wanted: int, weights_of: Callable, a: str) -> DataFrame:
-    rows = [(s, *r) for s in sizes for r in weights_of(s, wanted)]
-    return F.broadcast(spark.createDataFrame(rows, f"size_{a} int, to_{a} int, {a} int, weight_{a} double"))  # bounded: sizes x wanted x taps
+#: Pixels of a task in a resize, so that its sums need no more memory when the table grows.
+TASK_PIXELS = 250_000
+
+
+def _axis(spark: SparkSession, sizes: list[int], wanted: int, ways: list[Callable], a: str) -> DataFrame:
+    """The weights of all ways side by side; 0 where only others have one."""
+    rows = []
+    for s in sizes:
+        every: dict[tuple[int, int], list[float]] = {}
+        for k, weights_of in enumerate(ways):
+            for to, at, weight in weights_of(s, wanted):
+                every.setdefault((to, at), [0.0] * len(ways))[k] = weight
+        rows += [(s, to, at, *found) for (to, at), found in every.items()]
+    columns = ", ".join(f"weight_{a}{k} double" for k in range(len(ways)))
+    return F.broadcast(spark.createDataFrame(rows, f"size_{a} int, to_{a} int, {a} int, {columns}"))  # bounded: sizes x wanted x taps x ways
 
 
 def resize(pixels: DataFrame, width: int, height: int, method: str = "lanczos", most_sizes: int = 256, weights_of: Callable | None = None, rounded: bool = True) -> DataFrame:
@@ -157,22 +169,27 @@ def resize(pixels: DataFrame, width: int, height: int, method: str = "lanczos",
 
     weights_of: (size, wanted) -> (target, source, weight) of other methods. Unrounded values are not held in a byte either.
     """
-    spark = pixels.sparkSession
     weights_of = weights_of or (lambda size, wanted: weights(method, size, wanted))
+    return resizes(pixels, width, height, {method: weights_of}, most_sizes, rounded, 0.0 if method == "bilinear" else 0.5).drop("way")
+
+
+def resizes(pixels: DataFrame, width: int, height: int, ways: dict[str, Callable], most_sizes: int = 256, rounded: bool = True, half: float = 0.5) -> DataFrame:
+    """resize by several weights_of at once, by name: the columns of resize, and `way`, a name. Pixels are dealt out once for each axis, for all ways."""
+    spark = pixels.sparkSession
     sizes = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("size_x"), (F.max("y") + 1).alias("size_y"))
     found = {a: [r[0] for r in sizes.select(f"size_{a}").distinct().limit(most_sizes + 1).collect()] for a in "xy"}
     if max(map(len, found.values())) > most_sizes:
         raise ValueError(f"more than {most_sizes} image sizes; resize them in groups")
-    rows = pixels.join(sizes, "image_id")
-    across = rows.join(_axis(spark, found["x"], width, weights_of, "x"), ["size_x", "x"])
-    across = across.groupBy("image_id", "size_y", "y", "to_x").agg(*[F.sum(C(c) * C("weight_x")).alias(c) for c in "rgba"])
-    down = across.join(_axis(spark, found["y"], height, weights_of, "y"), ["size_y", "y"])
-    down = down.groupBy("image_id", "to_x", "to_y").agg(*[F.sum(C(c) * C("weight_y")).alias(c) for c in "rgba"])
-    if not rounded:
-        return down.select("image_id", C("to_x").alias("x"), C("to_y").alias("y"), *"rgba")
-    half = 0.0 if method == "bilinear" else 0.5
-    out = [F.least(F.lit(255), F.greatest(F.lit(0), F.floor(F.round(C(c), 6) + half))).cast("int").alias(c) for c in "rgba"]
-    return down.select("image_id", C("to_x").alias("x"), C("to_y").alias("y"), *out)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), pixels.count() // TASK_PIXELS)
+    all_ways = range(len(ways))
+    rows = pixels.join(sizes, "image_id").select("image_id", "x", "y", "size_x", "size_y", *"rgba").repartition(tasks, "image_id", "y")
+    across = rows.join(_axis(spark, found["x"], width, list(ways.values()), "x"), ["size_x", "x"])
+    across = across.groupBy("image_id", "size_y", "y", "to_x").agg(*[F.sum(C(c) * C(f"weight_x{k}")).alias(f"{c}{k}") for k in all_ways for c in "rgba"])
+    down = across.repartition(tasks, "image_id", "to_x").join(_axis(spark, found["y"], height, list(ways.values()), "y"), ["size_y", "y"])
+    down = down.groupBy("image_id", "to_x", "to_y").agg(*[F.sum(C(f"{c}{k}") * C(f"weight_y{k}")).alias(f"{c}{k}") for k in all_ways for c in "rgba"])
+    held = lambda v: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(F.round(v, 6) + half))).cast("int") if rounded else v
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("way"), *[held(C(f"{c}{k}")).alias(c) for c in "rgba"]) for k, name in enumerate(ways)]))
+    return down.select("image_id", C("to_x").alias("x"), C("to_y").alias("y"), each.alias("v")).select("image_id", "x", "y", *[C(f"v.{c}").alias(c) for c in "rgba"], "v.way")
 
 
 def lookup(pixels: DataFrame, places: DataFrame) -> DataFrame:

@@ -578,12 +578,7 @@ def _presets_sql() -> str:
 
 @query(_presets_sql())
 def geo7_geo8_presets(spark, sf_dir):
-    p = events_raster(spark, sf_dir)
-    parts = [resample.designed_resize(p, 11, 13, name).withColumn("preset", F.lit(name)) for name in resample.PRESETS]
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    return out
+    return resample.designed_resizes(events_raster(spark, sf_dir), 11, 13, list(resample.PRESETS))
 
 
 DISPATCH = {"point": (9, 9), "bilinear": (9, 9), "lanczos": (9, 9), "designed": (9, 9)}

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rastermill.operators import resample, stencils
 
@@ -92,3 +93,15 @@ def test_dispatch(spark):
             resample.resized(df, *bad)
     with pytest.raises(ValueError):
         resample.repositioned(df, 1, 1, 9)
+
+
+def test_presets_go_in_one_pass(spark, monkeypatch):
+    """As one by one; each axis deals the pixels out once for all presets, to more tasks when there are more pixels."""
+    df = spark.createDataFrame([(i, x, y, 9 * x, 11 * y, (x * y) % 256, 255) for i in (1, 2) for x in range(20) for y in range(17)], "image_id long, x int, y int, r int, g int, b int, a int")
+    monkeypatch.setattr(stencils, "TASK_PIXELS", 68)
+    every = resample.designed_resizes(df, 7, 9, ["default", "ultra"])
+    for preset in ("default", "ultra"):
+        alone = resample.designed_resize(df, 7, 9, preset)
+        assert sorted(every.where(F.col("preset") == preset).drop("preset").collect()) == sorted(alone.collect())
+    plan = every._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("RepartitionByExpression") == 2 and plan.count(", 10\n") == 2
