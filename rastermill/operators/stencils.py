@@ -87,10 +87,15 @@ def crop(pixels: DataFrame, width: int, height: int, anchor: tuple[int, int] = (
 
 
 def point_resize(pixels: DataFrame, width: int, height: int) -> DataFrame:
-    """GEO2, with our own rounding: floor(x * w / width)."""
-    at = _grid(pixels, width, height).select("image_id", "x", "y", F.expr(f"CAST(x * w div {width} AS INT)").alias("sx"), F.expr(f"CAST(y * h div {height} AS INT)").alias("sy"))
-    source = pixels.select("image_id", C("x").alias("sx"), C("y").alias("sy"), *"rgba")
-    return at.join(source, ["image_id", "sx", "sy"]).select("image_id", "x", "y", *"rgba")
+    """GEO2, with our own rounding: floor(x * w / width). Each pixel goes to the target places that take it, so that pixels meet their image's size only."""
+    sizes = pixels.groupBy("image_id").agg((F.max("x") + 1).cast("long").alias("w"), (F.max("y") + 1).cast("long").alias("h"))
+    rows = pixels.join(sizes, "image_id")
+    for a, n, wanted in (("x", "w", width), ("y", "h", height)):
+        first = lambda at, n=n, wanted=wanted: f"(({at}) * {wanted} + {n} - 1) div {n}"
+        rows = rows.withColumns({f"from_{a}": F.expr(first(f"CAST({a} AS LONG)")), f"to_{a}": F.expr(f"{first(f'CAST({a} AS LONG) + 1')} - 1")})
+    rows = rows.where("from_x <= to_x AND from_y <= to_y")
+    rows = rows.withColumn("x", F.explode(F.sequence(C("from_x").cast("int"), C("to_x").cast("int")))).withColumn("y", F.explode(F.sequence(C("from_y").cast("int"), C("to_y").cast("int"))))
+    return rows.select("image_id", "x", "y", *"rgba")
 
 
 def _samples(size: int, wanted: int) -> list[list[tuple[int, float]]]:

@@ -163,3 +163,14 @@ def test_a_large_image_spreads_over_tasks(spark):
             assert op(plane).select(F.spark_partition_id().alias("p")).distinct().count() > 1
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_point_resize_meets_sizes_only(spark):
+    """Pixels are joined with their image's size, never with target places."""
+    sizes = {1: (5, 3), 2: (1, 4), 3: (16, 16)}
+    df = spark.createDataFrame([(i, x, y, x, y, i, 255) for i, (w, h) in sizes.items() for x in range(w) for y in range(h)], "image_id long, x int, y int, r int, g int, b int, a int")
+    for width, height in ((11, 20), (2, 2), (16, 1)):
+        small = stencils.point_resize(df, width, height)
+        assert sorted(small.collect()) == [(i, x, y, x * w // width, y * h // height, i, 255) for i, (w, h) in sizes.items() for x in range(width) for y in range(height)]
+        joins = [line for line in small._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+        assert [line.count(" = ") for line in joins] == [1]  # image_id alone
